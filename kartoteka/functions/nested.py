@@ -24,11 +24,12 @@ def wide_to_map(components: Sequence[str | Column], measures: Sequence[str | Col
 
     The list ends at the first blank component: filled slots after it are lost.
     """
-    as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    slots = F.array(*[_entry(strip(as_col(c)), F.coalesce(strip(as_col(m)), F.lit("")))
-                      for c, m in zip(components, measures, strict=True)])
-    blanks = F.array(*[F.when(is_blank(as_col(c)), F.lit(i)) for i, c in enumerate(components)])
-    kept = F.slice(slots, F.lit(1), F.coalesce(F.array_min(blanks), F.lit(len(components))))
+    as_array = lambda cols: F.array(*[F.col(c) if isinstance(c, str) else c for c in cols])
+    names = as_array(components)
+    first_blank = F.array_position(F.transform(names, lambda c: is_blank(c)), True)
+    filled = F.when(first_blank == 0, len(components)).otherwise((first_blank - 1).cast("int"))
+    slots = F.zip_with(names, as_array(measures), lambda c, m: _entry(strip(c), F.coalesce(strip(m), F.lit(""))))
+    kept = F.slice(slots, F.lit(1), filled)
     numbered = F.transform(kept, lambda e, i: F.struct((i + 1).cast("string").alias("key"), e.alias("value")))
     return F.map_from_entries(numbered)
 

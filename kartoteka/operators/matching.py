@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kartoteka.operators.joins import join_spread
-from kartoteka.operators.probes import MAX_PROBE_BYTES, MAX_PROBES, blocks_needed, scan_probes, to_arrow_schema
+from kartoteka.operators.probes import (
+    MAX_PROBE_BYTES,
+    MAX_PROBES,
+    ROWS_PER_CELL,
+    blocks_needed,
+    scan_probes,
+    to_arrow_schema,
+)
 from kartoteka.operators.topk import merge_top
 
 
@@ -107,13 +114,13 @@ class FirstTerm:
 
 def first_contained(
     df: DataFrame, key: str, text: str, terms: DataFrame, term: str, rank: str, take: str, out: str,
-    max_terms: int = MAX_PROBES, max_bytes: int = MAX_PROBE_BYTES,
+    max_probes: int = MAX_PROBES, max_bytes: int = MAX_PROBE_BYTES, rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Add `take` of the lowest-ranked term that the text contains, NULL when there is none."""
     listed = terms.select(F.lower(term).alias("__term"), F.col(rank).alias("__rank"), F.col(take).alias("__take"))
     listed = listed.where(F.col("__term") != "")
     width = (F.length("__term") + F.length("__take")) * 4
-    if blocks_needed(listed, width, max_terms, max_bytes) == 1:
+    if blocks_needed(listed, width, max_probes, max_bytes) == 1:
         held = listed.toArrow()
         out_schema = to_arrow_schema(T.StructType([T.StructField("take", T.StringType())]))
 
@@ -130,6 +137,7 @@ def first_contained(
     out_arrow = to_arrow_schema(schema)
     partial = scan_probes(
         df.select(key, F.lower(text).alias("__text")), listed, lambda t: FirstTerm(t, key, out_arrow), schema,
-        data_key=[key], probe_key=["__term"], width=width, max_probes=max_terms, max_bytes=max_bytes)
+        data_key=[key], probe_key=["__term"], width=width, max_probes=max_probes, max_bytes=max_bytes,
+        rows_per_cell=rows_per_cell)
     best = partial.groupBy(F.col(key).alias("__key")).agg(F.min_by(out, "__rank").alias(out))
     return join_spread(df, best, {key: "__key"}).drop("__key")

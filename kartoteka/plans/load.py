@@ -107,6 +107,7 @@ class Landing:
     places: str
     reference: str
     multiline: bool = False
+    reference_multiline: bool = True
 
 
 def full_load(spark: SparkSession, landing: Landing, source: str, as_of: datetime | None = None) -> dict[str, DataFrame]:
@@ -117,7 +118,7 @@ def full_load(spark: SparkSession, landing: Landing, source: str, as_of: datetim
     listings = listings_from(read_tagged_listings(spark, landing.listings, "meals", LISTING_FIELDS, multiline=m), source)
     details = details_from(read_details(spark, landing.details, multiline=m), source)
     places = places_from(read_envelope(spark, landing.places, "meals", PLACE_FIELDS, m),
-                         read_places(spark, landing.reference), source)
+                         read_places(spark, landing.reference, landing.reference_multiline), source)
     tables = {
         "category": categories,
         "ingredients": components,

@@ -14,6 +14,7 @@ from kartoteka.operators.joins import unprocessed
 from kartoteka.operators.probes import MAX_PROBES
 from kartoteka.operators.similarity import cosine_topk
 from kartoteka.operators.tables import insert_if_absent
+from kartoteka.operators.topk import best_per_key
 
 
 def embed_new(
@@ -68,6 +69,11 @@ def semantic_search(
                       **limits)
     if questions.limit(MAX_PROBES + 1).count() <= MAX_PROBES:
         top = F.broadcast(top)  # at most MAX_PROBES * k short rows
+    # a place listed once per cuisine must not repeat the item
+    places, categories = (
+        best_per_key(dim, [on], [F.col(c).asc_nulls_last() for c in dim.columns])
+        for dim, on in ((places, place_on[1]), (categories, category_on[1]))
+    )
     detailed = (
         top.alias("t")
         .join(items.alias("i"), F.col(f"t.{vector_item}") == F.col(f"i.{item_key}"))

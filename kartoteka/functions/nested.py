@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.functions.text import is_blank, split_first, strip
+from kartoteka.functions.text import is_blank, strip
 
 ENTRY = "struct<ingredient:string,measure:string>"
 
 # Fixed value: the position given to map keys that are not numbers.
 UNNUMBERED = 999
+LAST = 2**63 - 1
+
+# Fixed value: what stands between a component and its measure in typed lists.
+PAIR_SEPARATOR = " - "
 
 
 def _entry(component: Column, measure: Column) -> Column:
@@ -50,13 +54,15 @@ def map_to_list(json_text: str | Column) -> Column:
     through. Blank components are dropped. Anything unreadable gives an empty array.
     """
     text = F.col(json_text) if isinstance(json_text, str) else json_text
-    # values are read as text first, so that one odd value does not void the rest
-    pairs = F.map_entries(F.from_json(text, "map<string,string>"))
+    # one odd value voids a map of structs: then every value is read on its own
+    by_value = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda p: F.struct(
+        p["key"].alias("key"), F.from_json(p["value"], ENTRY).alias("value")))
+    pairs = F.coalesce(F.map_entries(F.from_json(text, f"map<string,{ENTRY}>")), by_value)
     ranked = F.transform(pairs, lambda p, i: F.struct(
-        F.when(p["key"].rlike("^[0-9]+$"), p["key"].try_cast("decimal(38,0)"))
-        .otherwise(F.lit(UNNUMBERED).cast("decimal(38,0)")).alias("position"),
+        F.when(p["key"].rlike("^[0-9]+$"), F.coalesce(p["key"].try_cast("bigint"), F.lit(LAST)))
+        .otherwise(F.lit(UNNUMBERED)).alias("position"),
         i.alias("at"),
-        F.from_json(p["value"], ENTRY).alias("entry"),
+        p["value"].alias("entry"),
     ))
     from_object = F.transform(F.array_sort(ranked), lambda r: _entry(
         strip(r["entry"]["ingredient"]), F.coalesce(strip(r["entry"]["measure"]), F.lit(""))))
@@ -71,11 +77,12 @@ def pairs_to_map(text: str | Column) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: strip(p))
     numbered = F.transform(F.filter(parts, lambda p: p != ""), lambda p, i: F.struct(
-        (i + 1).cast("string").alias("key"), split_first(p, " - ").alias("halves")))
-    whole = F.filter(numbered, lambda p: F.size(p["halves"]) == 2)
+        (i + 1).cast("string").alias("key"), p.alias("pair"), F.instr(p, PAIR_SEPARATOR).alias("at")))
+    whole = F.filter(numbered, lambda p: p["at"] > 0)
     return F.map_from_entries(F.transform(whole, lambda p: F.struct(
         p["key"].alias("key"),
-        _entry(strip(p["halves"][0]), strip(p["halves"][1])).alias("value"))))
+        _entry(strip(F.substring(p["pair"], F.lit(1), p["at"] - 1)),
+               strip(F.substring(p["pair"], p["at"] + len(PAIR_SEPARATOR), F.length(p["pair"])))).alias("value"))))
 
 
 def to_json_text(c: str | Column) -> Column:

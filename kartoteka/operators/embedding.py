@@ -63,7 +63,11 @@ def compose_text(name: str, place: str, region: str, instructions: str, componen
 
 def embed(df: DataFrame, text: str, make_encoder: Callable[[], Encoder] = WordHashing, out: str = "embedding",
           batch_size: int = ENCODER_BATCH) -> DataFrame:
-    """Add a vector per row. The encoder is made once per task and fed in batches; nothing is shuffled."""
+    """Add a vector per row. The encoder is made once per task and fed in batches; nothing is shuffled.
+
+    The function is marked nondeterministic only to keep it from running again for
+    every filter on its result.
+    """
 
     @F.arrow_udf("array<float>")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -77,4 +81,4 @@ def embed(df: DataFrame, text: str, make_encoder: Callable[[], Encoder] = WordHa
             offsets = np.arange(len(words) + 1, dtype=np.int32) * dim
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-    return df.withColumn(out, encode(F.col(text)))
+    return df.withColumn(out, encode.asNondeterministic()(F.col(text)))

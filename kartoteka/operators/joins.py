@@ -1,7 +1,9 @@
 """Joins that hold up when one key, or no key at all, fills a third of the table.
 
-No side is broadcast by hint: Spark broadcasts a side whose size it knows to be
-under its threshold, and adaptive execution splits skewed partitions of the rest.
+Spark broadcasts a table whose size it knows to be under its threshold, and adaptive
+execution splits skewed partitions of the rest. It cannot know the size of a side
+that is itself the result of joins before it has started to shuffle the other one:
+such a side is measured first, and broadcast by hint only when it is small.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from kartoteka.operators.topk import best_per_key
 
 _SPREAD = "__spread"
 _SPREAD_BUCKETS = 256
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -47,9 +50,33 @@ def join_spread(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: s
     return joined.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns])
 
 
+def _width(df: DataFrame) -> Column:
+    """Roughly the bytes of a row."""
+    sizes = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif not isinstance(f.dataType, T.AtomicType):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)))
+    return reduce(lambda a, b: a + b, sizes, F.lit(16 * len(df.columns))).cast("bigint")
+
+
+def measured(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The frame, marked for broadcast if counting its bytes showed it to be small."""
+    size = df.agg(F.coalesce(F.sum(_width(df)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 def unprocessed(items: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Items whose key is not in `done`; items without a key are always returned."""
-    return join_spread(items, done.select(*keys), {k: k for k in keys}, "left_anti")
+    """Items whose key is not in `done`; items without a key are always returned.
+
+    Only keys are compared; the wide items then meet the keys that are left, without a
+    shuffle when those are few, as after an incremental load.
+    """
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    left = items.select(*keys).where(has_key).join(done.select(*keys), list(keys), "left_anti")
+    fresh = items.join(measured(left), list(keys), "left_semi")
+    return fresh.unionByName(items.where(~has_key))
 
 
 def dim_lookup(df: DataFrame, dim: DataFrame, on: tuple[str, str], take: Mapping[str, str],

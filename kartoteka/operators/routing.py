@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.functions.text import after_last, drop_words, has_word, is_blank, strip
+from kartoteka.functions.text import drop_words, has_word, is_blank, strip
 from kartoteka.operators.joins import join_spread
-from kartoteka.operators.matching import first_containing, first_contained
+from kartoteka.operators.matching import first_contained, first_containing
+from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import top_per_key
 from kartoteka.sources.landing import SUBMISSION_FIELDS
 
@@ -45,23 +46,26 @@ def normalised(text: str) -> Column:
     return F.lower(strip(text))
 
 
+def _info_phrase(query: Column) -> Column:
+    """The first listed phrase the question has, or NULL."""
+    phrases = F.array(*[F.lit(p) for p in INFO_PHRASES])
+    return F.get(F.filter(phrases, lambda p: F.contains(query, p)), F.lit(0))
+
+
 def asks_info(query: Column) -> Column:
-    hits = [query.contains(p) for p in INFO_PHRASES]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out | h
-    return out
+    return _info_phrase(query).isNotNull()
 
 
 def extract_term(query: Column) -> Column:
     """What the question asks about: the text after the first listed phrase it has, without fillers."""
-    rest = F.coalesce(*[F.when(query.contains(p), after_last(query, p)) for p in INFO_PHRASES], query)
+    rest = F.coalesce(F.call_function("substring_index", query, _info_phrase(query), F.lit(-1)), query)
     return drop_words(rest, FILLER_WORDS)
 
 
 def place_of(query: Column, aliases: Sequence[tuple[str, str]] = PLACE_ALIASES) -> Column:
     """The place of the first listed alias in the text; for short, fixed lists."""
-    return F.coalesce(*[F.when(query.contains(alias), F.lit(place)) for alias, place in aliases])
+    listed = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(p).alias("place")) for a, p in aliases])
+    return F.get(F.filter(listed, lambda a: F.contains(query, a["alias"])), F.lit(0))["place"]
 
 
 def detect_place(questions: DataFrame, key: str, text: str, aliases: DataFrame | Sequence[tuple[str, str]],
@@ -117,8 +121,9 @@ def route_questions(
 
     `detail` is a component's description or an item's place. A question without a hit
     keeps one row, of type no_results or empty_query. `items` are those of the item view.
+    The classified questions are written once, as every kind of answer reads them.
     """
-    asked = classify_questions(questions, key, text, aliases, **limits)
+    asked = staged_table(classify_questions(questions, key, text, aliases, **limits), "questions")
     subjects = lambda route: asked.where(F.col("route") == route)
 
     info = component_info(subjects("component_info"), "subject", components, component_name, component_key,

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    """Rows of length one; a row without length becomes NaN, which is similar to nothing."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def _sortable(column: pa.Array) -> np.ndarray:
@@ -97,10 +100,10 @@ class NearestItems:
 def _scored(corpus: DataFrame, queries: DataFrame, k: int, item: str, vector: str, chunk: str | None, query: str,
             query_vector: str, cell: str | None, cells: str | None, limits: dict) -> DataFrame:
     chunk_col = F.col(chunk).cast("int") if chunk else F.lit(0)
-    data = corpus.where(norm(vector) > 0).select(
+    data = corpus.where(F.col(vector).isNotNull()).select(
         F.col(item).alias("__item"), chunk_col.alias("__chunk"), F.col(vector).alias("__vector"),
         *([F.col(cell).alias("__cell")] if cell else []))
-    probes = queries.where(norm(query_vector) > 0).select(
+    probes = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query).alias("__query"), F.col(query_vector).alias("__vector"),
         *([F.col(cells).alias("__cells")] if cells else []))
     schema = T.StructType([
@@ -141,8 +144,9 @@ class Cells:
     def fit(cls, training: DataFrame, vector: str = "embedding", lists: int = 100, seed: int = 7,
             iterations: int = 10) -> Cells:
         """Cluster the directions of the training vectors."""
-        directions = training.where(norm(vector) > 0).select(array_to_vector(
-            F.transform(F.col(vector).cast("array<double>"), lambda x: x / norm(vector))).alias("direction"))
+        vectors = training.where(norm(vector) > 0).select(
+            array_to_vector(F.col(vector).cast("array<double>")).alias("vector"))
+        directions = Normalizer(inputCol="vector", outputCol="direction").transform(vectors)
         model = KMeans(k=lists, seed=seed, maxIter=iterations, featuresCol="direction").fit(directions)
         return cls(_unit(np.array(model.clusterCenters())))
 
@@ -156,7 +160,7 @@ class Cells:
             flat = pa.array(near.ravel().astype(np.int32))
             return pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), flat)
 
-        return df.withColumn(out, nearest_cells(F.col(vector)))
+        return df.withColumn(out, nearest_cells.asNondeterministic()(F.col(vector)))
 
     def assign(self, corpus: DataFrame, vector: str = "embedding", out: str = "cell") -> DataFrame:
         """Add each vector's cell. Write the result partitioned by it, and searches read few folders."""
@@ -169,7 +173,7 @@ def ann_topk(
     cell: str = "cell", **limits: int,
 ) -> DataFrame:
     """Like `cosine_topk`, but each query looks only into its `probe` nearest cells."""
-    asked = cells.nearest(queries.where(norm(query_vector) > 0), query_vector, "__probe", min(probe, len(cells.centres)))
+    asked = cells.nearest(queries.where(F.col(query_vector).isNotNull()), query_vector, "__probe", min(probe, len(cells.centres)))
     visited = asked.select(F.explode("__probe").alias(cell)).distinct()
     # at most one row per centre, so the side is small whatever the data
     near = celled.join(F.broadcast(visited), cell, "left_semi")

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartoteka.operators.aggregates import counted
-from kartoteka.operators.joins import join_spread
+from kartoteka.operators.joins import join_spread, measured
 from kartoteka.operators.project import with_audit
 from kartoteka.operators.topk import best_per_key
+from kartoteka.session import scratch
 
 _MATCHED = "__matched"
 
@@ -47,7 +48,7 @@ def insert_if_absent(target: DataFrame, staged: DataFrame, keys: Sequence[str],
     columns alone and shuffles nothing while the staged keys are few.
     """
     first = best_per_key(staged, keys, prefer)
-    known = target.select(*keys).join(first.select(*keys), list(keys), "left_semi")
+    known = target.select(*keys).join(measured(first.select(*keys)), list(keys), "left_semi")
     return join_spread(first, known, {k: k for k in keys}, "left_anti")
 
 
@@ -76,13 +77,13 @@ def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str], update_col
 
     new_names = {c: f"__new_{c}" for c in [*keys, *update_cols]}
     changes = latest.select(*[F.col(c).alias(n) for c, n in new_names.items()], F.lit(True).alias(_MATCHED))
-    merged = join_spread(target, changes, {k: new_names[k] for k in keys})
+    merged = join_spread(target, measured(changes), {k: new_names[k] for k in keys})
     updated = merged.select(*[
         F.when(F.col(_MATCHED), F.col(new_names[c])).otherwise(F.col(c)).alias(c) if c in update_cols else F.col(c)
         for c in target.columns
     ])
 
-    known = target.select(*keys).join(latest.select(*keys), list(keys), "left_semi")
+    known = target.select(*keys).join(measured(latest.select(*keys)), list(keys), "left_semi")
     added = latest.join(known, list(keys), "left_anti").unionByName(keyless)
     return updated.unionByName(added.select(*target.columns))
 
@@ -101,6 +102,16 @@ def merge_into(table: str, staged: DataFrame, keys: Sequence[str], update_cols:
     )
 
 
+def staged_table(df: DataFrame, name: str) -> DataFrame:
+    """Write rows that several steps read to the shared folder, and read them back.
+
+    The steps then neither compute them again nor lose them with an executor.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_version(df: DataFrame, root: str, version: int) -> str:
     """Write a whole table as a numbered version; writing the same number again replaces it."""
     path = f"{root}/version={version}"

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from kartoteka.functions.text import override, surrogate_key, template_url
 from kartoteka.operators.filters import modified_since
 from kartoteka.operators.joins import denormalize, dim_lookup
 from kartoteka.operators.project import rename_select, with_audit
-from kartoteka.operators.tables import KEPT_ON_UPDATE, upsert
+from kartoteka.operators.tables import KEPT_ON_UPDATE, staged_table, upsert
 from kartoteka.sources.landing import (
     CATEGORY_FIELDS,
     COMPONENT_FIELDS,
@@ -149,6 +148,6 @@ def incremental_upsert(
 ) -> DataFrame:
     """The target with the staged items merged in; an empty staged set changes nothing.
 
-    The staged items are joined to the target twice, so they are kept, on disk if need be.
+    The staged items are written first: merging reads them several times.
     """
-    return upsert(target, staged.persist(StorageLevel.MEMORY_AND_DISK), keys, update_cols, newest_by)
+    return upsert(target, staged_table(staged, "staged"), keys, update_cols, newest_by)

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from kartoteka.functions.nested import map_to_list
 from kartoteka.operators.embedding import Encoder, WordHashing, compose_text, embed
-from kartoteka.operators.joins import unprocessed
-from kartoteka.operators.probes import MAX_PROBES
+from kartoteka.operators.joins import measured, unprocessed
 from kartoteka.operators.similarity import cosine_topk
-from kartoteka.operators.tables import insert_if_absent
+from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import best_per_key
 
 
@@ -30,12 +29,11 @@ def embed_new(
     composed = text if text is not None else compose_text(
         "name_meal", "country", "region", "instructions", "ingredient_measure")
     now = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
-    rows = embed(
-        fresh.select("external_id_meal", F.col("id_guid_sk").alias("guid_recipe"), F.lit(0).alias("chunk_index"),
-                     composed.alias("chunk_text")),
-        "chunk_text", make_encoder)
-    staged = rows.withColumns({"model_name": F.lit(model_name), "created_at": now})
-    return insert_if_absent(vectors, staged, ["guid_recipe", "chunk_index"], ["chunk_text"])
+    rows = fresh.select("external_id_meal", F.col("id_guid_sk").alias("guid_recipe"), F.lit(0).alias("chunk_index"),
+                        composed.alias("chunk_text"))
+    # an item that is listed twice is embedded once, and only text is shuffled to find out
+    once = best_per_key(rows, ["guid_recipe", "chunk_index"], ["chunk_text"])
+    return embed(once, "chunk_text", make_encoder).withColumns({"model_name": F.lit(model_name), "created_at": now})
 
 
 def semantic_search(
@@ -67,8 +65,7 @@ def semantic_search(
     eligible = vectors.join(whole, vector_item, "left_semi")
     top = cosine_topk(eligible, asked, k, item=vector_item, chunk=chunk, query=question_key, query_vector="__asked",
                       **limits)
-    if questions.limit(MAX_PROBES + 1).count() <= MAX_PROBES:
-        top = F.broadcast(top)  # at most MAX_PROBES * k short rows
+    top = measured(staged_table(top, "nearest"))
     # a place listed once per cuisine must not repeat the item
     places, categories = (
         best_per_key(dim, [on], [F.col(c).asc_nulls_last() for c in dim.columns])

@@ -60,7 +60,7 @@ def cells_of(source: str, key: str, text: str) -> str:
 
 
 def hashed(spark, folder):
-    vectors = embed(table(spark, folder, "documents"), "text").select("doc_id", F.posexplode("embedding").alias("bucket", "n"))
+    vectors = embed(table(spark, folder, "documents"), "text").select("doc_id", F.posexplode_outer("embedding").alias("bucket", "n"))
     return vectors.where("n > 0").select("doc_id", F.col("bucket").cast("bigint").alias("bucket"),
                                          F.col("n").cast("bigint").alias("n"))
 

@@ -63,12 +63,12 @@ def scan_probes(
 
     cells = max(1, math.ceil(data.count() / rows_per_cell))
     rows = (
-        data.withColumn("__cell", F.pmod(F.xxhash64(*data_key), F.lit(cells)))
-        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        data.withColumn("__grid_rows", F.pmod(F.xxhash64(*data_key), F.lit(cells)))
+        .withColumn("__grid_probes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
     asked = (
-        probes.withColumn("__block", F.pmod(F.xxhash64(*probe_key), F.lit(blocks)).cast("int"))
-        .withColumn("__cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))))
+        probes.withColumn("__grid_probes", F.pmod(F.xxhash64(*probe_key), F.lit(blocks)).cast("int"))
+        .withColumn("__grid_rows", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))))
     )
 
     def compare(some_rows: pa.Table, some_probes: pa.Table) -> pa.Table:
@@ -78,6 +78,6 @@ def scan_probes(
         return pa.Table.from_batches([kernel.result()])
 
     return (
-        rows.groupBy("__cell", "__block").cogroup(asked.groupBy("__cell", "__block"))
+        rows.groupBy("__grid_rows", "__grid_probes").cogroup(asked.groupBy("__grid_rows", "__grid_probes"))
         .applyInArrow(compare, schema)
     )

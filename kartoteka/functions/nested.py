@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartoteka.functions.text import is_blank, strip
+from kartoteka.functions.text import WHITESPACE, is_blank, strip
 
 ENTRY = "struct<ingredient:string,measure:string>"
 
@@ -81,8 +81,10 @@ def pairs_to_map(text: str | Column) -> Column:
     whole = F.filter(numbered, lambda p: p["at"] > 0)
     return F.map_from_entries(F.transform(whole, lambda p: F.struct(
         p["key"].alias("key"),
-        _entry(strip(F.substring(p["pair"], F.lit(1), p["at"] - 1)),
-               strip(F.substring(p["pair"], p["at"] + len(PAIR_SEPARATOR), F.length(p["pair"])))).alias("value"))))
+        # the pair is stripped already, so each half has white space on one side only
+        _entry(F.rtrim(F.substring(p["pair"], F.lit(1), p["at"] - 1), F.lit(WHITESPACE)),
+               F.ltrim(F.substring(p["pair"], p["at"] + len(PAIR_SEPARATOR), F.length(p["pair"])), F.lit(WHITESPACE))
+               ).alias("value"))))
 
 
 def to_json_text(c: str | Column) -> Column:

@@ -15,12 +15,15 @@ from pyspark.sql import types as T
 
 from kartoteka.functions.vectors import norm
 from kartoteka.operators.probes import scan_probes, to_arrow_schema
-from kartoteka.operators.topk import best_per_key, merge_top
+from kartoteka.operators.topk import merge_top
 
 # Similarities are compared at this many digits, so that equal vectors tie
 # whichever batch they are read in, and ties go to the lower item.
 DIGITS = 9
 
+# Scores held in memory at a time.
+SCORES_AT_ONCE = 4_000_000
+
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -60,8 +63,13 @@ class NearestItems:
         return allowed
 
     def add(self, batch: pa.RecordBatch) -> None:
-        if not len(batch) or self.vectors is None:
+        if self.vectors is None:
             return
+        step = max(1, SCORES_AT_ONCE // len(self.vectors))
+        for start in range(0, len(batch), step):
+            self._add(batch.slice(start, step))
+
+    def _add(self, batch: pa.RecordBatch) -> None:
         items, chunks = _sortable(batch["__item"]), batch["__chunk"].to_numpy(zero_copy_only=False)
         found = np.round(self.vectors @ _unit(_matrix(batch["__vector"])).T, DIGITS)
         wanted = found >= self.floor[:, None]
@@ -117,8 +125,8 @@ def _scored(corpus: DataFrame, queries: DataFrame, k: int, item: str, vector: st
         data, probes, lambda held: NearestItems(held, k, out), schema,
         data_key=["__item", "__chunk"], probe_key=["__query"], width=F.size("__vector") * 8, **limits)
     nearest_first = [F.col("similarity").desc(), F.col("chunk")]
-    per_item = best_per_key(partial, [query, item], nearest_first)
-    ranked = merge_top(per_item, [query], [F.col("similarity").desc(), F.col(item)], k, salt_on=[item], rank_as="rank")
+    ranked = merge_top(partial, [query], [F.col("similarity").desc(), F.col(item)], k, salt_on=[item], rank_as="rank",
+                       first_of=nearest_first)
     return ranked.select(query, "rank", item, "chunk", "similarity")
 
 

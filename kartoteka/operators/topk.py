@@ -52,8 +52,14 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
 
 
 def merge_top(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, salt_on: Sequence[str],
-              rank_as: str | None = None, salts: int = 64) -> DataFrame:
-    """`top_per_key` for few keys with very many rows: once per key and salt, then per key."""
+              rank_as: str | None = None, first_of: Sequence[str | Column] | None = None, salts: int = 64) -> DataFrame:
+    """`top_per_key` for few keys with very many rows: once per key and salt, then per key.
+
+    With `first_of`, rows that agree in `salt_on` count once: the first in that order.
+    They share a salt, so this takes no shuffle of its own.
+    """
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
+    if first_of is not None:
+        salted = best_per_key(salted.repartition(*keys, "__salt"), [*keys, "__salt", *salt_on], first_of)
     partial = top_per_key(salted, [*keys, "__salt"], order, k).drop("__salt")
     return top_per_key(partial, keys, order, k, rank_as)

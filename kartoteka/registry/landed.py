@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kartoteka.functions.nested import explode_components
-from kartoteka.operators.joins import denormalize
 from kartoteka.plans import load
 from kartoteka.registry.base import Query, key_sql, land, table
 from kartoteka.registry.shaping import REACHED_SQL, SLOTS, slots

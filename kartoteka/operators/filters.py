@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartoteka.functions.text import contains_ci, eq_ci, parse_day
 
@@ -33,8 +34,12 @@ def keyword_search(
 
 
 def modified_since(df: DataFrame, column: str, as_of: date, days: int) -> DataFrame:
-    """Rows changed in the last days, the boundary day included; unreadable dates are dropped."""
-    return df.where(parse_day(column) >= F.date_sub(F.lit(as_of), days))
+    """Rows changed in the last days, the boundary day included; unreadable dates are dropped.
+
+    A typed date or timestamp is compared as it is, so that files can be skipped by it.
+    """
+    typed = isinstance(df.schema[column].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    return df.where((F.col(column) if typed else parse_day(column)) >= F.lit(as_of - timedelta(days=days)))
 
 
 def null_rows(df: DataFrame, column: str) -> DataFrame:

@@ -11,7 +11,7 @@ from kartoteka.functions.text import drop_words, has_word, is_blank, strip
 from kartoteka.operators.joins import join_spread
 from kartoteka.operators.matching import first_contained, first_containing
 from kartoteka.operators.tables import staged_table
-from kartoteka.operators.topk import top_per_key
+from kartoteka.operators.topk import merge_top
 from kartoteka.sources.landing import SUBMISSION_FIELDS
 
 # Phrases that ask about a component, in order of precedence.
@@ -131,8 +131,8 @@ def route_questions(
     by_name = first_containing(items, item_name, subjects("name"), "subject", shown,
                                order=[item_name, item_key], carry=[item_place], **limits)
     asked_places = subjects("place").select(F.col("subject").alias(item_place)).distinct()
-    by_place = top_per_key(items.join(asked_places, item_place, "left_semi"), [item_place], [item_name, item_key],
-                           shown, "rank")
+    by_place = merge_top(items.join(asked_places, item_place, "left_semi"), [item_place], [item_name, item_key],
+                         shown, salt_on=[item_key], rank_as="rank")
 
     as_hit = lambda route, subject, rank, k, name, detail: [
         F.lit(route).alias("__route"), F.col(subject).alias("__subject"), rank.cast("int").alias("rank"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,9 +101,13 @@ def as_text_dates(spark, folder):
 
 
 def recent(spark, folder):
-    import datetime
+    return modified_since(as_text_dates(spark, folder), "modified", date.fromisoformat(AS_OF), DAYS)
+
 
-    return modified_since(as_text_dates(spark, folder), "modified", datetime.date.fromisoformat(AS_OF), DAYS)
+def recent_typed(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    found = modified_since(orders, "o_orderdate", date.fromisoformat(AS_OF), DAYS)
+    return found.select("o_orderkey", "o_totalprice")
 
 
 def missing_labels(spark, folder):
@@ -201,6 +207,8 @@ QUERIES = {
                 WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:00:00'
                 ELSE strftime(o_orderdate, '%Y-%m-%d') END AS modified FROM orders)
         WHERE try_strptime(left(modified, 10), '%Y-%m-%d')::DATE >= DATE '{AS_OF}' - {DAYS}"""),
+    "modified_since_typed": Query(recent_typed, f"""
+        SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= DATE '{AS_OF}' - {DAYS}"""),
     "null_rows": Query(missing_labels, """
         SELECT d.doc_id, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NULL"""),
     "blank_rows": Query(blank_names, "SELECT event_id FROM events WHERE event_id % 4 < 3"),

@@ -57,6 +57,11 @@ def test_point_lookup_is_pushed_into_the_scan(spark):
     assert "EqualTo(o_orderkey,7)" in plan
 
 
+def test_recent_rows_are_found_by_the_scan(spark):
+    plan = QUERIES["modified_since_typed"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan
+
+
 def test_pages_keep_only_their_rows(spark):
     plan = QUERIES["list_page"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and plan.count("BroadcastHashJoin") == 2

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from operator import itemgetter
 
 import ahocorasick
@@ -47,19 +47,24 @@ class FirstTexts:
         self.first: list[list[tuple]] = [[] for _ in self.terms]
 
     def add(self, batch: pa.RecordBatch) -> None:
-        order = list(zip(*(batch[c].to_pylist() for c in self.order)))
         for row, text in enumerate(batch["__text"].to_pylist()):
             if text is None:
                 continue
             hits = {i for _, i in self.automaton.iter(text)} if self.automaton is not None else set()
-            for i in hits | self.in_all:
+            hits |= self.in_all
+            if not hits:
+                continue
+            where = [batch[c][row].as_py() for c in self.order]
+            nulls_last = [(v is None, v) for v in where]
+            for i in hits:
                 first = self.first[i]
-                if len(first) < self.k or order[row] < first[-1][0]:
-                    insort(first, (order[row], [batch[c][row].as_py() for c in self.carry]), key=itemgetter(0))
+                if len(first) < self.k or nulls_last < first[-1][0]:
+                    carried = [batch[c][row].as_py() for c in self.carry]
+                    insort(first, (nulls_last, where + carried), key=itemgetter(0))
                     del first[self.k:]
 
     def result(self) -> pa.RecordBatch:
-        rows = [(t, *where, *carried) for t, first in zip(self.terms, self.first) for where, carried in first]
+        rows = [(t, *values) for t, first in zip(self.terms, self.first) for _, values in first]
         return pa.RecordBatch.from_pylist([dict(zip(self.out.names, r)) for r in rows], schema=self.out)
 
 
@@ -125,12 +130,13 @@ def first_contained(
         out_schema = to_arrow_schema(T.StructType([T.StructField("take", T.StringType())]))
 
         @F.arrow_udf("string")
-        def look(texts: pa.Array) -> pa.Array:
+        def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             first = FirstTerm(held, key, out_schema)
-            hits = (first.lookup(t) for t in texts.to_pylist())
-            return pa.array([None if at is None else first.takes[at] for at in hits], pa.string())
+            for texts in batches:
+                hits = (first.lookup(t) for t in texts.to_pylist())
+                yield pa.array([None if at is None else first.takes[at] for at in hits], pa.string())
 
-        return df.withColumn(out, look(F.lower(text)))
+        return df.withColumn(out, look.asNondeterministic()(F.lower(text)))
 
     schema = T.StructType([df.schema[key], T.StructField("__rank", listed.schema["__rank"].dataType),
                            T.StructField(out, T.StringType())])

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.functions.nested import map_to_list
+from kartoteka.functions.text import preview
 from kartoteka.operators.embedding import Encoder, WordHashing, compose_text, embed
 from kartoteka.operators.joins import measured, unprocessed
 from kartoteka.operators.similarity import cosine_topk
 from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import best_per_key
 
+# Fixed value: characters of matched text shown.
+CHUNK_TEXT = 150
+
 
 def embed_new(
     items: DataFrame, vectors: DataFrame, model_name: str, make_encoder: Callable[[], Encoder] = WordHashing,
@@ -36,6 +40,26 @@ def embed_new(
     return embed(once, "chunk_text", make_encoder).withColumns({"model_name": F.lit(model_name), "created_at": now})
 
 
+def nearest_chunks(
+    questions: DataFrame, vectors: DataFrame, items: DataFrame, k: int, *, question_key: str = "question_id",
+    question_text: str = "text", make_encoder: Callable[[], Encoder] = WordHashing, key: str = "external_id_meal",
+    show: Sequence[str] = ("name_meal", "country", "region"), **limits: int,
+) -> DataFrame:
+    """The k items nearest to each question by their external id, with the start of the text that matched.
+
+    Items without an external id are not found; neither are vectors without an item.
+    """
+    asked = embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked")
+    eligible = vectors.join(items.select(key), key, "left_semi")
+    top = measured(staged_table(cosine_topk(
+        eligible, asked, k, item=key, chunk="chunk_index", query=question_key, query_vector="__asked", **limits), "nearest"))
+    texts = vectors.select(key, F.col("chunk_index").alias("chunk"), preview("chunk_text", CHUNK_TEXT).alias("chunk_text"))
+    return (
+        texts.join(top, [key, "chunk"]).join(items.select(key, *show), key)
+        .select(question_key, "rank", key, *show, "chunk_text", F.round("similarity", 4).alias("similarity"))
+    )
+
+
 def semantic_search(
     questions: DataFrame, vectors: DataFrame, items: DataFrame, places: DataFrame, categories: DataFrame, k: int,
     *, question_key: str = "question_id", question_text: str = "text",

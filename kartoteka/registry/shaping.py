@@ -252,7 +252,7 @@ QUERIES = {
         SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY n)::INT AS position, ingredient, measure
         FROM ({SLOTS_SQL})"""),
     "map_to_list_odd": Query(odd_json, """
-        SELECT DISTINCT l_orderkey, CASE l_orderkey % 4 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS n,
+        SELECT DISTINCT l_orderkey, CASE l_orderkey % 4 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END::BIGINT AS n,
                CASE l_orderkey % 4 WHEN 2 THEN 'q' || l_orderkey || '|r' WHEN 3 THEN 'first|k|last' ELSE '' END AS names,
                CASE l_orderkey % 4 WHEN 2 THEN '9' WHEN 3 THEN '1||' ELSE '' END AS measures
         FROM lineitem"""),

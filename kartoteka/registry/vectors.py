@@ -13,7 +13,7 @@ from kartoteka.functions.vectors import cosine, cosine_distance, norm
 from kartoteka.operators.aggregates import coverage_stats
 from kartoteka.operators.embedding import compose_text, embed
 from kartoteka.operators.similarity import Cells, ann_topk, cosine_topk
-from kartoteka.plans.search import embed_new, semantic_search
+from kartoteka.plans.search import embed_new, nearest_chunks, semantic_search
 from kartoteka.registry.base import Query, table
 
 K = 5
@@ -161,6 +161,16 @@ def model_coverage(spark, folder):
     return coverage_stats(old.unionByName(new), "model_name", "guid_recipe")
 
 
+def chunked(spark, folder):
+    """Benchmark passages as questions; every third document has no external id."""
+    every = items(spark, folder).withColumn(
+        "external_id_meal", F.when(F.col("id_guid_sk") % 3 > 0, F.col("id_guid_sk")))
+    found = nearest_chunks(
+        table(spark, folder, "benchmark").withColumnRenamed("item_id", "question_id"),
+        stored_vectors(spark, folder, every), every, K)
+    return found.select("question_id", "rank", "external_id_meal", "name_meal", "country", "region", "chunk_text", "similarity")
+
+
 def searched(spark, folder):
     """Benchmark passages as questions to the documents that have a place and a category."""
     every = items(spark, folder)
@@ -206,6 +216,22 @@ QUERIES = {
         SELECT CASE WHEN l.doc_id IS NULL THEN 'words-64' ELSE 'words-64-b' END AS model_name,
                count(*) AS total, count(DISTINCT d.doc_id) AS unique_keys
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"""),
+    "nearest_chunks": Query(chunked, f"""
+        WITH d AS ({cells_of("documents", "doc_id", "text")}), q AS ({cells_of("benchmark", "item_id", "text")}),
+        dn AS (SELECT doc_id, sum(n * n) AS s FROM d GROUP BY 1), qn AS (SELECT item_id, sum(n * n) AS s FROM q GROUP BY 1),
+        sims AS (
+            SELECT item_id, d.doc_id, sum(q.n * d.n) / (sqrt(any_value(qn.s)) * sqrt(any_value(dn.s))) AS similarity
+            FROM q JOIN d ON q.bucket = d.bucket AND d.doc_id % 3 > 0
+            JOIN qn USING (item_id) JOIN dn ON dn.doc_id = d.doc_id GROUP BY item_id, d.doc_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM sims)
+        SELECT item_id AS question_id, rank::INT AS rank, doc_id AS external_id_meal, source AS name_meal,
+               CASE WHEN doc_id % 9 > 0 THEN 'NATION_' || (doc_id % 30) END AS country,
+               CASE WHEN doc_id % 2 = 0 THEN lang END AS region,
+               CASE WHEN length(c.chunk_text) > 150 THEN left(c.chunk_text, 150) || '...' ELSE c.chunk_text END AS chunk_text,
+               round(similarity, 4) AS similarity
+        FROM ranked JOIN documents USING (doc_id) JOIN (SELECT doc_id, text AS chunk_text FROM documents) c USING (doc_id)
+        WHERE rank <= {K}"""),
     "semantic_search": Query(searched, f"""
         WITH d AS ({cells_of("documents", "doc_id", "text")}), q AS ({cells_of("benchmark", "item_id", "text")}),
         dn AS (SELECT doc_id, sum(n * n) AS s FROM d GROUP BY 1), qn AS (SELECT item_id, sum(n * n) AS s FROM q GROUP BY 1),

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# A response that is not JSON stops the load: its rows would be missing without a trace.
+STRICT = "FAILFAST"
+
+
 def text_fields(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -50,7 +54,7 @@ def read_envelope(
     Envelopes whose list is null or empty give no rows. With one response per
     line the files stay splittable; `multiline` is for pretty-printed responses.
     """
-    envelopes = spark.read.schema(_enveloped(list_field, fields)).json(path, multiLine=multiline)
+    envelopes = spark.read.schema(_enveloped(list_field, fields)).json(path, multiLine=multiline, mode=STRICT)
     return envelopes.select(F.inline(list_field))
 
 
@@ -60,7 +64,7 @@ def read_tagged_listings(
 ) -> DataFrame:
     """All listings under `root/<tag>=<value>/`, each row tagged with its folder's value."""
     schema = _enveloped(list_field, fields).add(tag, T.StringType())
-    envelopes = spark.read.schema(schema).json(root, multiLine=multiline)
+    envelopes = spark.read.schema(schema).json(root, multiLine=multiline, mode=STRICT)
     return envelopes.select(F.inline(list_field), F.col(tag).alias(tag_as))
 
 
@@ -74,7 +78,7 @@ def read_details(
 
 def read_places(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
     """Country reference file to (country, acronym, region)."""
-    return spark.read.schema(ISO_PLACE).json(path, multiLine=multiline).select(
+    return spark.read.schema(ISO_PLACE).json(path, multiLine=multiline, mode=STRICT).select(
         F.col("name.common").alias("country"), F.col("cca2").alias("acronym"), F.col("subregion").alias("region")
     )
 
@@ -83,8 +87,8 @@ def read_submissions(
     spark: SparkSession, path: str | list[str], extra: T.StructType | None = None, multiline: bool = False
 ) -> DataFrame:
     fields = T.StructType((extra.fields if extra else []) + SUBMISSION_FIELDS.fields)
-    return spark.read.schema(fields).json(path, multiLine=multiline)
+    return spark.read.schema(fields).json(path, multiLine=multiline, mode=STRICT)
 
 
 def read_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.schema(QUESTION_FIELDS).json(path)
+    return spark.read.schema(QUESTION_FIELDS).json(path, mode=STRICT)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from kartoteka.plans.load import Landing, full_load
@@ -24,6 +25,12 @@ def test_envelope_pretty_printed_and_per_line(spark, tmp_path):
     assert pretty.columns == src.CATEGORY_FIELDS.names
 
 
+def test_a_response_that_is_not_json_stops_the_load(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"categories": [{"idCategory": "1"}]}\n\n{"categories": [{"idCat')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        src.read_envelope(spark, str(tmp_path / "a.json"), "categories", src.CATEGORY_FIELDS).collect()
+
+
 def test_tagged_listings_take_the_folder_name(spark, tmp_path):
     write(tmp_path / "category=Side Dish" / "1.json", {"meals": [{"idMeal": "1"}, {"idMeal": "2"}]})
     write(tmp_path / "category=007" / "1.json", {"meals": [{"idMeal": "3"}]})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kartoteka.functions.vectors import cosine, cosine_distance, norm
 from kartoteka.operators.embedding import WordHashing, compose_text, embed
 from kartoteka.operators.similarity import Cells, ann_topk, cosine_topk
-from kartoteka.plans.search import embed_new, semantic_search
+from kartoteka.plans.search import embed_new, nearest_chunks, semantic_search
 
 
 def table(spark, vectors, chunks=1):
@@ -163,6 +163,15 @@ def test_embed_new_only_embeds_what_is_missing(spark):
     assert embed_new(items, first.unionByName(second), "m").count() == 0
 
 
+def test_nearest_chunks_need_an_external_id(spark):
+    items, _, _ = catalogue(spark)
+    vectors = embed_new(items, spark.createDataFrame([], NO_VECTORS), "m")
+    questions = spark.createDataFrame([(1, "red beans")], "question_id int, text string")
+    got = nearest_chunks(questions, vectors, items, 2).orderBy("rank").collect()
+    assert [(r.name_meal, r.region) for r in got] == [("Red stew", None), ("Red soup", "South")]
+    assert got[0].chunk_text == "Recipe: Red stew | Country: Nowhere | Instructions: boil red beans"
+
+
 def test_semantic_search_gives_no_slot_to_incomplete_items(spark):
     items, places, categories = catalogue(spark)
     vectors = embed_new(items, spark.createDataFrame([], NO_VECTORS), "m")

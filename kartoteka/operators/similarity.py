@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kartoteka.functions.vectors import norm
+from kartoteka.operators.joins import measured
 from kartoteka.operators.probes import scan_probes, to_arrow_schema
-from kartoteka.operators.topk import merge_top
+from kartoteka.operators.tables import staged_table
+from kartoteka.operators.topk import merge_top, top_per_key
 
 # Similarities are compared at this many digits, so that equal vectors tie
 # whichever batch they are read in, and ties go to the lower item.
@@ -108,7 +110,7 @@ class NearestItems:
 def _scored(corpus: DataFrame, queries: DataFrame, k: int, item: str, vector: str, chunk: str | None, query: str,
             query_vector: str, cell: str | None, cells: str | None, limits: dict) -> DataFrame:
     chunk_col = F.col(chunk).cast("int") if chunk else F.lit(0)
-    data = corpus.where(F.col(vector).isNotNull()).select(
+    data = corpus.where(F.col(vector).isNotNull() & F.col(item).isNotNull()).select(
         F.col(item).alias("__item"), chunk_col.alias("__chunk"), F.col(vector).alias("__vector"),
         *([F.col(cell).alias("__cell")] if cell else []))
     probes = queries.where(F.col(query_vector).isNotNull()).select(
@@ -142,6 +144,33 @@ def cosine_topk(
     return _scored(corpus, queries, k, item, vector, chunk, query, query_vector, None, None, limits)
 
 
+def cosine_topk_among(
+    corpus: DataFrame, queries: DataFrame, k: int, allowed: DataFrame, *, item: str, query: str = "query_id",
+    widen: int = 4, **how: object,
+) -> DataFrame:
+    """`cosine_topk` over the items that `allowed`, a frame with the item column, has.
+
+    Sorting out the vectors first would shuffle all of them. Instead a longer list is
+    found by a scan and sorted out afterwards. A query whose list was full and yet left
+    it with fewer than k items is asked again, among the allowed vectors only.
+    """
+    longer = staged_table(cosine_topk(corpus, queries, k * widen, item=item, query=query, **how), "longer")
+    valid = allowed.select(item).join(measured(longer.select(item).distinct()), item, "left_semi").distinct()
+    kept = longer.drop("rank").join(measured(valid), item, "left_semi")
+    order = [F.col("similarity").desc(), F.col(item)]
+    top = staged_table(top_per_key(kept, [query], order, k, "rank").select(longer.columns), "kept")
+
+    full = longer.groupBy(query).agg(F.count("*").alias("__found")).where(F.col("__found") == k * widen)
+    enough = top.groupBy(query).agg(F.count("*").alias("__kept")).where(F.col("__kept") == k)
+    short = full.join(enough, query, "left_anti").select(query)
+    if short.isEmpty():
+        return top
+    again = cosine_topk(
+        corpus.join(allowed.select(item), item, "left_semi"), queries.join(short, query, "left_semi"), k,
+        item=item, query=query, **how)
+    return top.join(short, query, "left_anti").unionByName(again)
+
+
 @dataclass(frozen=True)
 class Cells:
     """Centres that divide a vector table; a bounded array of `lists` x dimension."""

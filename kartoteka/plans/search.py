@@ -12,7 +12,7 @@ from kartoteka.functions.nested import map_to_list
 from kartoteka.functions.text import preview
 from kartoteka.operators.embedding import Encoder, WordHashing, compose_text, embed
 from kartoteka.operators.joins import measured, unprocessed
-from kartoteka.operators.similarity import cosine_topk
+from kartoteka.operators.similarity import cosine_topk_among
 from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import best_per_key
 
@@ -50,12 +50,14 @@ def nearest_chunks(
     Items without an external id are not found; neither are vectors without an item.
     """
     asked = embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked")
-    eligible = vectors.join(items.select(key), key, "left_semi")
-    top = measured(staged_table(cosine_topk(
-        eligible, asked, k, item=key, chunk="chunk_index", query=question_key, query_vector="__asked", **limits), "nearest"))
+    top = staged_table(cosine_topk_among(
+        vectors, asked, k, items, item=key, chunk="chunk_index", query=question_key, query_vector="__asked", **limits),
+        "nearest")
     texts = vectors.select(key, F.col("chunk_index").alias("chunk"), preview("chunk_text", CHUNK_TEXT).alias("chunk_text"))
+    # both wide tables are cut down to the winners before these meet
+    winners = items.select(key, *show).join(measured(top.select(key)), key, "left_semi")
     return (
-        texts.join(top, [key, "chunk"]).join(items.select(key, *show), key)
+        texts.join(measured(top), [key, "chunk"]).join(winners, key)
         .select(question_key, "rank", key, *show, "chunk_text", F.round("similarity", 4).alias("similarity"))
     )
 
@@ -76,8 +78,8 @@ def semantic_search(
 ) -> DataFrame:
     """The k items most like each question, with item, place and category details.
 
-    An item without place or category takes no slot, so vectors are first reduced to
-    complete items; the wide detail columns only meet the rows that won.
+    An item without place or category takes no slot; the wide detail columns only meet
+    the rows that won.
     """
     asked = embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked")
     whole = (
@@ -86,9 +88,8 @@ def semantic_search(
         .join(categories.select(F.col(category_on[1]).alias(category_on[0])), category_on[0], "left_semi")
         .select(F.col(item_key).alias(vector_item))
     )
-    eligible = vectors.join(whole, vector_item, "left_semi")
-    top = cosine_topk(eligible, asked, k, item=vector_item, chunk=chunk, query=question_key, query_vector="__asked",
-                      **limits)
+    top = cosine_topk_among(vectors, asked, k, whole, item=vector_item, chunk=chunk, query=question_key,
+                            query_vector="__asked", **limits)
     top = measured(staged_table(top, "nearest"))
     # a place listed once per cuisine must not repeat the item
     places, categories = (

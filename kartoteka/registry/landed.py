@@ -107,13 +107,14 @@ def item_details(spark, folder):
 
 
 def landed_places(spark, folder) -> tuple[str, str]:
-    """The place list, and a country reference that lacks every fifth nation."""
+    """The place list, and a country reference whose names start five nations later."""
     nation = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     entry = F.struct(as_text("strArea", F.concat(F.lit("Area "), "n_name")), as_text("strCountry", "n_name"))
     listed = land(nation.select(enveloped("meals", F.array(entry))), "places")
-    reference = nation.where("n_nationkey % 5 != 4").select(
-        F.struct(as_text("common", "n_name"), as_text("official", F.upper("n_name"))).alias("name"),
+    common = F.concat(F.lit("NATION_"), F.col("n_nationkey") + 5)
+    reference = nation.select(
+        F.struct(as_text("common", common), as_text("official", F.lower(common))).alias("name"),
         as_text("cca2", F.concat(F.lit("N"), "n_nationkey")), as_text("subregion", "r_name"))
     return listed, land(reference, "reference")
 
@@ -125,11 +126,11 @@ def place_list(spark, folder):
 
 
 PLACES_SQL = f"""
-    SELECT {key_sql("'landing'", "'place'", "n_name", "'Area ' || n_name")} AS id_guid_sk, n_name AS country,
-           'Area ' || n_name AS cuisine, CASE WHEN n_nationkey % 5 != 4 THEN 'N' || n_nationkey END AS acronym,
-           CASE WHEN n_nationkey % 5 != 4 THEN r_name END AS region,
-           CASE WHEN n_nationkey % 5 != 4 THEN '{load.FLAG_PREFIX}n' || n_nationkey || '{load.FLAG_SUFFIX}' END AS image
-    FROM nation JOIN region ON n_regionkey = r_regionkey
+    SELECT {key_sql("'landing'", "'place'", "n.n_name", "'Area ' || n.n_name")} AS id_guid_sk, n.n_name AS country,
+           'Area ' || n.n_name AS cuisine, 'N' || e.n_nationkey AS acronym, r_name AS region,
+           '{load.FLAG_PREFIX}n' || e.n_nationkey || '{load.FLAG_SUFFIX}' AS image
+    FROM nation n LEFT JOIN nation e ON n.n_name = 'NATION_' || (e.n_nationkey + 5)
+    LEFT JOIN region ON e.n_regionkey = r_regionkey
 """
 
 

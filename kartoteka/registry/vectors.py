@@ -13,6 +13,7 @@ from kartoteka.functions.vectors import cosine, cosine_distance, norm
 from kartoteka.operators.aggregates import coverage_stats
 from kartoteka.operators.embedding import compose_text, embed
 from kartoteka.operators.similarity import Cells, ann_topk, cosine_topk
+from kartoteka.operators.tables import staged_table
 from kartoteka.plans.search import embed_new, nearest_chunks, semantic_search
 from kartoteka.registry.base import Query, table
 
@@ -142,7 +143,8 @@ def all_cells(spark, folder):
 def stored_vectors(spark, folder, among: DataFrame) -> DataFrame:
     none = spark.createDataFrame([], "external_id_meal bigint, guid_recipe bigint, chunk_index int, chunk_text string, "
                                      "embedding array<float>, model_name string, created_at timestamp")
-    return embed_new(among, none, "words-64", as_of=datetime(2024, 1, 1), text=F.col("instructions"))
+    rows = embed_new(among, none, "words-64", as_of=datetime(2024, 1, 1), text=F.col("instructions"))
+    return staged_table(rows, "vectors")
 
 
 def newly_embedded(spark, folder):

@@ -91,7 +91,7 @@ def test_explode_components(spark):
 word = st.text(alphabet="abcé ü%", min_size=1, max_size=8).map(str.strip).filter(bool)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.tuples(word, word), max_size=12), min_size=1, max_size=20))
 def test_typed_pairs_round_trip(spark, cases):
     typed = [(i, "; ".join(f"{c} - {m}" for c, m in case)) for i, case in enumerate(cases)]
@@ -100,7 +100,7 @@ def test_typed_pairs_round_trip(spark, cases):
     assert [[tuple(e) for e in r["l"]] for r in back] == cases
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.dictionaries(
     st.sampled_from(["1", "2", "10", "007", "x", "y", "1001"]),
     st.fixed_dictionaries({"ingredient": st.sampled_from(["a", " b ", "", "c"]), "measure": st.sampled_from(["", " 1 "])})),

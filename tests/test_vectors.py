@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kartoteka.functions.vectors import cosine, cosine_distance, norm
 from kartoteka.operators.embedding import WordHashing, compose_text, embed
-from kartoteka.operators.similarity import Cells, ann_topk, cosine_topk
+from kartoteka.operators.similarity import Cells, ann_topk, cosine_topk, cosine_topk_among
 from kartoteka.plans.search import embed_new, nearest_chunks, semantic_search
 
 
@@ -60,6 +60,18 @@ def test_cosine_topk_equals_brute_force(spark, chunks, limits):
     assert result(got) == sorted(brute_force(vectors, queries, 6, chunks))
 
 
+@pytest.mark.parametrize("share", [2, 40])
+def test_topk_among_equals_brute_force(spark, share):
+    """With every second item allowed the longer list does; with every fortieth, queries are asked again."""
+    rng = np.random.default_rng(share)
+    vectors, queries = rng.integers(-2, 3, (400, 6)), rng.normal(size=(7, 6))
+    corpus = table(spark, vectors, 2)
+    allowed = spark.range(0, 400, share).select(F.col("id").cast("int").alias("item"))
+    got = cosine_topk_among(corpus, asked(spark, queries), 4, allowed, item="item", chunk="chunk")
+    masked = [v if (i // 2) % share == 0 else [0] * 6 for i, v in enumerate(vectors)]
+    assert result(got) == sorted(brute_force(masked, queries, 4, 2))
+
+
 def test_one_item_with_most_chunks_takes_one_place(spark):
     rng = np.random.default_rng(3)
     close, other = rng.normal(size=8), rng.normal(size=(30, 8))

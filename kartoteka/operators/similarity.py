@@ -146,17 +146,18 @@ def cosine_topk(
 
 def cosine_topk_among(
     corpus: DataFrame, queries: DataFrame, k: int, allowed: DataFrame, *, item: str, query: str = "query_id",
-    widen: int = 4, **how: object,
+    widen: int = 10, **how: object,
 ) -> DataFrame:
     """`cosine_topk` over the items that `allowed`, a frame with the item column, has.
 
     Sorting out the vectors first would shuffle all of them. Instead a longer list is
     found by a scan and sorted out afterwards. A query whose list was full and yet left
-    it with fewer than k items is asked again, among the allowed vectors only.
+    it with fewer than k items is asked again, among the allowed vectors only. The result
+    is a written table.
     """
     longer = staged_table(cosine_topk(corpus, queries, k * widen, item=item, query=query, **how), "longer")
     valid = allowed.select(item).join(measured(longer.select(item).distinct()), item, "left_semi").distinct()
-    kept = longer.drop("rank").join(measured(valid), item, "left_semi")
+    kept = longer.drop("rank").join(valid, item, "left_semi")
     order = [F.col("similarity").desc(), F.col(item)]
     top = staged_table(top_per_key(kept, [query], order, k, "rank").select(longer.columns), "kept")
 
@@ -168,7 +169,7 @@ def cosine_topk_among(
     again = cosine_topk(
         corpus.join(allowed.select(item), item, "left_semi"), queries.join(short, query, "left_semi"), k,
         item=item, query=query, **how)
-    return top.join(short, query, "left_anti").unionByName(again)
+    return staged_table(top.join(short, query, "left_anti").unionByName(again), "nearest")
 
 
 @dataclass(frozen=True)

@@ -113,7 +113,7 @@ class Catalogue:
             .when(F.col("__question").isNull(), "no_results")
             .otherwise("recipe_search")
         )
-        return answered.withColumn("type", kind).drop("route", "__question", "__spread")
+        return answered.withColumn("type", kind).drop("route", "__question")
 
     def submit(self, submissions: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(items to append, rejected submissions with the reason)."""

@@ -13,7 +13,6 @@ from kartoteka.functions.text import preview
 from kartoteka.operators.embedding import Encoder, WordHashing, compose_text, embed
 from kartoteka.operators.joins import measured, unprocessed
 from kartoteka.operators.similarity import cosine_topk_among
-from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import best_per_key
 
 # Fixed value: characters of matched text shown.
@@ -50,9 +49,8 @@ def nearest_chunks(
     Items without an external id are not found; neither are vectors without an item.
     """
     asked = embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked")
-    top = staged_table(cosine_topk_among(
-        vectors, asked, k, items, item=key, chunk="chunk_index", query=question_key, query_vector="__asked", **limits),
-        "nearest")
+    top = cosine_topk_among(vectors, asked, k, items, item=key, chunk="chunk_index", query=question_key,
+                            query_vector="__asked", **limits)
     texts = vectors.select(key, F.col("chunk_index").alias("chunk"), preview("chunk_text", CHUNK_TEXT).alias("chunk_text"))
     # both wide tables are cut down to the winners before these meet
     winners = items.select(key, *show).join(measured(top.select(key)), key, "left_semi")
@@ -90,7 +88,7 @@ def semantic_search(
     )
     top = cosine_topk_among(vectors, asked, k, whole, item=vector_item, chunk=chunk, query=question_key,
                             query_vector="__asked", **limits)
-    top = measured(staged_table(top, "nearest"))
+    top = measured(top)
     # a place listed once per cuisine must not repeat the item
     places, categories = (
         best_per_key(dim, [on], [F.col(c).asc_nulls_last() for c in dim.columns])

@@ -7,10 +7,12 @@ import re
 import pytest
 
 import __spark_entry__ as driver
+from kartoteka.registry import registered
 from oracle import TESTDATA, compare, connect
 
 FOLDER = TESTDATA / "sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES = {name: query.run for name, query in registered().items()}
+SQL = {name: query.sql for name, query in registered().items() if query.sql is not None}
 
 # Results that depend on clustering or on a sketch.
 WITHOUT_SQL = {"ann_topk", "coverage_approximate"}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kartoteka.llm import quality, secrets, urls
+from kartoteka.llm import byte_bpe, quality, secrets, urls
 from kartoteka.registry.base import Query, table
 
 # The rules that pages are judged by, as host, path and action.
@@ -12,6 +13,11 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
              ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.digest_documents(table(spark, folder, "documents"), vocabulary)
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
@@ -43,6 +49,7 @@ FROM split s LEFT JOIN fits f ON s.page_id = f.page_id AND f.place = 1
 """
 
 QUERIES: dict[str, Query] = {
+    "op3_byte_bpe": Query(op3_byte_bpe),
     "op5_secrets": Query(op5_secrets),
     "op9_quality": Query(op9_quality),
     "op10_url_filters": Query(op10_url_filters, _URL_SQL),

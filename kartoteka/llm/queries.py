@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kartoteka.llm import byte_bpe, quality, secrets, urls
+from kartoteka.llm import byte_bpe, language, quality, secrets, toxicity, urls
 from kartoteka.registry.base import Query, table
 
 # The rules that pages are judged by, as host, path and action.
@@ -13,11 +14,31 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
              ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
+def _fold(folds: int) -> Column:
+    """Fold of a document; ids that are null are in none."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def _held_out(folds: int, fold: int) -> Column:
+    return F.coalesce(_fold(folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    out = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), _fold(5) != 0)
+    return out.select("doc_id", _held_out(5, 0), "score", "predicted", "evidence")
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe.digest_documents(table(spark, folder, "documents"), vocabulary)
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.learn(docs, _fold(4) != 2, language.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return language.predict(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
@@ -49,7 +70,9 @@ FROM split s LEFT JOIN fits f ON s.page_id = f.page_id AND f.place = 1
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": Query(op1_toxicity),
     "op3_byte_bpe": Query(op3_byte_bpe),
+    "op4_language": Query(op4_language),
     "op5_secrets": Query(op5_secrets),
     "op9_quality": Query(op9_quality),
     "op10_url_filters": Query(op10_url_filters, _URL_SQL),

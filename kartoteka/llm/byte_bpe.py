@@ -413,8 +413,9 @@ def encoder(shared: Broadcast) -> Encoder:
     return vocabulary["encoder"]
 
 
-def map_encoded(docs: DataFrame, vocabulary: Vocabulary, make: Callable[[Encoder, Texts, Encoded], Iterable[pa.Array]], schema: str) -> DataFrame:
-    """doc_id and the columns that `make` derives from each encoded slice."""
+def map_encoded(docs: DataFrame, vocabulary: Vocabulary, make: Callable[[Encoder, Texts, Encoded], Iterable[pa.Array]], schema: str,
+                rows: Callable[[Encoded], np.ndarray] | None = None) -> DataFrame:
+    """doc_id and the columns that `make` derives from each encoded slice, a row for each text or for each place in `rows`."""
     shared = shared_vocabulary(docs.sparkSession, vocabulary)
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -422,8 +423,11 @@ def map_encoded(docs: DataFrame, vocabulary: Vocabulary, make: Callable[[Encoder
         own = encoder(shared)
         for batch in batches:
             for texts in slices(batch.column(1)):
-                columns = make(own, texts, own.encode(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), *columns], ["doc_id", *names])
+                encoded = own.encode(texts)
+                ids = batch.column(0).slice(texts.first, len(texts))
+                if rows is not None:
+                    ids = ids.take(pa.array(rows(encoded)))
+                yield pa.RecordBatch.from_arrays([ids, *make(own, texts, encoded)], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")

@@ -1,6 +1,7 @@
 """Packing documents into sequences of equal length, as a cutting-stock problem.
 
-A document's ids are cut into full sequences and a rest. Only the number of rests of each
+A document's ids are cut into full sequences, a half if there is room for it, and a rest: rests
+are shorter than half a sequence, so that no length is left without a partner. Only the number of rests of each
 length matters for a good packing, so that the driver sees a histogram of at most `size` rows,
 however many documents there are. A linear program over patterns (how many rests of each length
 fill a sequence) is solved by column generation: the dual price of each length comes from the
@@ -47,13 +48,20 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
 def pieces(docs: DataFrame, vocabulary: Vocabulary, size: int = SIZE) -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of each full sequence and rest."""
+    """doc_id, start, length, ids_crc32 and doc_tokens of each full sequence, half and rest."""
+    half = size // 2
+
     def cuts(encoded: Encoded) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         tokens = np.diff(encoded.bounds) + 1
-        parts = -(-tokens // size)
+        full, rest = tokens // size, tokens % size
+        has_half = rest >= half
+        parts = full + has_half + (rest > half * has_half)
         owner = np.repeat(np.arange(len(tokens)), parts)
-        start = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * size
-        return owner, start, np.minimum(tokens[owner] - start, size), tokens[owner]
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        after = place > full[owner]
+        start = np.where(after, full[owner] * size + half, place * size)
+        length = np.where(place < full[owner], size, np.where(has_half[owner] & ~after, half, tokens[owner] - start))
+        return owner, start, length, tokens[owner]
 
     def make(own: Encoder, texts: Texts, encoded: Encoded) -> list[pa.Array]:
         owner, start, length, tokens = cuts(encoded)
@@ -147,9 +155,13 @@ def plan(histogram: Mapping[int, int], size: int) -> Counter[Pattern]:
     lengths = sorted(histogram)
     left = Counter(histogram)
     out: Counter[Pattern] = Counter()
-    for counts, used in sorted(column_generation(histogram, size), key=lambda c: -c[1]):
-        pattern = tuple((lengths[i], int(counts[i])) for i in np.flatnonzero(counts)[::-1])
-        times = min([int(used + 1e-6), *(left[x] // n for x, n in pattern)])
+    solution = [(tuple((lengths[i], int(counts[i])) for i in np.flatnonzero(counts)[::-1]), used)
+                for counts, used in column_generation(histogram, size)]
+    whole = [(pattern, int(used + 1e-6)) for pattern, used in solution]
+    # Once more each where enough is left, the largest remainders and the fullest sequences first.
+    again = [(pattern, 1) for pattern, used in sorted(solution, key=lambda s: (int(s[1]) - s[1], -sum(x * n for x, n in s[0])))]
+    for pattern, most in whole + again:
+        times = min([most, *(left[x] // n for x, n in pattern)])
         if times > 0:
             out[pattern] += times
             for x, n in pattern:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartoteka.llm import byte_bpe, language, packing, quality, secrets, toxicity, urls
+from kartoteka.llm import byte_bpe, language, near_dup, packing, quality, secrets, toxicity, urls
 from kartoteka.registry.base import Query, table
 
 # The rules that pages are judged by, as host, path and action.
@@ -43,6 +43,10 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = byte_bpe.read_merges(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(table(spark, folder, "documents"), vocabulary)
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_language": Query(op4_language),
     "op5_secrets": Query(op5_secrets),
+    "op6_minhash": Query(op6_minhash),
     "op7_packing": Query(op7_packing),
     "op9_quality": Query(op9_quality),
     "op10_url_filters": Query(op10_url_filters, _URL_SQL),

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.llm.components import components
+from kartoteka.llm.prefilter import split_by_ids
 from kartoteka.llm.spans import Texts, mix, slices, whole_hash
 from kartoteka.operators.tables import staged_table
 
@@ -190,7 +191,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = staged_table(banded.join(buckets, ["band", "key"]), "buckets")
 
     wanted = members.select("rep").distinct()
-    texts = staged_table(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi"), "candidate_texts")
+    possible, _ = split_by_ids(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", wanted)
+    texts = staged_table(possible.join(wanted, "rep", "left_semi"), "candidate_texts")
     tried = staged_table(likely(_star_pairs(members), classes), "star_pairs")
     links = staged_table(confirm(tried, texts), "star_links")
     found = components(links)
@@ -209,4 +211,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all columns, without those that another document of their group stands for."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = staged_table(gone, "gone")
+    possible, sure = split_by_ids(docs, "doc_id", gone)
+    return possible.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(sure)

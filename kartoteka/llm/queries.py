@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartoteka.llm import byte_bpe, language, near_dup, packing, quality, secrets, toxicity, urls
+import corpus_pipeline
+from kartoteka.llm import byte_bpe, language, line_dedup, near_dup, packing, quality, secrets, toxicity, urls
 from kartoteka.registry.base import Query, table
 
 # The rules that pages are judged by, as host, path and action.
@@ -28,6 +29,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", _held_out(5, 0), "score", "predicted", "evidence")
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated(docs)
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe.digest_documents(table(spark, folder, "documents"), vocabulary)
@@ -80,6 +86,7 @@ FROM split s LEFT JOIN fits f ON s.page_id = f.page_id AND f.place = 1
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": Query(op1_toxicity),
+    "op2_line_dedup": Query(op2_line_dedup),
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_language": Query(op4_language),
     "op5_secrets": Query(op5_secrets),
@@ -87,4 +94,5 @@ QUERIES: dict[str, Query] = {
     "op7_packing": Query(op7_packing),
     "op9_quality": Query(op9_quality),
     "op10_url_filters": Query(op10_url_filters, _URL_SQL),
+    "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kartoteka.llm import byte_bpe, language, line_dedup, near_dup, packing, quality, secrets, toxicity, urls
+from kartoteka.llm import byte_bpe, curves, language, line_dedup, near_dup, packing, quality, secrets, toxicity, urls
 from kartoteka.registry.base import Query, table
 
 # The rules that pages are judged by, as host, path and action.
@@ -58,6 +58,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary)
 
 
+def op8_curves(spark: SparkSession, folder: str) -> DataFrame:
+    return curves.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     out = quality.judge_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op5_secrets": Query(op5_secrets),
     "op6_minhash": Query(op6_minhash),
     "op7_packing": Query(op7_packing),
+    "op8_curves": Query(op8_curves),
     "op9_quality": Query(op9_quality),
     "op10_url_filters": Query(op10_url_filters, _URL_SQL),
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),

@@ -11,8 +11,7 @@ from kartoteka.functions.text import WHITESPACE, is_blank, strip
 
 ENTRY = "struct<ingredient:string,measure:string>"
 
-# Fixed value: the position given to map keys that are not numbers.
-UNNUMBERED = 999
+# Position of numbers that no integer holds.
 LAST = 2**63 - 1
 
 # Fixed value: what stands between a component and its measure in typed lists.
@@ -59,8 +58,8 @@ def map_to_list(json_text: str | Column) -> Column:
         p["key"].alias("key"), F.from_json(p["value"], ENTRY).alias("value")))
     pairs = F.coalesce(F.map_entries(F.from_json(text, f"map<string,{ENTRY}>")), by_value)
     ranked = F.transform(pairs, lambda p, i: F.struct(
-        F.when(p["key"].rlike("^[0-9]+$"), F.coalesce(p["key"].try_cast("bigint"), F.lit(LAST)))
-        .otherwise(F.lit(UNNUMBERED)).alias("position"),
+        (~p["key"].rlike("^[0-9]+$")).alias("unnumbered"),
+        F.when(p["key"].rlike("^[0-9]+$"), F.coalesce(p["key"].try_cast("bigint"), F.lit(LAST))).alias("position"),
         i.alias("at"),
         p["value"].alias("entry"),
     ))

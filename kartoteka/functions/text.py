@@ -57,7 +57,7 @@ def starts_with_any(c: Column | str, prefixes: Sequence[str]) -> Column:
 
 def has_word(c: Column | str, words: Sequence[str]) -> Column:
     """One of the words or phrases occurs, not just as part of a longer word."""
-    return F.lower(_col(c)).rlike(r"\b(" + "|".join(words) + r")\b")
+    return F.lower(_col(c)).rlike(r"\b(" + "|".join(map(_quoted, words)) + r")\b")
 
 
 def after_last(c: Column | str, phrase: str) -> Column:
@@ -66,7 +66,7 @@ def after_last(c: Column | str, phrase: str) -> Column:
 
 def drop_words(c: Column | str, words: Sequence[str]) -> Column:
     """Remove whole words and collapse the gaps they leave."""
-    without = F.regexp_replace(_col(c), r"\b(" + "|".join(words) + r")\b", " ")
+    without = F.regexp_replace(_col(c), r"\b(" + "|".join(map(_quoted, words)) + r")\b", " ")
     return strip(F.regexp_replace(without, r"\s+", " "))
 
 
@@ -108,8 +108,9 @@ def surrogate_key(source: str | Column, *cols: Column | str) -> Column:
 
 
 def parse_day(c: Column | str) -> Column:
-    """The day in the first ten characters; NULL when it is not a date."""
-    return F.to_date(F.try_to_timestamp(F.left(_col(c), F.lit(10)), F.lit("yyyy-MM-dd")))
+    """The day before a blank or `T`; NULL when it is not a date. Months and days may have one digit."""
+    day = F.regexp_extract(_col(c), r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[ T]|$)", 1)
+    return F.to_date(F.try_to_timestamp(day, F.lit("yyyy-M-d")))
 
 
 def day_text(c: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:

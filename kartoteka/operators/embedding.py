@@ -16,7 +16,6 @@ from kartoteka.functions.text import is_blank
 
 # Fixed values of the composed text.
 PART_SEPARATOR = " | "
-COMPONENT_TEXT = 1200
 ENCODER_BATCH = 32
 
 
@@ -47,8 +46,12 @@ class WordHashing:
 
 
 def compose_text(name: str, place: str, region: str, instructions: str, components: str,
-                 label: str = "Recipe") -> Column:
-    """One text per item; parts that are missing leave no trace, a region needs its place."""
+                 label: str = "Recipe", component_limit: int | None = None) -> Column:
+    """One text per item; parts that are missing leave no trace, a region needs its place.
+
+    Nothing is cut, unless `component_limit` says after how many characters the components are.
+    """
+    listed = F.col(components) if component_limit is None else F.substring(components, 1, component_limit)
     place_text = F.concat(F.lit("Country: "), F.col(place),
                           F.coalesce(F.concat(F.lit(" ("), F.col(region), F.lit(")")), F.lit("")))
     return F.concat_ws(
@@ -57,7 +60,7 @@ def compose_text(name: str, place: str, region: str, instructions: str, componen
         place_text,
         F.when(~is_blank(instructions), F.concat(F.lit("Instructions: "), F.col(instructions))),
         F.when(~is_blank(components),
-               F.concat(F.lit("Ingredients: "), F.substring(components, 1, COMPONENT_TEXT))),
+               F.concat(F.lit("Ingredients: "), listed)),
     )
 
 

@@ -79,6 +79,12 @@ def unprocessed(items: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataF
     return fresh.unionByName(items.where(~has_key))
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key, the first by its plain columns; rows without a key are left out, as a join would."""
+    order = [F.col(f.name).asc_nulls_last() for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    return best_per_key(df.where(F.col(key).isNotNull()), [key], order)
+
+
 def dim_lookup(df: DataFrame, dim: DataFrame, on: tuple[str, str], take: Mapping[str, str],
                last_by: Sequence[Column] | None = None) -> DataFrame:
     """Add columns of a dimension `{new name: dimension column}`; NULL where the key is unknown.
@@ -90,7 +96,7 @@ def dim_lookup(df: DataFrame, dim: DataFrame, on: tuple[str, str], take: Mapping
     order = list(last_by) if last_by else [F.col(c).desc_nulls_last() for c in take.values()]
     one_each = best_per_key(dim.where(F.col(dim_key).isNotNull()), [dim_key], order)
     looked_up = one_each.select(F.col(dim_key).alias("__dim_key"), *[F.col(c).alias(n) for n, c in take.items()])
-    return join_spread(df, looked_up, {key: "__dim_key"}).drop("__dim_key")
+    return join_spread(df, measured(looked_up), {key: "__dim_key"}).drop("__dim_key")
 
 
 def denormalize(
@@ -104,13 +110,17 @@ def denormalize(
     """Inner star join of listing, category, place and detail to the stored item columns.
 
     The dimensions come first: they are usually broadcast, and rows they drop
-    need not be shuffled to meet their details.
+    need not be shuffled to meet their details. A place is stored once for each of its
+    cuisines, and an item may be listed twice: each counts once, so that an item is one row.
     """
+    known = (listings.alias("r")
+             .join(categories.alias("c"), F.col(f"r.{category_on[0]}") == F.col(f"c.{category_on[1]}"), "left_semi")
+             .join(places.alias("co"), F.col(f"r.{place_on[0]}") == F.col(f"co.{place_on[1]}"), "left_semi"))
     joined = (
-        listings.alias("r")
-        .join(categories.alias("c"), F.col(f"r.{category_on[0]}") == F.col(f"c.{category_on[1]}"))
-        .join(places.alias("co"), F.col(f"r.{place_on[0]}") == F.col(f"co.{place_on[1]}"))
-        .join(details.alias("rf"), F.col(f"r.{detail_on[0]}") == F.col(f"rf.{detail_on[1]}"))
+        one_per_key(known, detail_on[0]).alias("r")
+        .join(one_per_key(categories, category_on[1]).alias("c"), F.col(f"r.{category_on[0]}") == F.col(f"c.{category_on[1]}"))
+        .join(one_per_key(places, place_on[1]).alias("co"), F.col(f"r.{place_on[0]}") == F.col(f"co.{place_on[1]}"))
+        .join(one_per_key(details, detail_on[1]).alias("rf"), F.col(f"r.{detail_on[0]}") == F.col(f"rf.{detail_on[1]}"))
     )
     chosen = columns if columns is not None else {
         "id_guid_sk": "r.id_guid_sk",
@@ -136,4 +146,4 @@ def resolve_names(df: DataFrame, column: str, dim: DataFrame, dim_name: str, tak
                             [F.col(c).asc_nulls_last() for c in dict.fromkeys([dim_name, *take.values()])])
     looked_up = one_each.select("__name", *[F.col(c).alias(n) for n, c in take.items()])
     asked = df.withColumn("__asked", F.lower(blank_to_null(column)))
-    return join_spread(asked, looked_up, {"__asked": "__name"}).drop("__asked", "__name")
+    return join_spread(asked, measured(looked_up), {"__asked": "__name"}).drop("__asked", "__name")

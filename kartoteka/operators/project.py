@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kartoteka.functions.nested import map_to_list
 from kartoteka.functions.text import first_of, is_blank, percent_match, preview
+from kartoteka.operators.joins import one_per_key
 
 # Fixed values of the card: components shown and characters of text shown.
 CARD_COMPONENTS = 8
@@ -46,12 +47,14 @@ def item_view(
 ) -> DataFrame:
     """Items with their category (kept when missing) and place (dropped when missing).
 
+    A place that is stored several times, once for each cuisine, does not repeat its items.
+
     Columns are named with `i.`, `c.` and `p.` for item, category and place.
     """
     view = items.alias("i").join(
         categories.alias("c"), F.col(f"i.{category_key[0]}") == F.col(f"c.{category_key[1]}"), "left")
     if places is not None:
-        view = view.join(places.alias("p"), F.col(f"i.{place_key[0]}") == F.col(f"p.{place_key[1]}"), "inner")
+        view = view.join(one_per_key(places, place_key[1]).alias("p"), F.col(f"i.{place_key[0]}") == F.col(f"p.{place_key[1]}"), "inner")
     return view.select(*[F.col(old).alias(new) for new, old in columns.items()])
 
 

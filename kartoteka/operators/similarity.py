@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
@@ -34,6 +35,15 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _lengths(column: pa.Array) -> np.ndarray:
+    """Number of components of each vector, 0 for a vector with a missing one."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if column.flatten().null_count:
+        holes = np.unique(pc.list_parent_indices(column).to_numpy()[column.flatten().is_null().to_numpy(zero_copy_only=False)])
+        sizes[holes] = 0
+    return sizes
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     """Rows of length one; a row without length becomes NaN, which is similar to nothing."""
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -51,7 +61,12 @@ class NearestItems:
     def __init__(self, probes: pa.Table, k: int, out: pa.Schema):
         self.k, self.out = k, out
         self.queries = probes["__query"].combine_chunks()
-        self.vectors = _unit(_matrix(probes["__vector"])) if len(probes) else None
+        # Vectors of one length are only ever compared with each other.
+        lengths = _lengths(probes["__vector"].combine_chunks()) if len(probes) else np.zeros(0, np.int64)
+        self.by_length = {}
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            which = np.flatnonzero(lengths == length)
+            self.by_length[length] = which, _unit(_matrix(probes["__vector"].combine_chunks().take(pa.array(which))))
         self.allowed = self._cells(probes) if "__cells" in probes.column_names else None
         self.kept: list[tuple[np.ndarray, ...] | None] = [None] * len(probes)
         self.floor = np.full(len(probes), -np.inf)
@@ -65,23 +80,24 @@ class NearestItems:
         return allowed
 
     def add(self, batch: pa.RecordBatch) -> None:
-        if self.vectors is None:
-            return
-        step = max(1, SCORES_AT_ONCE // len(self.vectors))
-        for start in range(0, len(batch), step):
-            self._add(batch.slice(start, step))
-
-    def _add(self, batch: pa.RecordBatch) -> None:
+        lengths = _lengths(batch["__vector"])
+        for length, (which, vectors) in self.by_length.items():
+            fitting = batch if (lengths == length).all() else batch.filter(pa.array(lengths == length))
+            step = max(1, SCORES_AT_ONCE // len(vectors))
+            for start in range(0, len(fitting), step):
+                self._add(fitting.slice(start, step), which, vectors)
+
+    def _add(self, batch: pa.RecordBatch, which: np.ndarray, vectors: np.ndarray) -> None:
         items, chunks = _sortable(batch["__item"]), batch["__chunk"].to_numpy(zero_copy_only=False)
-        found = np.round(self.vectors @ _unit(_matrix(batch["__vector"])).T, DIGITS)
-        wanted = found >= self.floor[:, None]
+        found = np.round(vectors @ _unit(_matrix(batch["__vector"])).T, DIGITS)
+        wanted = found >= self.floor[which, None]
         if self.allowed is not None:
             cells = batch["__cell"].to_numpy(zero_copy_only=False)
             known = cells < self.allowed.shape[1]
-            wanted &= self.allowed[:, np.where(known, cells, 0)] & known
-        for q in np.flatnonzero(wanted.any(axis=1)):
-            at = wanted[q]
-            fresh = (found[q, at], items[at], chunks[at])
+            wanted &= self.allowed[which][:, np.where(known, cells, 0)] & known
+        for row in np.flatnonzero(wanted.any(axis=1)):
+            q, at = which[row], wanted[row]
+            fresh = (found[row, at], items[at], chunks[at])
             held = self.kept[q]
             self.kept[q] = self._cut(*fresh if held is None else map(np.concatenate, zip(held, fresh)))
             if len(self.kept[q][0]) == self.k:
@@ -138,7 +154,8 @@ def cosine_topk(
 ) -> DataFrame:
     """(query, rank, item, chunk, similarity) of the k most similar items per query.
 
-    Vectors without length are left out. Of an item's chunks only the best counts.
+    Vectors without length are left out, and a query only meets vectors with as many components
+    as its own: a table may hold those of several models. Of an item's chunks only the best counts.
     `limits` are those of `scan_probes`.
     """
     return _scored(corpus, queries, k, item, vector, chunk, query, query_vector, None, None, limits)
@@ -181,22 +198,26 @@ class Cells:
     @classmethod
     def fit(cls, training: DataFrame, vector: str = "embedding", lists: int = 100, seed: int = 7,
             iterations: int = 10) -> Cells:
-        """Cluster the directions of the training vectors."""
-        vectors = training.where(norm(vector) > 0).select(
+        """Cluster the directions of the training vectors that have as many components as most do."""
+        sizes = training.where(norm(vector) > 0).groupBy(F.size(vector).alias("size")).agg(F.count("*").alias("n"))
+        size = sizes.orderBy(F.desc("n"), "size").first()["size"]
+        vectors = training.where((norm(vector) > 0) & (F.size(vector) == size)).select(
             array_to_vector(F.col(vector).cast("array<double>")).alias("vector"))
         directions = Normalizer(inputCol="vector", outputCol="direction").transform(vectors)
         model = KMeans(k=lists, seed=seed, maxIter=iterations, featuresCol="direction").fit(directions)
         return cls(_unit(np.array(model.clusterCenters())))
 
     def nearest(self, df: DataFrame, vector: str, out: str, n: int = 1) -> DataFrame:
-        """Add the numbers of the n nearest cells, the nearest first."""
+        """Add the numbers of the n nearest cells, the nearest first; NULL for a vector of another length."""
         centres = self.centres
 
         @F.arrow_udf("array<int>")
         def nearest_cells(vectors: pa.Array) -> pa.Array:
-            near = np.argsort(-(_matrix(vectors) @ centres.T), axis=1, kind="stable")[:, :n]
-            flat = pa.array(near.ravel().astype(np.int32))
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), flat)
+            fitting = _lengths(vectors) == centres.shape[1]
+            rows = _matrix(vectors.filter(pa.array(fitting)))
+            near = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :n] if len(rows) else np.zeros((0, n), np.int64)
+            offsets = np.concatenate([[0], np.cumsum(fitting)]) * near.shape[1]
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(near.ravel(), pa.int32()), mask=pa.array(~fitting))
 
         return df.withColumn(out, nearest_cells.asNondeterministic()(F.col(vector)))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +45,15 @@ def insert_if_absent(target: DataFrame, staged: DataFrame, keys: Sequence[str],
                      prefer: Sequence[str | Column]) -> DataFrame:
     """Staged rows whose key the target lacks, one per key: the first by `prefer`.
 
-    The target is only asked which of the staged keys it has. That reads its key
+    A key with a NULL in it is equal to no other: such rows are all returned, and pass by
+    the join. The target is only asked which of the staged keys it has. That reads its key
     columns alone and shuffles nothing while the staged keys are few.
     """
-    first = best_per_key(staged, keys, prefer)
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    first = best_per_key(staged.where(has_key), keys, prefer)
     known = target.select(*keys).join(measured(first.select(*keys)), list(keys), "left_semi")
-    return join_spread(first, known, {k: k for k in keys}, "left_anti")
+    fresh = first.join(known, list(keys), "left_anti").select(*staged.columns)
+    return fresh.unionByName(staged.where(~has_key))
 
 
 def latest_staged(staged: DataFrame, keys: Sequence[str], newest_by: Sequence[Column] | None) -> DataFrame:

@@ -18,10 +18,16 @@ def page(df: DataFrame, order: Sequence[str | Column], limit: int = 50, offset:
 
 
 def page_after(df: DataFrame, order: Sequence[str], last: Sequence[object], limit: int = 50) -> DataFrame:
-    """The page after the row with these order values; the cost does not grow with depth."""
+    """The page after the row with these order values; the cost does not grow with depth.
+
+    As in `page`, NULL comes last; a page may also continue from a NULL.
+    """
     later = F.lit(False)
     for name, value in reversed(list(zip(order, last, strict=True))):
-        later = (F.col(name) > F.lit(value)) | ((F.col(name) == F.lit(value)) & later)
+        if value is None:
+            later = F.col(name).isNull() & later
+        else:
+            later = F.col(name).isNull() | (F.col(name) > F.lit(value)) | ((F.col(name) == F.lit(value)) & later)
     return df.where(later).orderBy(*_asc(order)).limit(limit)
 
 

@@ -18,6 +18,7 @@ from kartoteka.operators.tables import KEPT_ON_UPDATE, staged_table, upsert
 from kartoteka.sources.landing import (
     CATEGORY_FIELDS,
     COMPONENT_FIELDS,
+    DETAIL_SLOTS,
     LISTING_FIELDS,
     PLACE_FIELDS,
     read_details,
@@ -66,7 +67,8 @@ def listings_from(landed: DataFrame, source: str) -> DataFrame:
     })
 
 
-def details_from(landed: DataFrame, source: str) -> DataFrame:
+def details_from(landed: DataFrame, source: str, slots: int = DETAIL_SLOTS) -> DataFrame:
+    """Details with so many of their numbered components; read them with `detail_fields(slots)`."""
     return rename_select(landed, {
         "id_guid_sk": surrogate_key(source, F.lit("detail"), "idMeal"),
         "external_id": "idMeal",
@@ -74,7 +76,7 @@ def details_from(landed: DataFrame, source: str) -> DataFrame:
         "category": "strCategory",
         "country": "strCountry",
         "instructions": "strInstructions",
-        "ingredient_measure": wide_slots(landed, "strIngredient", "strMeasure"),
+        "ingredient_measure": wide_slots(landed, "strIngredient", "strMeasure", slots),
         "image": "strMealThumb",
         "video": "strYoutube",
         "source_url": "strSource",

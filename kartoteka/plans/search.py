@@ -39,15 +39,21 @@ def embed_new(
     return embed(once, "chunk_text", make_encoder).withColumns({"model_name": F.lit(model_name), "created_at": now})
 
 
+def _of_model(vectors: DataFrame, model_name: str | None) -> DataFrame:
+    return vectors if model_name is None else vectors.where(F.col("model_name") == model_name)
+
+
 def nearest_chunks(
     questions: DataFrame, vectors: DataFrame, items: DataFrame, k: int, *, question_key: str = "question_id",
     question_text: str = "text", make_encoder: Callable[[], Encoder] = WordHashing, key: str = "external_id_meal",
-    show: Sequence[str] = ("name_meal", "country", "region"), **limits: int,
+    show: Sequence[str] = ("name_meal", "country", "region"), model_name: str | None = None, **limits: int,
 ) -> DataFrame:
     """The k items nearest to each question by their external id, with the start of the text that matched.
 
-    Items without an external id are not found; neither are vectors without an item.
+    Items without an external id are not found; neither are vectors without an item. With a
+    `model_name` only that model's vectors are searched.
     """
+    vectors = _of_model(vectors, model_name)
     asked = embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked")
     top = cosine_topk_among(vectors, asked, k, items, item=key, chunk="chunk_index", query=question_key,
                             query_vector="__asked", **limits)
@@ -72,13 +78,14 @@ def semantic_search(
         "video_recipe": "i.video_recipe", "country": "i.country", "region": "i.region",
         "category_name": "c.name", "category_image": "c.imagem", "country_flag": "p.image",
     },
-    components: str | None = "ingredient_measure", **limits: int,
+    components: str | None = "ingredient_measure", model_name: str | None = None, **limits: int,
 ) -> DataFrame:
     """The k items most like each question, with item, place and category details.
 
     An item without place or category takes no slot; the wide detail columns only meet
-    the rows that won.
+    the rows that won. With a `model_name` only that model's vectors are searched.
     """
+    vectors = _of_model(vectors, model_name)
     asked = embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked")
     whole = (
         items.select(item_key, place_on[0], category_on[0])

@@ -52,6 +52,22 @@ def list_page_after(spark, folder):
     return page_after(customers(spark, folder), ["segment", "id"], ["FURNITURE", 40], limit=50)
 
 
+def list_page_after_nulls(spark, folder):
+    """From within the customers whose segment is missing, which come last; and from before them."""
+    view = customers(spark, folder).withColumn("segment", F.when(F.col("id") % 3 > 0, F.col("segment")))
+    return (page_after(view, ["segment", "id"], [None, 30], limit=50).withColumn("from", F.lit("null"))
+            .unionByName(page_after(view, ["segment", "id"], ["MACHINERY", 0], limit=10_000).withColumn("from", F.lit("last segment"))))
+
+
+def list_page_two_cuisines(spark, folder):
+    """Every place is stored twice, under two cuisines; no item repeats."""
+    places = table(spark, folder, "region").withColumn("cuisine", F.explode(F.array(F.lit("old"), F.lit("new"))))
+    items = table(spark, folder, "customer").withColumn("place", F.col("c_nationkey") % 6)
+    view = item_view(items, table(spark, folder, "nation"), places, category_key=("c_nationkey", "n_nationkey"),
+                     place_key=("place", "r_regionkey"), columns={"id": "i.c_custkey", "category": "c.n_name", "area": "p.r_name"})
+    return page(view, ["id"], limit=500)
+
+
 def detail(spark, folder):
     orders = table(spark, folder, "orders")
     customer = table(spark, folder, "customer")
@@ -105,6 +121,14 @@ def recent(spark, folder):
     return modified_since(as_text_dates(spark, folder), "modified", date.fromisoformat(AS_OF), DAYS)
 
 
+def recent_short_dates(spark, folder):
+    """Dates whose month and day may have one digit, with and without a time."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-M-d"),
+                               F.expr("CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' 8:05:00' ELSE 'T08:05:00Z' END")).alias("modified"))
+    return modified_since(orders, "modified", date.fromisoformat(AS_OF), DAYS).select("o_orderkey")
+
+
 def recent_typed(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     found = modified_since(orders, "o_orderdate", date.fromisoformat(AS_OF), DAYS)
@@ -182,6 +206,13 @@ QUERIES = {
     "list_page_after": Query(list_page_after, f"""
         SELECT * FROM ({VIEW_SQL}) WHERE segment > 'FURNITURE' OR (segment = 'FURNITURE' AND id > 40)
         ORDER BY segment, id LIMIT 50"""),
+    "list_page_after_nulls": Query(list_page_after_nulls, f"""
+        WITH v AS (SELECT id, name, category, area, CASE WHEN id % 3 > 0 THEN segment END AS segment FROM ({VIEW_SQL}))
+        (SELECT *, 'null' AS "from" FROM v WHERE segment IS NULL AND id > 30 ORDER BY id LIMIT 50) UNION ALL
+        (SELECT *, 'last segment' FROM v WHERE segment IS NULL OR segment >= 'MACHINERY' ORDER BY segment NULLS LAST, id LIMIT 10000)"""),
+    "list_page_two_cuisines": Query(list_page_two_cuisines, """
+        SELECT c_custkey AS id, n_name AS category, r_name AS area FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+        JOIN region ON c_nationkey % 6 = r_regionkey ORDER BY id LIMIT 500"""),
     "detail_by_key": Query(detail, """
         SELECT o_orderkey AS id, o_totalprice AS price, c_name AS category
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = 7"""),
@@ -208,6 +239,8 @@ QUERIES = {
                 WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:00:00'
                 ELSE strftime(o_orderdate, '%Y-%m-%d') END AS modified FROM orders)
         WHERE try_strptime(left(modified, 10), '%Y-%m-%d')::DATE >= DATE '{AS_OF}' - {DAYS}"""),
+    "modified_since_short_dates": Query(recent_short_dates, f"""
+        SELECT o_orderkey FROM orders WHERE o_orderdate::DATE >= DATE '{AS_OF}' - {DAYS}"""),
     "modified_since_typed": Query(recent_typed, f"""
         SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= DATE '{AS_OF}' - {DAYS}"""),
     "null_rows": Query(missing_labels, """

@@ -165,6 +165,29 @@ def odd_json(spark, folder):
                        F.array_join(F.transform(listed, lambda e: e["measure"]), "|").alias("measures"))
 
 
+def long_keys(spark, folder):
+    """Maps keyed by order number, over 1000 too, with keys that are no numbers; these come last."""
+    line = table(spark, folder, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey").distinct()
+    key = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("k"), "l_orderkey")).otherwise(F.col("l_orderkey").cast("string"))
+    chosen = line.groupBy("l_suppkey", key.alias("key")).agg(F.max("l_partkey").alias("part"))
+    maps = chosen.groupBy("l_suppkey").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
+        "key", F.struct(F.concat(F.lit("part "), "part", F.lit(" of "), "key").alias("ingredient"), F.lit("1").alias("measure")).alias("value"))))).alias("m"))
+    listed = map_to_list(to_json_text("m"))
+    # keys that are no numbers keep the order they are written in, which is the order of their text here
+    return maps.select("l_suppkey", F.posexplode(F.transform(listed, lambda e: e["ingredient"])).alias("at", "ingredient"))
+
+
+def star_two_cuisines(spark, folder):
+    """The star join with every nation stored under two cuisines and every order listed twice."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    listed = orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nations = table(spark, folder, "nation").withColumn("cuisine", F.explode(F.array(F.lit("old"), F.lit("new"))))
+    priorities = orders.select("o_orderpriority").distinct()
+    return denormalize(listed.unionByName(listed), priorities, nations, orders, category_on=("o_orderpriority", "o_orderpriority"),
+                       place_on=("c_nationkey", "n_nationkey"), detail_on=("o_orderkey", "o_orderkey"),
+                       columns={"id": "r.o_orderkey", "country": "co.n_name", "price": "rf.o_totalprice"})
+
+
 def typed_pairs(spark, folder):
     line = table(spark, folder, "lineitem")
     typed = F.concat(F.lit(" part "), "l_partkey", F.lit(" - "), "l_quantity", F.lit(" - g; salt "), "l_suppkey",
@@ -256,6 +279,15 @@ QUERIES = {
                CASE l_orderkey % 4 WHEN 2 THEN 'q' || l_orderkey || '|r' WHEN 3 THEN 'first|k|last' ELSE '' END AS names,
                CASE l_orderkey % 4 WHEN 2 THEN '9' WHEN 3 THEN '1||' ELSE '' END AS measures
         FROM lineitem"""),
+    "map_to_list_long_keys": Query(long_keys, """
+        WITH c AS (
+            SELECT l_suppkey, CASE WHEN l_partkey % 7 = 0 THEN 'k' || l_orderkey ELSE l_orderkey::VARCHAR END AS key, max(l_partkey) AS part
+            FROM lineitem GROUP BY ALL)
+        SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY starts_with(key, 'k'), try_cast(key AS BIGINT), key) - 1)::INT AS at,
+               'part ' || part || ' of ' || key AS ingredient FROM c"""),
+    "star_join_two_cuisines": Query(star_two_cuisines, """
+        SELECT o_orderkey AS id, n_name AS country, o_totalprice AS price
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""),
     "pairs_to_map": Query(typed_pairs, """
         SELECT slot, ingredient, measure, count(*) AS n FROM (
             SELECT '1' AS slot, 'part ' || l_partkey AS ingredient, l_quantity::VARCHAR || ' - g' AS measure FROM lineitem

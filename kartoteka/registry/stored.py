@@ -49,6 +49,13 @@ def inserted(spark, folder):
     return insert_if_absent(target, staged, ["doc_id"], ["version"])
 
 
+def inserted_without_keys(spark, folder):
+    """Every third document has no key; each of these is a row of its own."""
+    target = table(spark, folder, "labels").select("doc_id")
+    staged = table(spark, folder, "documents").select(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("doc_id"), "lang", "n_chars")
+    return insert_if_absent(target, staged, ["doc_id"], ["n_chars"])
+
+
 ITEM_COLUMNS = ["id_guid_sk", "external_id_meal", "status", "price", "__ingested_at", "__updated_at"]
 
 
@@ -180,6 +187,9 @@ QUERIES = {
     "insert_if_absent": Query(inserted, """
         SELECT doc_id, lang, 1 AS version FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""),
+    "insert_if_absent_null_keys": Query(inserted_without_keys, """
+        SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id END AS doc_id, lang, n_chars FROM documents d
+        WHERE doc_id % 3 = 0 OR NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""),
     "upsert": Query(upserted, UPSERT_SQL),
     "incremental_upsert": Query(incremental, """
         WITH staged AS (

@@ -39,6 +39,25 @@ def composed(spark, folder):
     return items(spark, folder).select("id_guid_sk", text.alias("chunk_text"))
 
 
+# Fixed value: where component text may be cut.
+COMPONENT_LIMIT = 1200
+
+
+def composed_long(spark, folder):
+    """Whole documents as components, most of them longer than the limit, with and without it."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", *[F.lit(None).cast("string").alias(c) for c in ("place", "region", "how")])
+    text = lambda limit: compose_text("text", "place", "region", "how", "text", component_limit=limit)
+    return documents.select("doc_id", F.md5(text(None)).alias("whole"), F.md5(text(COMPONENT_LIMIT)).alias("cut"))
+
+
+def mixed_lengths(spark, folder):
+    """Vectors of two models in one table: those of odd ids keep their first 32 components only."""
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 2 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("embedding"))
+    queries = vectors.where(F.col("vec_id") < 8).withColumnRenamed("vec_id", "query_id")
+    return cosine_topk(vectors, queries, K, item="vec_id").select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 COMPOSED_SQL = """
     SELECT doc_id, concat_ws(' | ', 'Recipe: ' || source,
         CASE WHEN doc_id % 9 > 0 THEN 'Country: NATION_' || (doc_id % 30)
@@ -189,6 +208,16 @@ def searched(spark, folder):
 
 
 QUERIES = {
+    "compose_text_long": Query(composed_long, f"""
+        SELECT doc_id, md5('Recipe: ' || text || ' | Ingredients: ' || text) AS whole,
+               md5('Recipe: ' || text || ' | Ingredients: ' || left(text, {COMPONENT_LIMIT})) AS cut FROM documents"""),
+    "cosine_topk_mixed_lengths": Query(mixed_lengths, f"""
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN embedding[1:32] ELSE embedding END::DOUBLE[] AS e FROM embeddings),
+        scored AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS similarity
+            FROM v q JOIN v ON len(q.e) = len(v.e) WHERE q.vec_id < 8),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id)::INT AS rank FROM scored)
+        SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM ranked WHERE rank <= {K}"""),
     "compose_text": Query(composed, f"SELECT doc_id AS id_guid_sk, chunk_text FROM ({COMPOSED_SQL})"),
     "hash_embed": Query(hashed, cells_of("documents", "doc_id", "text")),
     "vector_math": Query(vector_math, f"""

@@ -21,12 +21,17 @@ def text_fields(names: Sequence[str]) -> T.StructType:
 CATEGORY_FIELDS = text_fields(["idCategory", "strCategory", "strCategoryDescription", "strCategoryThumb"])
 COMPONENT_FIELDS = text_fields(["idIngredient", "strIngredient", "strDescription", "strType", "strThumb"])
 LISTING_FIELDS = text_fields(["idMeal", "strMeal", "strMealThumb", "strArea", "strCountry"])
-DETAIL_FIELDS = text_fields(
-    ["idMeal", "strMeal", "strCategory", "strArea", "strCountry", "strInstructions",
-     "strMealThumb", "strYoutube", "strSource", "dateModified"]
-    + [f"strIngredient{i}" for i in range(1, 21)]
-    + [f"strMeasure{i}" for i in range(1, 21)]
-)
+DETAIL_NAMES = ["idMeal", "strMeal", "strCategory", "strArea", "strCountry", "strInstructions",
+                "strMealThumb", "strYoutube", "strSource", "dateModified"]
+DETAIL_SLOTS = 20
+
+
+def detail_fields(slots: int = DETAIL_SLOTS) -> T.StructType:
+    """Fields of a landed item with so many numbered components and measures."""
+    return text_fields(DETAIL_NAMES + [f"{name}{i}" for name in ("strIngredient", "strMeasure") for i in range(1, slots + 1)])
+
+
+DETAIL_FIELDS = detail_fields()
 PLACE_FIELDS = text_fields(["strArea", "strCountry"])
 SUBMISSION_FIELDS = text_fields(
     ["name_meal", "category", "country", "instructions", "ingredient_measure",

@@ -68,7 +68,7 @@ def test_map_to_list_odd_values_do_not_void_the_rest(spark):
 
 def test_map_to_list_keys_beyond_999(spark):
     text = '{"1000":{"ingredient":"late"},"x":{"ingredient":"odd"},"99999999999999999999":{"ingredient":"huge"}}'
-    assert listed(spark, text) == [[("odd", ""), ("late", ""), ("huge", "")]]
+    assert listed(spark, text) == [[("late", ""), ("huge", ""), ("odd", "")]]
 
 
 def paired(spark, text):

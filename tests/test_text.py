@@ -69,6 +69,7 @@ def test_override(spark):
 
 @pytest.mark.parametrize("text, day", [
     ("2024-03-01", date(2024, 3, 1)), ("2024-03-05 10:00:00", date(2024, 3, 5)), ("2024-13-05", None), (None, None),
+    ("2024-1-5", date(2024, 1, 5)), ("2024-1-5 9:00", date(2024, 1, 5)), ("2024-01-05T09:00:00Z", date(2024, 1, 5)),
     ("soon", None), ("", None)])
 def test_parse_day(spark, text, day):
     assert value(spark, tx.parse_day("c"), c=text) == day

@@ -126,7 +126,9 @@ def test_compose_text(spark):
         [("Soup", "Peru", "South", "Boil.", "x" * 1300), (None, None, "South", " \n", " "), ("Soup", "Peru", None, None, None)],
         "n string, c string, r string, i string, m string")
     one, two, three = [r[0] for r in df.select(compose_text("n", "c", "r", "i", "m")).collect()]
-    assert one == "Recipe: Soup | Country: Peru (South) | Instructions: Boil. | Ingredients: " + "x" * 1200
+    start = "Recipe: Soup | Country: Peru (South) | Instructions: Boil. | Ingredients: "
+    assert one == start + "x" * 1300
+    assert df.select(compose_text("n", "c", "r", "i", "m", component_limit=1200)).first()[0] == start + "x" * 1200
     assert two == "" and three == "Recipe: Soup | Country: Peru"
 
 

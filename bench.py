@@ -17,7 +17,7 @@ from kartoteka.session import local_session
 HEADLINE = (
     "list_page", "filter_ci_top", "keyword_distinct", "keyword_pattern", "modified_since", "best_per_key", "coverage",
     "dim_override", "star_join", "wide_to_map", "map_to_list", "pairs_to_map", "cards", "full_load", "insert_if_absent",
-    "upsert", "incremental_upsert", "contract_report", "compose_text", "hash_embed", "cosine_topk", "cosine_topk_grid",
+    "upsert", "incremental_upsert", "contract_report", "compose_text", "hash_embed", "cosine_topk", "cosine_topk_blocks",
     "ann_topk", "embed_new", "semantic_search", "name_search", "route_questions", "validate_submissions",
 )
 

@@ -16,7 +16,6 @@ from kartoteka.operators.joins import join_spread
 from kartoteka.operators.probes import (
     MAX_PROBE_BYTES,
     MAX_PROBES,
-    ROWS_PER_CELL,
     blocks_needed,
     scan_probes,
     to_arrow_schema,
@@ -87,7 +86,7 @@ def first_containing(
     out = to_arrow_schema(schema)
     partial = scan_probes(
         rows, sought, lambda held: FirstTexts(held, order, carried, k, out), schema,
-        data_key=list(order), probe_key=["__term"], width=F.length("__term") * 4, **limits)
+        probe_key=["__term"], width=F.length("__term") * 4, **limits)
     ranked = merge_top(partial, [term], list(order), k, salt_on=list(order), rank_as="rank")
     return ranked.select(term, "rank", *order, *carried)
 
@@ -119,7 +118,7 @@ class FirstTerm:
 
 def first_contained(
     df: DataFrame, key: str, text: str, terms: DataFrame, term: str, rank: str, take: str, out: str,
-    max_probes: int = MAX_PROBES, max_bytes: int = MAX_PROBE_BYTES, rows_per_cell: int = ROWS_PER_CELL,
+    max_probes: int = MAX_PROBES, max_bytes: int = MAX_PROBE_BYTES,
 ) -> DataFrame:
     """Add `take` of the lowest-ranked term that the text contains, NULL when there is none."""
     listed = terms.select(F.lower(term).alias("__term"), F.col(rank).alias("__rank"), F.col(take).alias("__take"))
@@ -143,7 +142,6 @@ def first_contained(
     out_arrow = to_arrow_schema(schema)
     partial = scan_probes(
         df.select(key, F.lower(text).alias("__text")), listed, lambda t: FirstTerm(t, key, out_arrow), schema,
-        data_key=[key], probe_key=["__term"], width=width, max_probes=max_probes, max_bytes=max_bytes,
-        rows_per_cell=rows_per_cell)
+        probe_key=["__term"], width=width, max_probes=max_probes, max_bytes=max_bytes)
     best = partial.groupBy(F.col(key).alias("__key")).agg(F.min_by(out, "__rank").alias(out))
     return join_spread(df, best, {key: "__key"}).drop("__key")

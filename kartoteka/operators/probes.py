@@ -1,9 +1,9 @@
 """Comparing every row of a large table with a set of probes, without a cross join.
 
-Each task reads its own rows once and keeps only the best few per probe, so pairs
-never become rows. Probes travel to the tasks when they were measured to be small;
-otherwise rows and probes meet block by block in a grid of shuffled groups whose
-sizes are set by hashing and do not depend on the data's own keys.
+Each task reads its own rows and keeps only the best few per probe, so pairs never
+become rows. Probes travel to the tasks in blocks that were measured to be small: one
+scan for each block. The rows are neither copied nor shuffled, however many blocks there
+are, and the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kartoteka.operators.tables import staged_table
+from kartoteka.session import scratch
+
 MAX_PROBES = 4096
 MAX_PROBE_BYTES = 16 * 1024 * 1024
-ROWS_PER_CELL = 100_000
 
 
 class Kernel(Protocol):
@@ -45,14 +47,12 @@ def blocks_needed(probes: DataFrame, width: Column, max_probes: int = MAX_PROBES
 
 def scan_probes(
     data: DataFrame, probes: DataFrame, build: Callable[[pa.Table], Kernel], schema: T.StructType,
-    *, data_key: Sequence[str], probe_key: Sequence[str], width: Column,
-    max_probes: int = MAX_PROBES, max_bytes: int = MAX_PROBE_BYTES, rows_per_cell: int = ROWS_PER_CELL,
+    *, probe_key: Sequence[str], width: Column, max_probes: int = MAX_PROBES, max_bytes: int = MAX_PROBE_BYTES,
 ) -> DataFrame:
-    """The kernels' results, one set per task or grid cell; the caller merges them."""
+    """The kernels' results, one set per task and block of probes; the caller merges them."""
     blocks = blocks_needed(probes, width, max_probes, max_bytes)
-    if blocks == 1:
-        held = probes.toArrow()
 
+    def scanned(held: pa.Table) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             kernel = build(held)
             for batch in batches:
@@ -61,23 +61,10 @@ def scan_probes(
 
         return data.mapInArrow(scan, schema)
 
-    cells = max(1, math.ceil(data.count() / rows_per_cell))
-    rows = (
-        data.withColumn("__grid_rows", F.pmod(F.xxhash64(*data_key), F.lit(cells)))
-        .withColumn("__grid_probes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
-    asked = (
-        probes.withColumn("__grid_probes", F.pmod(F.xxhash64(*probe_key), F.lit(blocks)).cast("int"))
-        .withColumn("__grid_rows", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))))
-    )
-
-    def compare(some_rows: pa.Table, some_probes: pa.Table) -> pa.Table:
-        kernel = build(some_probes)
-        for batch in some_rows.to_batches():
-            kernel.add(batch)
-        return pa.Table.from_batches([kernel.result()])
-
-    return (
-        rows.groupBy("__grid_rows", "__grid_probes").cogroup(asked.groupBy("__grid_rows", "__grid_probes"))
-        .applyInArrow(compare, schema)
-    )
+    if blocks == 1:
+        return scanned(probes.toArrow())
+    spark, found = data.sparkSession, scratch(data.sparkSession, "scanned")
+    dealt = staged_table(probes.withColumn("__block", F.pmod(F.xxhash64(*probe_key), F.lit(blocks)).cast("int")), "probes")
+    for block in range(blocks):
+        scanned(dealt.where(F.col("__block") == block).drop("__block").toArrow()).write.mode("append").parquet(found)
+    return spark.read.schema(schema).parquet(found)

@@ -141,7 +141,7 @@ def _scored(corpus: DataFrame, queries: DataFrame, k: int, item: str, vector: st
     out = to_arrow_schema(schema)
     partial = scan_probes(
         data, probes, lambda held: NearestItems(held, k, out), schema,
-        data_key=["__item", "__chunk"], probe_key=["__query"], width=F.size("__vector") * 8, **limits)
+        probe_key=["__query"], width=F.size("__vector") * 8, **limits)
     nearest_first = [F.col("similarity").desc(), F.col("chunk")]
     ranked = merge_top(partial, [query], [F.col("similarity").desc(), F.col(item)], k, salt_on=[item], rank_as="rank",
                        first_of=nearest_first)

@@ -11,6 +11,7 @@ from kartoteka.functions.nested import pairs_to_map, to_json_text
 from kartoteka.functions.text import day_text, is_blank, strip, surrogate_key
 from kartoteka.operators.aggregates import distinct_values
 from kartoteka.operators.joins import resolve_names
+from kartoteka.operators.tables import staged_table
 
 # Places listed for an unknown place, and how many the hint names.
 LISTED_PLACES = 20
@@ -18,12 +19,16 @@ HINTED_PLACES = 10
 USER_SOURCE = "input_user"
 
 
-def place_hints(places: DataFrame, name: str = "country") -> DataFrame:
+def _first_names(df: DataFrame, name: str, listed: int, out: str) -> DataFrame:
+    """One row: the first names in order."""
+    first = distinct_values(df.where(F.col(name).isNotNull()), name, listed)
+    return first.agg(F.array_sort(F.collect_list(name)).alias(out))
+
+
+def place_hints(places: DataFrame, name: str = "country", listed: int = LISTED_PLACES, hinted: int = HINTED_PLACES) -> DataFrame:
     """One row: the first place names in order, and a hint with the first few of them."""
-    first = distinct_values(places.where(F.col(name).isNotNull()), name, LISTED_PLACES)
-    listed = first.agg(F.array_sort(F.collect_list(name)).alias("available_places"))
-    return listed.select("available_places", F.concat(
-        F.lit("Try one of: "), F.array_join(F.slice("available_places", 1, HINTED_PLACES), ", ")).alias("hint"))
+    return _first_names(places, name, listed, "available_places").select("available_places", F.concat(
+        F.lit("Try one of: "), F.array_join(F.slice("available_places", 1, hinted), ", ")).alias("hint"))
 
 
 def check_submissions(
@@ -50,12 +55,20 @@ def check_submissions(
 
 def validate_submissions(submissions: DataFrame, categories: DataFrame, places: DataFrame,
                          **names: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected). Rejections for an unknown place carry the place hint."""
-    checked = check_submissions(submissions, categories, places, **names)
+    """(accepted, rejected), from one pass over the submissions, which is written.
+
+    Rejections for an unknown place carry the first places and a hint, those for an unknown
+    category the first categories.
+    """
+    checked = staged_table(check_submissions(submissions, categories, places, **names), "checked")
     accepted = checked.where(F.col("reason").isNull()).drop("reason")
-    hint = place_hints(places, names.get("place_name", "country")).select("hint").scalar()
+    hints = place_hints(places, names.get("place_name", "country"))
+    valid = _first_names(categories, names.get("category_name", "name"), LISTED_PLACES, "valid_categories").scalar()
+    no_place, no_category = F.col("reason") == "country not found", F.col("reason") == "category not found"
     rejected = checked.where(F.col("reason").isNotNull()).select(
-        *submissions.columns, "reason", F.when(F.col("reason") == "country not found", hint).alias("hint"))
+        *submissions.columns, "reason", F.when(no_place, hints.select("hint").scalar()).alias("hint"),
+        F.when(no_place, hints.select("available_places").scalar()).alias("available_places"),
+        F.when(no_category, valid).alias("valid_categories"))
     return accepted, rejected
 
 

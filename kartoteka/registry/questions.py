@@ -81,8 +81,8 @@ def places(spark, folder):
     return detect_place(asked(spark, folder), "question_id", "text", aliases(spark, folder)).select("question_id", "place")
 
 
-def places_in_grid(spark, folder):
-    """The same with a limit so low that questions and aliases meet in the grid."""
+def places_in_blocks(spark, folder):
+    """The same with a limit so low that questions and aliases meet block by block."""
     found = detect_place(asked(spark, folder), "question_id", "text", aliases(spark, folder), max_probes=9)
     return found.select("question_id", "place")
 
@@ -113,8 +113,8 @@ def routed(spark, folder):
     return _routed(spark, folder)
 
 
-def routed_in_grid(spark, folder):
-    return _routed(spark, folder, max_probes=20, rows_per_cell=500)
+def routed_in_blocks(spark, folder):
+    return _routed(spark, folder, max_probes=20)
 
 
 def _routed(spark, folder, **limits):
@@ -171,7 +171,7 @@ QUERIES = {
         SELECT conv_id, turn, {_CHAT.format(text='text')} AS route FROM conversations WHERE role = 'user'"""),
     "extract_term": Query(terms, f"SELECT question_id, {_TERM} AS term FROM ({_QUERY})"),
     "detect_place": Query(places, f"SELECT question_id, {_PLACE} AS place FROM ({_QUERY})"),
-    "detect_place_grid": Query(places_in_grid, f"SELECT question_id, {_PLACE} AS place FROM ({_QUERY})"),
+    "detect_place_blocks": Query(places_in_blocks, f"SELECT question_id, {_PLACE} AS place FROM ({_QUERY})"),
     "detect_place_listed": Query(listed_places, f"""
         SELECT doc_id, {SPOKEN} AS text,
                CASE lang WHEN 'fr' THEN 'France' WHEN 'de' THEN NULL WHEN 'es' THEN 'Greece' ELSE 'Thailand' END AS place
@@ -188,5 +188,5 @@ QUERIES = {
         FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part) JOIN part ON contains(lower(p_name), term)
         ORDER BY term, p_name, p_partkey"""),
     "route_questions": Query(routed, ROUTED_SQL),
-    "route_questions_grid": Query(routed_in_grid, ROUTED_SQL),
+    "route_questions_blocks": Query(routed_in_blocks, ROUTED_SQL),
 }

@@ -31,7 +31,9 @@ def dims(spark, folder) -> tuple[DataFrame, DataFrame]:
 def checked(spark, folder):
     accepted, rejected = validate_submissions(submitted_orders(spark, folder), *dims(spark, folder))
     shown = union_all_by_name([accepted.drop("instructions", "ingredient_measure"), rejected])
-    return shown.select("submission", "country", "guid_category", "region", "reason", "hint")
+    return shown.select("submission", "country", "guid_category", "region", "reason", "hint",
+                        F.array_join("available_places", "|").alias("available_places"),
+                        F.array_join("valid_categories", "|").alias("valid_categories"))
 
 
 def hints(spark, folder):
@@ -73,7 +75,10 @@ QUERIES = {
         SELECT o_orderkey AS submission, CASE WHEN reason IS NULL THEN n_name ELSE coalesce(n_name, country) END AS country,
                CASE WHEN reason IS NULL THEN 'cat ' || o_pri END AS guid_category,
                CASE WHEN reason IS NULL THEN r_name END AS region, reason,
-               CASE WHEN reason = 'country not found' THEN {_HINT} END AS hint
+               CASE WHEN reason = 'country not found' THEN {_HINT} END AS hint,
+               CASE WHEN reason = 'country not found' THEN array_to_string({_FIRST.format(n=20)}, '|') END AS available_places,
+               CASE WHEN reason = 'category not found' THEN (
+                   SELECT string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) FROM orders) END AS valid_categories
         FROM ({_CHECKED})"""),
     "place_hints": Query(hints, f"""
         SELECT array_to_string({_FIRST.format(n=20)}, '|') AS available_places, {_HINT} AS hint"""),

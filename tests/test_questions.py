@@ -49,7 +49,7 @@ def test_detect_place_takes_the_lowest_rank(spark):
                                     "rank int, alias string, place string")
     df = questions(spark, "in NATION_12 or nation_2", "nation_11", "nation_3", None, "")
     expected = ["Twelve", "One", None, None, None]
-    for limits in ({}, {"max_probes": 1, "rows_per_cell": 2}):
+    for limits in ({}, {"max_probes": 1}):
         got = detect_place(df, "question_id", "text", aliases, **limits).orderBy("question_id").collect()
         assert [r.place for r in got] == expected
 
@@ -71,7 +71,7 @@ def answers(spark, *texts, **limits):
     return sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0], r[3] or 0))
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_probes": 1, "rows_per_cell": 2}])
+@pytest.mark.parametrize("limits", [{}, {"max_probes": 1}])
 def test_route_questions(spark, limits):
     got = answers(spark, "what is pepper", "give me brazilian recipes", "soup", "greek food", "what is unknownium", "nothing", " ", **limits)
     assert got == [
@@ -93,7 +93,7 @@ def test_info_without_a_name_takes_the_first_component(spark):
     assert answers(spark, "what is the")[0][4:6] == ("2", "Pepper")
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_probes": 4, "rows_per_cell": 30}, {"max_bytes": 40}])
+@pytest.mark.parametrize("limits", [{}, {"max_probes": 4}, {"max_bytes": 40}])
 def test_first_containing_equals_brute_force(spark, limits):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abAé ") for _ in range(n))
@@ -113,7 +113,7 @@ def test_first_containing_equals_brute_force(spark, limits):
 def test_first_contained_keeps_every_row(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("t"), F.col("id") % 7).alias("t"))
     terms = spark.createDataFrame([("t3", 5, "three"), ("t", 9, "any"), ("t4", 1, "four")], "term string, r int, v string")
-    for limits in ({}, {"max_probes": 1, "rows_per_cell": 100}):
+    for limits in ({}, {"max_probes": 1}):
         got = first_contained(df, "k", "t", terms, "term", "r", "v", "out", **limits).groupBy("t", "out").count()
         assert {(r.t, r.out) for r in got.collect()} == {
             ("t0", "any"), ("t1", "any"), ("t2", "any"), ("t3", "three"), ("t4", "four"), ("t5", "any"), ("t6", "any")}

@@ -14,17 +14,13 @@ FOLDER = TESTDATA / "sf0.001"
 QUERIES = {name: query.run for name, query in registered().items()}
 SQL = {name: query.sql for name, query in registered().items() if query.sql is not None}
 
-# Results that depend on clustering or on a sketch.
-WITHOUT_SQL = {"ann_topk", "coverage_approximate"}
-
-
 @pytest.fixture(scope="module")
 def connection():
     return connect(FOLDER)
 
 
-def test_every_query_has_sql_but_for_approximations():
-    assert set(QUERIES) - set(SQL) == WITHOUT_SQL and set(SQL) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):

@@ -49,7 +49,7 @@ def test_cosine(spark):
 
 
 @pytest.mark.parametrize("chunks", [1, 4])
-@pytest.mark.parametrize("limits", [{}, {"max_probes": 3, "rows_per_cell": 50}, {"max_bytes": 200}])
+@pytest.mark.parametrize("limits", [{}, {"max_probes": 3}, {"max_bytes": 200}])
 def test_cosine_topk_equals_brute_force(spark, chunks, limits):
     rng = np.random.default_rng(chunks)
     vectors = rng.integers(-2, 3, (240, 6))  # small whole numbers: many ties, some zero vectors
@@ -104,8 +104,8 @@ def test_ann(spark):
     near = result(ann_topk(celled, queries, cells, 10, probe=2, item="item"))
     recall = len({(q, i) for q, _, i, _, _ in near} & {(q, i) for q, _, i, _, _ in exact}) / len(exact)
     assert recall > 0.9
-    in_grid = ann_topk(celled, queries, cells, 10, probe=2, item="item", max_probes=3, rows_per_cell=100)
-    assert result(in_grid) == near
+    in_blocks = ann_topk(celled, queries, cells, 10, probe=2, item="item", max_probes=3)
+    assert result(in_blocks) == near
 
 
 def test_ann_reads_only_visited_folders(spark, tmp_path):

@@ -64,13 +64,41 @@ def compose_text(name: str, place: str, region: str, instructions: str, componen
     )
 
 
+def word_buckets(text: str, dimension: int) -> Column:
+    """The bucket of every word of a text, in the JVM; the same ones as `WordHashing`'s."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    number = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint")
+    return F.transform(words, lambda w: F.pmod(number(w), F.lit(dimension)).cast("int"))
+
+
+def _unit_rows(vectors: np.ndarray) -> np.ndarray:
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(lengths > 0, lengths, 1)
+
+
+def embed_words(df: DataFrame, text: str, out: str = "embedding", dimension: int = 64, unit: bool = False) -> DataFrame:
+    """Add the hashed word counts of a text. Words are cut and hashed in the JVM; only counting is left to Arrow."""
+
+    @F.arrow_udf("array<float>")
+    def count(buckets: pa.Array) -> pa.Array:
+        sizes = np.diff(buckets.offsets.to_numpy())
+        flat = np.repeat(np.arange(len(sizes)), sizes) * dimension + buckets.flatten().to_numpy()
+        counts = np.bincount(flat, minlength=len(sizes) * dimension).reshape(-1, dimension).astype(np.float32)
+        offsets = np.arange(len(sizes) + 1, dtype=np.int32) * dimension
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((_unit_rows(counts) if unit else counts).astype(np.float32).ravel()))
+
+    return df.withColumn(out, count.asNondeterministic()(word_buckets(text, dimension)))
+
+
 def embed(df: DataFrame, text: str, make_encoder: Callable[[], Encoder] = WordHashing, out: str = "embedding",
-          batch_size: int = ENCODER_BATCH) -> DataFrame:
-    """Add a vector per row. The encoder is made once per task and fed in batches; nothing is shuffled.
+          batch_size: int = ENCODER_BATCH, unit: bool = False) -> DataFrame:
+    """Add a vector per row, with `unit` of length one. An encoder is made once per task and fed in batches; nothing is shuffled.
 
     The function is marked nondeterministic only to keep it from running again for
     every filter on its result.
     """
+    if make_encoder is WordHashing:
+        return embed_words(df, text, out, unit=unit)
 
     @F.arrow_udf("array<float>")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -80,7 +108,8 @@ def embed(df: DataFrame, text: str, make_encoder: Callable[[], Encoder] = WordHa
             vectors = [encoder.encode([t or "" for t in words[i:i + batch_size]])
                        for i in range(0, len(words), batch_size)]
             dim = vectors[0].shape[1] if vectors else 0
-            flat = np.concatenate(vectors).astype(np.float32).ravel() if vectors else np.zeros(0, np.float32)
+            rows = np.concatenate(vectors) if vectors else np.zeros((0, 0))
+            flat = (_unit_rows(rows) if unit else rows).astype(np.float32).ravel()
             offsets = np.arange(len(words) + 1, dtype=np.int32) * dim
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 

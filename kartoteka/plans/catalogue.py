@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from kartoteka.operators.embedding import Encoder, WordHashing
 from kartoteka.operators.filters import detail_by_key, mentions, where_ci
 from kartoteka.operators.joins import join_spread
 from kartoteka.operators.project import item_view
-from kartoteka.operators.routing import PLACE_ALIASES, classify_chat, route_questions
+from kartoteka.operators.routing import PLACE_ALIASES, classify_chat, item_template, route_questions
 from kartoteka.operators.topk import page
 from kartoteka.operators.validate import to_items, validate_submissions
 from kartoteka.plans.search import semantic_search
@@ -101,6 +102,7 @@ class Catalogue:
         """The form for those who want to add an item, similar items for everyone else.
 
         Every question has a row: its `type` is template, recipe_search, no_results or empty_query.
+        A template's row has the form as JSON, in `template`.
         """
         routed = questions.select(key, text, classify_chat(text).alias("route"))
         found = semantic_search(
@@ -113,7 +115,8 @@ class Catalogue:
             .when(F.col("__question").isNull(), "no_results")
             .otherwise("recipe_search")
         )
-        return answered.withColumn("type", kind).drop("route", "__question")
+        form = F.when(F.col("route") == "template", F.lit(json.dumps(item_template())))
+        return answered.withColumns({"type": kind, "template": form}).drop("route", "__question")
 
     def submit(self, submissions: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(items to append, rejected submissions with the reason)."""

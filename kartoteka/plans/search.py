@@ -13,6 +13,7 @@ from kartoteka.functions.text import preview
 from kartoteka.operators.embedding import Encoder, WordHashing, compose_text, embed
 from kartoteka.operators.joins import measured, unprocessed
 from kartoteka.operators.similarity import cosine_topk_among
+from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import best_per_key
 
 # Fixed value: characters of matched text shown.
@@ -54,7 +55,7 @@ def nearest_chunks(
     `model_name` only that model's vectors are searched.
     """
     vectors = _of_model(vectors, model_name)
-    asked = embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked")
+    asked = staged_table(embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked"), "asked")
     top = cosine_topk_among(vectors, asked, k, items, item=key, chunk="chunk_index", query=question_key,
                             query_vector="__asked", **limits)
     texts = vectors.select(key, F.col("chunk_index").alias("chunk"), preview("chunk_text", CHUNK_TEXT).alias("chunk_text"))
@@ -78,15 +79,16 @@ def semantic_search(
         "video_recipe": "i.video_recipe", "country": "i.country", "region": "i.region",
         "category_name": "c.name", "category_image": "c.imagem", "country_flag": "p.image",
     },
-    components: str | None = "ingredient_measure", model_name: str | None = None, **limits: int,
+    components: str | None = "ingredient_measure", model_name: str | None = None, chunk_length: int = CHUNK_TEXT, **limits: int,
 ) -> DataFrame:
     """The k items most like each question, with item, place and category details.
 
     An item without place or category takes no slot; the wide detail columns only meet
-    the rows that won. With a `model_name` only that model's vectors are searched.
+    the rows that won. With a `model_name` only that model's vectors are searched. Where the
+    vectors have their text, the start of what matched is `chunk_text`.
     """
     vectors = _of_model(vectors, model_name)
-    asked = embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked")
+    asked = staged_table(embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked"), "asked")
     whole = (
         items.select(item_key, place_on[0], category_on[0])
         .join(places.select(F.col(place_on[1]).alias(place_on[0])), place_on[0], "left_semi")
@@ -95,6 +97,12 @@ def semantic_search(
     )
     top = cosine_topk_among(vectors, asked, k, whole, item=vector_item, chunk=chunk, query=question_key,
                             query_vector="__asked", **limits)
+    if "chunk_text" in vectors.columns:
+        texts = vectors.select(vector_item, (F.col(chunk) if chunk else F.lit(0)).cast("int").alias("chunk"), preview("chunk_text", chunk_length).alias("chunk_text"))
+        # the text is read for the winners only, and once for each
+        once = best_per_key(texts.join(measured(top.select(vector_item, "chunk").distinct()), [vector_item, "chunk"], "left_semi"),
+                            [vector_item, "chunk"], ["chunk_text"])
+        top = staged_table(top.join(measured(once), [vector_item, "chunk"], "left"), "matched")
     top = measured(top)
     # a place listed once per cuisine must not repeat the item
     places, categories = (
@@ -106,7 +114,7 @@ def semantic_search(
         .join(items.alias("i"), F.col(f"t.{vector_item}") == F.col(f"i.{item_key}"))
         .join(places.alias("p"), F.col(f"i.{place_on[0]}") == F.col(f"p.{place_on[1]}"))
         .join(categories.alias("c"), F.col(f"i.{category_on[0]}") == F.col(f"c.{category_on[1]}"))
-        .select(f"t.{question_key}", "t.rank", f"t.{vector_item}", "t.chunk", "t.similarity",
+        .select(f"t.{question_key}", "t.rank", f"t.{vector_item}", "t.chunk", "t.similarity", *(["t.chunk_text"] if "chunk_text" in top.columns else []),
                 *[F.col(old).alias(new) for new, old in columns.items()])
     )
     return detailed.withColumn("components", map_to_list(components)) if components else detailed

@@ -210,7 +210,7 @@ def searched(spark, folder):
         table(spark, folder, "nation").withColumnRenamed("n_name", "country"), categories, K,
         columns={"name_meal": "i.name_meal", "country": "i.country", "category_name": "c.name",
                  "nation": "p.n_nationkey", "ingredient_measure": "i.ingredient_measure"})
-    return found.select("question_id", "rank", "guid_recipe", F.round("similarity", 6).alias("similarity"), "name_meal",
+    return found.select("question_id", "rank", "guid_recipe", F.round("similarity", 6).alias("similarity"), "name_meal", "chunk_text",
                         "country", "category_name", "nation", F.get("components", 0)["measure"].alias("first_measure"))
 
 
@@ -274,7 +274,7 @@ QUERIES = {
         WITH d AS ({cells_of("documents", "doc_id", "text")}), q AS ({cells_of("benchmark", "item_id", "text")}),
         dn AS (SELECT doc_id, sum(n * n) AS s FROM d GROUP BY 1), qn AS (SELECT item_id, sum(n * n) AS s FROM q GROUP BY 1),
         whole AS (
-            SELECT d.doc_id, source, lang, n_chars, n_nationkey, n_name, quality FROM documents d
+            SELECT d.doc_id, source, text, lang, n_chars, n_nationkey, n_name, quality FROM documents d
             JOIN labels l ON d.doc_id = l.doc_id
             JOIN nation ON n_name = 'NATION_' || (d.doc_id % 30) WHERE d.doc_id % 9 > 0),
         sims AS (
@@ -284,6 +284,7 @@ QUERIES = {
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM sims)
         SELECT item_id AS question_id, rank::INT AS rank, doc_id AS guid_recipe, round(similarity, 6) AS similarity,
+               CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS chunk_text,
                source AS name_meal, n_name AS country, 'quality ' || quality AS category_name, n_nationkey AS nation,
                CASE WHEN doc_id % 5 > 0 THEN n_chars::VARCHAR END AS first_measure
         FROM ranked JOIN whole USING (doc_id) WHERE rank <= {K}"""),

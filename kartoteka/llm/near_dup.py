@@ -11,8 +11,9 @@ Candidates are not all pairs of a bucket. First every member is compared with th
 smallest member and with one chosen by hash; what is confirmed is united into components. Then
 only members of buckets that still hold several components are compared, and only across
 components and against the members outside the bucket's largest one, so that a bucket of
-thousands of near copies, once united, makes no more pairs. No candidate that could still change
-a component is left out. Links are confirmed on the full sets of the whole texts.
+thousands of near copies, once united, makes no more pairs. Members of a large bucket meet in
+blocks, with their full sets, and only links come out. No candidate that could still change a
+component is left out. Links are confirmed on the full sets of the whole texts.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer than
 five words are one shingle; rows that repeat an id count as one document; a row without id is
@@ -38,6 +39,7 @@ WORDS = 5
 PERCENT = 75
 REGISTERS, BAND = 128, 4
 MANTISSA = 10
+SMALL, BLOCK = 24, 2048  # members of a bucket that is joined with itself; of a block of a larger one
 MARGIN = 0.25  # below the threshold an estimate may be: over six standard errors
 
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -160,20 +162,88 @@ def _star_pairs(members: DataFrame) -> DataFrame:
             .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
 
 
-def _crossing_pairs(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket in different components, one of them outside the bucket's largest component."""
+def _shingles(texts: DataFrame) -> DataFrame:
+    """rep and the sorted distinct shingle hashes of its text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(1)):
+                sets = shingle_sets(part)
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(part.first, len(part)),
+                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "shingles"])
+
+    kind = texts.schema["rep"].dataType.simpleString()
+    found = texts.select("rep", "text").mapInArrow(run, f"rep {kind}, shingles array<long>")
+    return found.where(F.size("shingles") > 0)  # a repeated id may have an empty text too
+
+
+def _common(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of `left`, how many shingles it has in common with every row of `right`."""
+    x, y = (t["shingles"].combine_chunks() for t in (left, right))
+    known, place = np.unique(y.flatten().to_numpy(), return_inverse=True)
+    bounds = y.offsets.to_numpy()[:-1] - y.offsets[0].as_py()
+    for i in range(len(x)):
+        own = x[i].values.to_numpy()
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        marked = np.zeros(len(known), np.int32)
+        marked[at[known[at] == own]] = 1
+        yield i, np.add.reduceat(marked[place], bounds)
+
+
+def _linked_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components within large buckets: members meet in blocks, with their full sets, and only links come out.
+
+    A bucket is a grid of blocks of about `BLOCK` members a side, so that no task holds a bucket.
+    """
+    sets = _shingles(texts.join(members.select("rep").distinct(), "rep", "left_semi"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.join(sets, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), blocks - 1))
+    x = own.where("component <> largest").withColumn("y_block", others).withColumnRenamed("own", "x_block")
+    y = own.withColumn("x_block", others).withColumnRenamed("own", "y_block")
+    grid = ["band", "key", "x_block", "y_block"]
+    columns = [*grid, "rep", "component", "largest", "n_shingles", "shingles"]
+    kind = members.schema["rep"].dataType.simpleString()
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        if left.num_rows and right.num_rows:
+            (rep_x, of_x, n_x), (rep_y, of_y, n_y) = ([t[c].to_numpy() for c in ("rep", "component", "n_shingles")] for t in (left, right))
+            in_largest = of_y == right["largest"].to_numpy()
+            for i, common in _common(left, right):
+                linked = 100 * common >= PERCENT * (n_x[i] + n_y - common)
+                j = np.flatnonzero(linked & (of_y != of_x[i]) & (in_largest | (rep_x[i] < rep_y)))
+                found_a.append(np.minimum(rep_x[i], rep_y[j]))
+                found_b.append(np.maximum(rep_x[i], rep_y[j]))
+        return pa.table({c: pa.array(np.concatenate(f) if f else [], id_type) for c, f in (("a", found_a), ("b", found_b))})
+
+    y = y.select(*[F.col(c).alias(c) for c in columns])  # columns of its own, as both sides come from one table
+    return x.select(*columns).groupBy(*grid).cogroup(y.groupBy(*grid)).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _crossing_links(members: DataFrame, component: DataFrame, classes: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """Links between members of a bucket in different components, one of them outside the bucket's largest component.
+
+    Small buckets are joined with themselves, which makes at most `SMALL` rows of each member.
+    """
     named = (members.select("band", "key", "rep", "n_shingles").join(component.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
              .withColumn("component", F.coalesce("component", "rep")))
     counted = named.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    open_ = (counted.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"))
-             .where("parts > 1").select("band", "key", "largest"))
+    open_ = (counted.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+             .where("parts > 1").select("band", "key", "largest", "n"))
     left = staged_table(named.join(open_, ["band", "key"]), "open_buckets")
-    x = left.where("component <> largest").select("band", "key", F.col("rep").alias("x"), F.col("component").alias("of_x"), F.col("n_shingles").alias("n_x"))
-    y = left.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("of_y"), "largest", F.col("n_shingles").alias("n_y"))
+
+    small = left.where(F.col("n") <= SMALL)
+    x = small.where("component <> largest").select("band", "key", F.col("rep").alias("x"), F.col("component").alias("of_x"), F.col("n_shingles").alias("n_x"))
+    y = small.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("of_y"), "largest", F.col("n_shingles").alias("n_y"))
     pairs = (x.join(y, ["band", "key"])
              .where((F.col("of_x") != F.col("of_y")) & ((F.col("of_y") == F.col("largest")) | (F.col("x") < F.col("y")))
                     & (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y"))))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    in_small = confirm(staged_table(likely(pairs, classes), "crossing_pairs"), texts)
+    return in_small.unionByName(_linked_in_blocks(left.where(F.col("n") > SMALL), texts)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,8 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = staged_table(likely(_star_pairs(members), classes), "star_pairs")
     links = staged_table(confirm(tried, texts), "star_links")
     found = components(links)
-    crossing = likely(_crossing_pairs(members, found).join(tried, ["a", "b"], "left_anti"), classes)
-    more = staged_table(confirm(crossing, texts), "crossing_links")
+    more = staged_table(_crossing_links(members, found, classes, texts, tried), "crossing_links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

@@ -61,7 +61,10 @@ def test_edge_texts(documents):
     assert near_dup.near_duplicates(documents([])).count() == 0
 
 
-def test_groups_of_copies_and_chains(documents):
+@pytest.mark.parametrize("small, block", [(24, 2048), (2, 16)])
+def test_groups_of_copies_and_chains(documents, monkeypatch, small, block):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(7)
     base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
 

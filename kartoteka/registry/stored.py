@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from kartoteka.functions.text import day_text, surrogate_key
 from kartoteka.operators.contracts import Contract, apply_defaults, contract_report, duplicate_keys, relax
 from kartoteka.operators.tables import append_audited, insert_if_absent, read_version, register, upsert, write_version
+from kartoteka.operators.topk import best_per_key
 from kartoteka.plans import load
 from kartoteka.registry.base import Query, key_sql, table
 from kartoteka.session import scratch
@@ -163,15 +164,18 @@ CONTRACT_SQL = """
 
 
 def streamed(spark, folder):
-    """Events landed as a stream, merged into the latest event of each user."""
+    """Events landed twice and merged into the latest event of each user; half of the users are stored before."""
     events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value")
-    root, landing = scratch(spark, "latest"), scratch(spark, "landing")
-    events.write.parquet(landing)
-    write_version(events.limit(0), root, INITIAL)
-    query = upsert_stream(
-        spark, landing, events.schema, root, scratch(spark, "stream"), ["user_id"], ["event_id", "event_type", "value"],
-        newest_by=[F.col("event_id").desc()])
-    query.awaitTermination()
+    third = events.agg(F.max("event_id")).first()[0] // 3
+    old = events.where((F.col("event_id") < third) & (F.col("user_id") % 2 == 0))
+    root, landing, checkpoint = scratch(spark, "latest"), scratch(spark, "landing"), scratch(spark, "stream")
+    write_version(best_per_key(old, ["user_id"], [F.col("event_id").desc()]), root, INITIAL)
+    first = events.where((F.col("event_id") < 2 * third) & ~((F.col("event_id") < third) & (F.col("user_id") % 2 == 0)))
+    for landed in (first, events.where(F.col("event_id") >= 2 * third)):
+        landed.write.mode("append").parquet(landing)
+        query = upsert_stream(spark, landing, events.schema, root, checkpoint, ["user_id"], ["event_id", "event_type", "value"],
+                              newest_by=[F.col("event_id").desc()])
+        query.awaitTermination()
     return read_version(spark, root, query.lastProgress["batchId"])
 
 

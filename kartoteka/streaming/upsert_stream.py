@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from kartoteka.operators.tables import read_version, upsert, write_version
+from kartoteka.operators.tables import read_version, staged_table, upsert, write_version
 
 INITIAL = -1
 
@@ -29,7 +29,8 @@ def upsert_stream(
     )
 
     def merge(batch: DataFrame, number: int) -> None:
-        staged = prepare(batch) if prepare else batch
+        # written once, as merging reads it several times
+        staged = staged_table(prepare(batch) if prepare else batch, "batch")
         target = read_version(batch.sparkSession, root, number - 1)
         write_version(upsert(target, staged, keys, update_cols, newest_by), root, number)
 

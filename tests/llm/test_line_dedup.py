@@ -92,3 +92,44 @@ def test_columns_stay(documents):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
     assert sorted((r.doc_id, r.text, r.n_chars, r.score) for r in out.collect())[1:] == [(1, "", 0, "x"), (2, "", 0, "x")]
+
+
+def words_of(rng, n, tag):
+    return " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_no_short_passage_is_missed(documents):
+    rng = random.Random(11)
+    passages = [" ".join(words_of(rng, rng.randrange(3, 15), f"p{k}_") + rng.choice([",", ".", ";"]) for _ in range(3 + k % 6)) for k in range(150)]
+    texts = [f"{words_of(rng, 9, 'd')}. {words_of(rng, 3, 'e')}, {passages[i % 150]} {words_of(rng, 12, 'f')}." for i in range(300)]
+    gone = removed(documents(texts))
+    assert not any(gone[i] for i in range(150))
+    assert all(gone[i].decode().strip() == passages[i % 150] for i in range(150, 300))
+
+
+def test_words_without_lines(documents):
+    rng = random.Random(12)
+    passages = [words_of(rng, 50, f"p{k}_") for k in range(40)]
+    texts = [f"{words_of(rng, 30, 'd')} {passages[i % 40]} {words_of(rng, 30, 'f')}" for i in range(80)]
+    gone = removed(documents(texts))
+    assert all(gone[i].decode() == (passages[i % 40] if i >= 40 else "") for i in range(80))
+    line = words_of(rng, 35, "x") + "."
+    gone = removed(documents([line, f"Some words. {line} Others"]))
+    assert gone == {0: b"", 1: line.encode() + b" "}
+
+
+def test_text_without_blanks(documents):
+    rng = random.Random(13)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    lines, plain = "".join(han(7) + "。" for _ in range(4)), han(60)
+    docs = documents([f"{han(9)}。{lines}{han(9)}", f"{han(5)}，{lines}{han(8)}", f"{han(40)}{plain}{han(40)}", f"{han(40)}{plain}{han(40)}"])
+    spans = {r.doc_id: [s.end - s.start for s in r.removed_spans] for r in line_dedup.remove_repeated(docs).collect()}
+    assert spans == {0: [], 1: [len(lines.encode())], 2: [], 3: [len(plain.encode())]}
+
+
+def test_long_edges_go(documents):
+    rng = random.Random(14)
+    clauses = [f"{'x' * 300}{k} {'y' * 300}{rng.randrange(10**6)}." for k in range(2)]
+    passage = " ".join([*clauses, words_of(rng, 10, "m") + ".", words_of(rng, 10, "n") + ".", *clauses[::-1]])
+    gone = removed(documents([f"Begin here. {passage} End", f"Another start. {passage} Stop"]))
+    assert gone[1].decode().strip() == passage

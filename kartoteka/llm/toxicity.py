@@ -1,19 +1,23 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are letter runs in lower case and their first four to six letters. Of the terms of a
-bounded sample of labelled texts those are kept that by themselves speak for the label; document
-frequencies of the kept terms are counted over all documents. The labelled examples form an
-inverted index whose postings are cut into blocks of examples, each with its largest weight per
-term: a block whose bound is under the k-th best cosine so far is not opened, so that the
-nearest examples are exact. Their labels vote by similarity, together with the rate of examples
-that have no kept term; votes are calibrated on the examples themselves, each left out once.
-
-Each text is read once: its kept terms are written to the shared folder and scored from there.
-
-Defined results: null, empty and term-less texts get the calibrated rate of such examples; equal
-texts get equal scores; ties among examples go to the smaller id; without labelled rows every
-score is 0. Labels are 0 or 1, others teach nothing; an id with both counts as toxic. Columns
-besides `doc_id`, `text` (and `toxic` of the labels) are not read.
+Terms are letter runs in lower case and their first four to six letters. All terms of a bounded
+sample of labelled texts are used, those of clean texts too; document frequencies are counted over
+all documents. A term weighs its inverse document frequency times its relevance frequency,
+log2(2 + toxic / clean examples that have it), which is one at least: no term is left out.
+
+Rare terms of the examples are an inverted index. What the common ones can add at most is bounded
+for blocks of examples by their largest weight per term, and for each example by the length of its
+common part; common terms are only looked at for examples whose bound reaches the k-th best cosine,
+so that the nearest examples are exact. Their labels vote by similarity, together with the rate of
+all examples; votes are calibrated on the examples themselves, each left out once.
+
+Texts are read twice, for the document frequencies and for the scores; nothing of them is written.
+
+Defined results: null, empty and term-less texts get the calibrated rate of such examples, texts
+without a term of the sample that of all examples; equal texts get equal scores; ties among
+examples go to the smaller id; without labelled rows every score is 0. Labels are 0 or 1, others
+teach nothing; an id with both counts as toxic. Columns besides `doc_id`, `text` (and `toxic` of
+the labels) are not read.
 """
 
 from __future__ import annotations
@@ -27,16 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.llm.letters import HashTable, LetterRuns, tables
-from kartoteka.llm.spans import slices
+from kartoteka.llm.spans import Texts, slices
 from kartoteka.operators.tables import staged_table
 
 TRAINING_TEXTS = 8_000  # labelled examples, at most
-MAX_TERMS = 4_000
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64  # examples in a block
+COMMON = 4  # a term that more than one in so many examples has is common
 PRIOR_WEIGHT = 0.2  # similarity that the rate without evidence is worth
-CONFIDENCE = 2.2  # standard errors that a term's rate must stay over one half
 
 
 def text_terms(runs: LetterRuns) -> tuple[np.ndarray, np.ndarray]:
@@ -50,66 +53,67 @@ def text_terms(runs: LetterRuns) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(hashes)
 
 
-def _term_counts(sample: DataFrame) -> DataFrame:
-    """(term, toxic examples, all examples that have it)."""
+def _counted(texts: Texts, value: dict[str, Any]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, times) of the terms of each text, in order."""
+    owners, hashes = text_terms(LetterRuns(texts, value["letters"]))
+    order = np.lexsort((hashes, owners))
+    owners, hashes = owners[order], hashes[order]
+    first = np.flatnonzero(np.append(True, (owners[1:] != owners[:-1]) | (hashes[1:] != hashes[:-1]))) if len(owners) else np.zeros(0, np.int64)
+    return owners[first], hashes[first], np.diff(np.append(first, len(owners)))
+
+
+def example_terms(sample: DataFrame) -> DataFrame:
+    """doc_id, label, the hashes of all terms of each text, and how often each occurs."""
     shared = sample.sparkSession.sparkContext.broadcast({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = tables(shared)["letters"]
+        value = tables(shared)
         for batch in batches:
-            label = batch.column(0).to_numpy().astype(np.int64)
-            for texts in slices(batch.column(1)):
-                owners, hashes = text_terms(LetterRuns(texts, letters))
-                pairs = np.unique(np.stack([hashes, owners.astype(np.uint64)], axis=1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
-                terms, at = np.unique(pairs[:, 0], return_inverse=True)
-                toxic = label[texts.first + pairs[:, 1].astype(np.int64)]
-                yield pa.RecordBatch.from_pydict({"term": pa.array(terms.view(np.int64)), "toxic": pa.array(np.bincount(at, toxic, len(terms)).astype(np.int64)),
-                                                  "every": pa.array(np.bincount(at, minlength=len(terms)).astype(np.int64))})
-
-    found = sample.select("label", "text").mapInArrow(run, "term long, toxic long, every long")
-    return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("every").alias("every"))
-
+            for texts in slices(batch.column(2)):
+                owners, hashes, times = _counted(texts, value)
+                bounds = pa.array(np.searchsorted(owners, np.arange(len(texts) + 1)), pa.int32())
+                rows = batch.slice(texts.first, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), pa.ListArray.from_arrays(bounds, pa.array(hashes.view(np.int64))),
+                     pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))], ["doc_id", "label", "terms", "times"])
 
-def _lower_bound(hits: Column, every: Column) -> Column:
-    """What the rate of a term is over, by Wilson's interval."""
-    z, rate = CONFIDENCE, hits / every
-    return (rate + z * z / (2 * every) - z * F.sqrt(rate * (1 - rate) / every + z * z / (4 * every * every))) / (1 + z * z / every)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sample.select("doc_id", "label").schema)
+    return sample.select("doc_id", "label", "text").mapInArrow(run, f"{fields}, terms array<bigint>, times array<int>")
 
 
-def choose_terms(sample: DataFrame, rate: float) -> np.ndarray:
-    """Hashes of the kept terms: those whose rate is surely over one half, else the best ones over the overall rate."""
-    scored = _term_counts(sample).where(F.col("toxic") >= 2).withColumn("bound", _lower_bound(F.col("toxic"), F.col("every")))
-    rows = scored.where(F.col("bound") > min(0.5, rate)).orderBy(F.desc("bound"), F.desc("toxic"), "term").limit(MAX_TERMS).collect()
-    sure = [r.term for r in rows if r.bound > 0.5]
-    return np.array(sorted(sure if len(sure) >= 5 else [r.term for r in rows[:50]]), np.int64).view(np.uint64)
+def _known_terms(texts: Texts, value: dict[str, Any]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds of each text, places of its terms that are known, times, whether it has any term)."""
+    if "table" not in value:
+        value["table"] = HashTable(value["terms"])
+    owners, hashes = text_terms(LetterRuns(texts, value["letters"]))
+    place = value["table"].find(hashes)
+    hit, count = place >= 0, max(1, len(value["terms"]))
+    keys, times = np.unique(owners[hit] * count + place[hit], return_counts=True)
+    return np.searchsorted(keys, np.arange(len(texts) + 1) * count), keys % count, times, np.bincount(owners, minlength=len(texts)) > 0
 
 
-def term_vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """doc_id, the kept terms of each text (`terms`, by place) and how often each occurs (`times`)."""
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of documents, and how many of them have each term."""
     shared = docs.sparkSession.sparkContext.broadcast({"terms": terms})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = tables(shared)
-        if "table" not in value:
-            value["table"] = HashTable(value["terms"])
-        count = max(1, len(value["terms"]))
+        value, n, found = tables(shared), 0, np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
-            for texts in slices(batch.column(1)):
-                owners, hashes = text_terms(LetterRuns(texts, value["letters"]))
-                place = value["table"].find(hashes)
-                hit = place >= 0
-                keys, times = np.unique(owners[hit] * count + place[hit], return_counts=True)
-                bounds = pa.array(np.searchsorted(keys, np.arange(len(texts) + 1) * count), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.first, len(texts)), pa.ListArray.from_arrays(bounds, pa.array(keys % count, pa.int32())),
-                     pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))], ["doc_id", "terms", "times"])
+            for texts in slices(batch.column(0)):
+                _, places, _, _ = _known_terms(texts, value)
+                found[:-1] += np.bincount(places, minlength=len(terms))
+                found[-1] += len(texts)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(at, pa.int32()), "n": pa.array(found[at])})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, times array<int>")
+    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term at most
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    return int(out[-1]), out[:-1]
 
 
 class BlockMaxIndex:
-    """Postings of weighted examples by term, in blocks of examples, with the largest weight in each block."""
+    """Weighted examples: postings of rare terms; common terms by example, with the largest weight in each block of examples."""
 
     def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         """`examples`: term places and weights (of length one) of each example, in the order in which ties are broken."""
@@ -117,38 +121,50 @@ class BlockMaxIndex:
         terms = np.concatenate([t for t, _ in examples]) if sizes else np.zeros(0, np.int64)
         weights = np.concatenate([w for _, w in examples]) if sizes else np.zeros(0)
         example = np.repeat(np.arange(len(examples)), sizes)
-        order = np.lexsort((example, terms))
-        self.terms, self.examples, self.weights, self.block = terms[order], example[order], weights[order], block
-        self.blocks = -(-max(1, len(examples)) // block)
-        bucket = self.terms * self.blocks + self.examples // block
-        self.buckets, self.starts = np.unique(bucket, return_index=True)
-        self.ends = np.append(self.starts[1:], len(bucket))
-        self.most = np.maximum.reduceat(self.weights, self.starts) if len(bucket) else np.zeros(0)
-        self.term_starts = np.searchsorted(self.buckets, np.arange(n_terms + 1) * self.blocks)
+        self.n, self.block = len(examples), block
+        frequent = np.bincount(terms, minlength=n_terms) > max(1, len(examples) / COMMON)
+        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1)  # of a common term
+
+        rare = ~frequent[terms]
+        order = np.flatnonzero(rare)[np.argsort(terms[rare], kind="stable")]
+        self.examples, self.weights = example[order].astype(np.int32), weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+
+        self.common, self.common_weights = self.column[terms[~rare]].astype(np.int32), weights[~rare]
+        self.common_starts = np.searchsorted(example[~rare], np.arange(self.n + 1))
+        self.lengths = np.sqrt(np.bincount(example[~rare], self.common_weights**2, self.n))
+        self.most = np.zeros((int(frequent.sum()), -(-max(1, self.n) // block)))
+        np.maximum.at(self.most, (self.common, example[~rare] // block), self.common_weights)
+        self.asked = np.zeros(len(self.most))
+
+    def _common_parts(self, examples: np.ndarray) -> np.ndarray:
+        """What the common terms add for the given examples."""
+        sizes = self.common_starts[examples + 1] - self.common_starts[examples]
+        at = np.arange(sizes.sum()) + np.repeat(self.common_starts[examples] - (np.cumsum(sizes) - sizes), sizes)
+        return np.bincount(np.repeat(np.arange(len(examples)), sizes), self.common_weights[at] * self.asked[self.common[at]], len(examples))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a common term, without the example `skip`."""
-        spans = [(self.term_starts[t], self.term_starts[t + 1], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True)]
-        bounds = np.zeros(self.blocks)
-        opened: dict[int, list[tuple[int, int, float]]] = {}
-        for a, b, w in spans:
-            blocks = self.buckets[a:b] % self.blocks
-            bounds[blocks] += self.most[a:b] * w
-            for block, start, end in zip(blocks.tolist(), self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True):
-                opened.setdefault(block, []).append((start, end, w))
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        for block in sorted(opened, key=lambda b: (-bounds[b], b)):
-            if len(found) == k and bounds[block] < scores[-1] - 1e-12:
-                break
-            own = np.zeros(self.block)
-            for start, end, w in opened[block]:
-                own[self.examples[start:end] - block * self.block] += self.weights[start:end] * w
-            here = np.flatnonzero(own > 0)
-            here = here[here + block * self.block != skip]
-            found, scores = np.concatenate([found, here + block * self.block]), np.concatenate([scores, own[here]])
-            best = np.lexsort((found, -np.round(scores, 12)))[:k]
-            found, scores = found[best], scores[best]
-        return found, scores
+        column = self.column[terms]
+        rare = column < 0
+        t, w = terms[rare], weights[rare]
+        sizes = self.starts[t + 1] - self.starts[t]
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[t] - (np.cumsum(sizes) - sizes), sizes)
+        scores = np.bincount(self.examples[at], self.weights[at] * np.repeat(w, sizes), self.n)
+        column, w = column[~rare], weights[~rare]
+        by_block = np.repeat(w @ self.most[column], self.block)[:self.n]
+        bounds = scores + np.minimum(by_block, self.lengths * np.linalg.norm(w))
+        if 0 <= skip < self.n:
+            bounds[skip] = 0
+        self.asked[column] = w
+        first = np.argpartition(-bounds, 2 * k)[:2 * k] if self.n > 2 * k else np.arange(self.n)
+        least = np.sort(np.round(scores[first] + self._common_parts(first), 12) * (first != skip))[-k] if len(first) >= k else 0.0
+        found = np.flatnonzero((bounds > 0) & (bounds >= least - 1e-9))
+        cosines = scores[found] + self._common_parts(found)
+        self.asked[column] = 0
+        found, cosines = found[cosines > 0], cosines[cosines > 0]
+        best = np.lexsort((found, -np.round(cosines, 12)))[:k]
+        return found[best], cosines[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,28 +188,28 @@ class Votes:
     """Scores of term vectors by their nearest examples."""
 
     def __init__(self, model: dict[str, Any]):
-        self.idf, self.labels, self.rate = model["idf"], model["labels"], model["rate"]
-        self.index = BlockMaxIndex(model["examples"], len(self.idf))
+        self.term_weights, self.labels, self.rate, self.blank = model["term_weights"], model["labels"], model["rate"], model["blank"]
+        self.index = BlockMaxIndex(model["examples"], len(self.term_weights))
         self.curve = model.get("curve")
 
     def vote(self, terms: np.ndarray, times: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """(share of toxic votes, the nearest examples, their cosines)."""
         if not len(terms):
             return self.rate, np.zeros(0, np.int64), np.zeros(0)
-        near, cosines = self.index.nearest(terms, weigh(self.idf, terms, times), NEIGHBOURS, skip)
+        near, cosines = self.index.nearest(terms, weigh(self.term_weights, terms, times), NEIGHBOURS, skip)
         return float((cosines @ self.labels[near] + PRIOR_WEIGHT * self.rate) / (cosines.sum() + PRIOR_WEIGHT)), near, cosines
 
     def calibrated(self, share: float) -> float:
         return share if self.curve is None else float(np.interp(share, *self.curve))
 
 
-def weigh(idf: np.ndarray, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(times)) * idf[terms]
+def weigh(term_weights: np.ndarray, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(times)) * term_weights[terms]
     return w / np.linalg.norm(w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAINING_TEXTS) -> tuple[dict[str, Any], DataFrame | None]:
-    """The examples and their votes, and the term vectors of all documents (None without examples).
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAINING_TEXTS) -> dict[str, Any]:
+    """The examples and what is known of their terms; nothing without toxic examples.
 
     Of the labelled ids that are usable, those with the smallest hashes are taken, at most `limit`.
     """
@@ -204,51 +220,60 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAIN
     sample = staged_table(sample, "toxic_texts")
     totals = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not totals.n or not totals.toxic:
-        return {}, None
-    terms = choose_terms(sample, totals.toxic / totals.n)
-    vectors = staged_table(term_vectors(docs, terms), "toxic_terms")
-    n_docs = vectors.count()
-    counted = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # a row for each kept term at most
-    df = np.zeros(len(terms))
-    for r in counted:
-        df[r.term] = r.n
-    own = (vectors.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.col("terms").cast("string"), F.col("times").cast("string"))
-           .limit(4 * limit).collect())  # the examples; only repeated ids make more rows than `limit`
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    filled = [r for r in own if r.terms]
-    empty = [r.label for r in own if not r.terms]
-    examples = [(np.array(r.terms), weigh(idf, np.array(r.terms), np.array(r.times))) for r in filled]
-    model = {"idf": idf, "labels": np.array([r.label for r in filled], float), "ids": [r.doc_id for r in filled],
-             "rate": (sum(empty) + 0.5) / (len(empty) + 1.0 + 1.0 * (not empty)), "examples": examples}
+        return {}
+    if totals.n > 4 * limit:  # only repeated ids make more rows than `limit`
+        sample = sample.orderBy("doc_id", "text").limit(4 * limit)
+    own = example_terms(sample).toArrow()
+    rows = sorted(((i, x, t.values.to_numpy().view(np.uint64), n.values.to_numpy()) for i, x, t, n in
+                   zip(own["doc_id"].to_pylist(), own["label"].to_pylist(), own["terms"], own["times"], strict=True)), key=lambda x: (x[0], x[2].tobytes(), x[3].tobytes()))
+    filled, empty = [x for x in rows if len(x[2])], [x[1] for x in rows if not len(x[2])]
+    every = np.concatenate([t for _, _, t, _ in filled]) if filled else np.zeros(0, np.uint64)
+    terms, places = np.unique(every, return_inverse=True)
+    places = places.astype(np.int32)
+    del own, every
+    sizes, marks = [len(t) for _, _, t, _ in filled], np.array([x for _, x, _, _ in filled], float)
+    toxic = np.bincount(places, np.repeat(marks, sizes), len(terms))
+    clean = np.bincount(places, minlength=len(terms)) - toxic
+    n_docs, df = document_frequencies(docs, terms)
+    term_weights = (np.log((1 + n_docs) / (1 + df)) + 1) * np.log2(2 + toxic / np.maximum(1, clean))
+    at = np.cumsum([0, *sizes])
+    vectors = [(places[at[i]:at[i + 1]], times) for i, (_, _, _, times) in enumerate(filled)]
+    rate = totals.toxic / totals.n
+    model = {"terms": terms, "term_weights": term_weights, "labels": marks, "ids": [x[0] for x in filled], "rate": rate,
+             "blank": (sum(empty) + rate) / (len(empty) + 1), "examples": [(t, weigh(term_weights, t, times)) for t, times in vectors]}
     votes = Votes(model)
-    shares = [votes.vote(np.array(r.terms), np.array(r.times), skip=i)[0] for i, r in enumerate(filled)] + [votes.rate] * len(empty)
-    model["curve"] = isotonic(np.array(shares), np.array([r.label for r in filled] + empty, float))
-    return model, vectors
+    shares = [votes.vote(t, times, skip=i)[0] for i, (t, times) in enumerate(vectors)] + [votes.blank] * len(empty)
+    model["curve"] = isotonic(np.array(shares), np.array([*marks.tolist(), *empty], float))
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     """doc_id, score, predicted, and as `evidence` the ids of the three nearest examples, nearest first."""
-    model, vectors = learn(docs, labels, usable)
+    model = learn(docs, labels, usable)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if vectors is None:
+    if not model:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(f"array<{kind}>").alias("evidence"))
-    shared = docs.sparkSession.sparkContext.broadcast(dict(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model.clear()  # the executors have it; the driver needs it no longer
     id_type = pa.int64() if kind == "bigint" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = shared.value
+        value = tables(shared)
         if "votes" not in value:
             value["votes"] = Votes(value)
         votes: Votes = value["votes"]
         for batch in batches:
-            scores, evidence = [], []
-            for terms, times in zip(batch.column(1), batch.column(2), strict=True):
-                share, near, _ = votes.vote(terms.values.to_numpy(), times.values.to_numpy())
-                scores.append(votes.calibrated(share))
-                evidence.append([value["ids"][i] for i in near[:3].tolist()])
-            found = np.clip(np.array(scores), 0, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32)),
-                 pa.array(evidence, pa.list_(id_type) if id_type else None)], ["doc_id", "score", "predicted", "evidence"])
-
-    return vectors.mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<{kind}>")
+            for texts in slices(batch.column(1)):
+                scores, evidence = [], []
+                bounds, terms, times, any_term = _known_terms(texts, value)
+                for i in range(len(texts)):
+                    a, b = bounds[i], bounds[i + 1]
+                    share, near, _ = votes.vote(terms[a:b], times[a:b])
+                    scores.append(votes.calibrated(share if any_term[i] else votes.blank))
+                    evidence.append([value["ids"][j] for j in near[:3].tolist()])
+                found = np.clip(np.array(scores), 0, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(texts.first, len(texts)), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32)),
+                     pa.array(evidence, pa.list_(id_type) if id_type else None)], ["doc_id", "score", "predicted", "evidence"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<{kind}>")

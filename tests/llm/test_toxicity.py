@@ -56,3 +56,22 @@ def test_edge_texts(spark, documents):
     assert toxicity.score_toxicity(docs.limit(0), labels, F.lit(True)).count() == 0
     nothing = toxicity.score_toxicity(docs, labels.limit(0), F.lit(True)).collect()
     assert len(nothing) == docs.count() and {r.score for r in nothing} == {0.0}
+
+
+def test_rare_terms_of_examples_count(spark, documents):
+    # every toxic text has a word that only three examples have, and none that all of them share
+    taught = [(i, f"{'abcdefghijklmnopqrst'[i // 4 % 20] * 7} plain talk of things" if i % 4 == 0 else f"calm {'uvwxyz'[i % 6] * 7} talk of things") for i in range(240)]
+    asked = [(1000 + k, f"{'abcdefghijklmnopqrst'[k] * 7} plain") for k in range(20)] + [(2000 + k, f"calm {'uvwxyz'[k] * 7}") for k in range(6)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in taught], "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(documents(taught + asked), labels, F.lit(True)).collect()}
+    assert all(rows[i].predicted == (i < 2000) for i, _ in asked)
+    by_id = dict(taught)
+    assert all(by_id[e].split()[0] == text.split()[0] for i, text in asked for e in rows[i].evidence if i < 2000)
+    assert all(len(rows[i].evidence) == 3 for i, _ in asked)  # clean texts have neighbours, too
+
+
+def test_no_term_of_the_examples_is_left_out(spark, documents):
+    docs = documents([(i, f"{'abcdefghij'[i % 10] * 3} word{'klmnopqrst'[i // 10] * 4}") for i in range(100)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(100)], "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs, labels, F.lit(True)).collect()
+    assert all(len(r.evidence) == 3 and r.doc_id in r.evidence for r in rows)

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kartoteka.llm import byte_bpe, curves, language, line_dedup, near_dup, packing, quality, secrets, toxicity, urls
+from kartoteka.llm import (byte_bpe, curves, language, line_dedup, manifest, near_dup, packing, quality, quantised, repair, secrets, sql, toxicity,
+                           urls)
 from kartoteka.registry.base import Query, table
 
 # The rules that pages are judged by, as host, path and action.
@@ -72,6 +73,20 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"), rules)
 
 
+def op11_quantised(spark: SparkSession, folder: str) -> DataFrame:
+    return quantised.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.audit(repair.damaged(table(spark, folder, "conversations")))
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    one_more = F.col("n_chars").cast("decimal(38,0)") + 1
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest.manifest(manifest.leaves(table(spark, folder, "documents"), {"n_chars": one_more}, tampered))
+
+
 _URL_SQL = f"""
 WITH rules(host, path, action) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
 parts AS (
@@ -99,5 +114,8 @@ QUERIES: dict[str, Query] = {
     "op8_curves": Query(op8_curves),
     "op9_quality": Query(op9_quality),
     "op10_url_filters": Query(op10_url_filters, _URL_SQL),
+    "op11_quantised": Query(op11_quantised, sql.NEAR_VECTORS),
+    "op12_repair": Query(op12_repair, sql.CONVERSATION_REPAIR),
+    "op13_manifest": Query(op13_manifest, sql.MANIFEST),
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

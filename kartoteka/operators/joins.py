@@ -20,7 +20,7 @@ from kartoteka.functions.text import blank_to_null
 from kartoteka.operators.topk import best_per_key
 
 _SPREAD = "__spread"
-_SPREAD_BUCKETS = 256
+_SPREAD_BUCKETS = 1 << 20  # more than any shuffle has partitions
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -79,9 +79,10 @@ def unprocessed(items: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataF
     return fresh.unionByName(items.where(~has_key))
 
 
-def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """One row for each key, the first by its plain columns; rows without a key are left out, as a join would."""
-    order = [F.col(f.name).asc_nulls_last() for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+def one_per_key(df: DataFrame, key: str, newest: str | None = None) -> DataFrame:
+    """One row for each key: the newest, if a column tells, then the first by its plain columns; rows without a key are left out, as a join would."""
+    order = [F.col(newest).desc_nulls_last()] if newest in df.columns else []
+    order += [F.col(f.name).asc_nulls_last() for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
     return best_per_key(df.where(F.col(key).isNotNull()), [key], order)
 
 
@@ -105,13 +106,15 @@ def denormalize(
     category_on: tuple[str, str] = ("category_name", "name"),
     place_on: tuple[str, str] = ("country", "country"),
     detail_on: tuple[str, str] = ("external_id_meal", "external_id"),
+    newest: str = "date_modified",
     columns: Mapping[str, str | Column] | None = None,
 ) -> DataFrame:
     """Inner star join of listing, category, place and detail to the stored item columns.
 
     The dimensions come first: they are usually broadcast, and rows they drop
     need not be shuffled to meet their details. A place is stored once for each of its
-    cuisines, and an item may be listed twice: each counts once, so that an item is one row.
+    cuisines, and an item may be listed twice: each counts once, so that an item is one row. Of several
+    details of an item the newest counts.
     """
     known = (listings.alias("r")
              .join(categories.alias("c"), F.col(f"r.{category_on[0]}") == F.col(f"c.{category_on[1]}"), "left_semi")
@@ -120,7 +123,7 @@ def denormalize(
         one_per_key(known, detail_on[0]).alias("r")
         .join(one_per_key(categories, category_on[1]).alias("c"), F.col(f"r.{category_on[0]}") == F.col(f"c.{category_on[1]}"))
         .join(one_per_key(places, place_on[1]).alias("co"), F.col(f"r.{place_on[0]}") == F.col(f"co.{place_on[1]}"))
-        .join(one_per_key(details, detail_on[1]).alias("rf"), F.col(f"r.{detail_on[0]}") == F.col(f"rf.{detail_on[1]}"))
+        .join(one_per_key(details, detail_on[1], newest).alias("rf"), F.col(f"r.{detail_on[0]}") == F.col(f"rf.{detail_on[1]}"))
     )
     chosen = columns if columns is not None else {
         "id_guid_sk": "r.id_guid_sk",

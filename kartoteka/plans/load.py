@@ -8,13 +8,16 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartoteka.functions.nested import wide_slots
 from kartoteka.functions.text import override, surrogate_key, template_url
+from kartoteka.operators.buckets import KeyBuckets
 from kartoteka.operators.filters import modified_since
-from kartoteka.operators.joins import denormalize, dim_lookup
+from kartoteka.operators.joins import denormalize, dim_lookup, join_spread
 from kartoteka.operators.project import rename_select, with_audit
 from kartoteka.operators.tables import KEPT_ON_UPDATE, staged_table, upsert
+from kartoteka.operators.topk import best_per_key
 from kartoteka.sources.landing import (
     CATEGORY_FIELDS,
     COMPONENT_FIELDS,
@@ -129,6 +132,52 @@ def full_load(spark: SparkSession, landing: Landing, source: str, as_of: datetim
     return {name: with_audit(df, source, as_of) for name, df in tables.items()}
 
 
+# What tells a row of a full load apart in each table.
+LOAD_KEYS = {"category": ("id_guid_sk",), "ingredients": ("id_guid_sk",), "country": ("id_guid_sk",), "recipe": ("id_guid_sk",)}
+
+
+def row_digest(df: DataFrame) -> Column:
+    """Digest of what a row says; keys, times and its origin are in none."""
+    said = sorted(c for c in df.columns if not c.startswith("__") and c != "id_guid_sk")
+    return F.sha2(F.to_json(F.struct(*said), {"ignoreNullFields": "false"}), 256)
+
+
+def load_changes(stored: DataFrame, loaded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The loaded rows, one for each key, with `change`: new, changed or same.
+
+    Tables meet by key and digest only. A loaded key that repeats with other words counts once, the
+    least digest winning, so that a second run finds the same.
+    """
+    loaded = loaded.withColumn("__digest", row_digest(loaded))
+    once = best_per_key(loaded, keys, ["__digest"])
+    known = stored.select(*[F.col(k).alias(f"__known_{k}") for k in keys], row_digest(stored).alias("__known_digest"))
+    met = join_spread(once, known, {k: f"__known_{k}" for k in keys})
+    change = F.when(F.col("__known_digest").isNull(), "new").when(F.col("__digest") == F.col("__known_digest"), "same").otherwise("changed")
+    return met.withColumn("change", change).select(*[c for c in loaded.columns if c != "__digest"], "change")
+
+
+def load_into(spark: SparkSession, tables: dict[str, DataFrame], root: str, run: str, buckets: int = 64) -> dict[str, DataFrame]:
+    """Bring the tables of a full load into stored ones and return, for each, its rows with their change.
+
+    New rows are added, changed ones take the loaded values and keep their first load time, the same
+    ones are not touched: a load that runs twice leaves what one run leaves. Rows that a later load
+    lacks stay.
+    """
+    changes = {}
+    for name, loaded in tables.items():
+        keys = LOAD_KEYS[name]
+        store = KeyBuckets(f"{root}/{name}", loaded.schema, keys, buckets)
+        listed = staged_table(load_changes(store.read(spark), loaded, keys), f"changes_{name}")
+        updates = [c for c in loaded.columns if c not in (*keys, *KEPT_ON_UPDATE)]
+        store.merge(listed.where("change <> 'same'").drop("change"), updates, batch=run)
+        changes[name] = listed
+    return changes
+
+
+def loaded_table(spark: SparkSession, name: str, schema: T.StructType, root: str, buckets: int = 64) -> DataFrame:
+    return KeyBuckets(f"{root}/{name}", schema, LOAD_KEYS[name], buckets).read(spark)
+
+
 # What a match changes in a stored item; the key and the first load time stay.
 ITEM_UPDATES = (
     "name_meal", "guid_category", "country", "region", "instructions", "ingredient_measure", "image_recipe",
@@ -138,10 +187,10 @@ assert not set(ITEM_UPDATES) & set(KEPT_ON_UPDATE)
 
 
 def staged_items(listings: DataFrame, categories: DataFrame, places: DataFrame, details: DataFrame, source: str,
-                 as_of: datetime, days: int, modified: str = "date_modified") -> DataFrame:
-    """Items changed in the last days, joined and audited. The date test comes before every join."""
+                 as_of: datetime, days: int, modified: str = "date_modified", **how: object) -> DataFrame:
+    """Items changed in the last days, joined and audited. The date test comes before every join; `how` goes to `denormalize`."""
     recent = modified_since(details, modified, as_of.date(), days)
-    return with_audit(denormalize(listings, categories, places, recent), source, as_of)
+    return with_audit(denormalize(listings, categories, places, recent, **how), source, as_of)
 
 
 def incremental_upsert(

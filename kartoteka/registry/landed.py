@@ -15,6 +15,7 @@ from kartoteka.functions.nested import explode_components
 from kartoteka.plans import load
 from kartoteka.registry.base import Query, key_sql, land, table
 from kartoteka.registry.shaping import REACHED_SQL, SLOTS, slots
+from kartoteka.session import scratch
 from kartoteka.sources import landing as src
 
 SOURCE = "landing"
@@ -193,7 +194,36 @@ def loaded_items(spark, folder):
     return per_item
 
 
+def loaded_twice(spark, folder):
+    """A full load run twice into stored tables: the stored items afterwards, as after one run."""
+    root = scratch(spark, "catalogue")
+    tables = full_load(spark, folder)
+    for run in ("first", "second"):
+        load.load_into(spark, tables, root, run, buckets=8)
+    items = load.loaded_table(spark, "recipe", tables["recipe"].schema, root, buckets=8)
+    return items.select("id_guid_sk", "external_id_meal", "name_meal", "guid_category", "country", "region", "instructions", "date_modified", "__source")
+
+
+def changed_rows(spark, folder):
+    """What a second load changes: places whose code ends in 7 have another image then, and those without a code are new."""
+    root = scratch(spark, "catalogue")
+    places = full_load(spark, folder)["country"]
+    load.load_into(spark, {"country": places.where(F.col("acronym").isNotNull())}, root, "first", buckets=8)
+    later = places.withColumn("image", F.when(F.col("acronym").endswith("7"), F.lit("new")).otherwise(F.col("image")))
+    return load.load_into(spark, {"country": later}, root, "second", buckets=8)["country"].select("country", "cuisine", "image", "change")
+
+
 QUERIES = {
+    "full_load_twice": Query(loaded_twice, f"""
+        SELECT l.id_guid_sk, o_orderkey::INT AS external_id_meal, meal AS name_meal,
+               {key_sql("'landing'", "'category'", "o_orderpriority")} AS guid_category, l.country, p.region,
+               'Pack ' || o_totalprice AS instructions, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date_modified, 'landing' AS __source
+        FROM ({LISTINGS_SQL}) l JOIN ({PLACES_SQL}) p ON l.country = p.country
+        JOIN orders ON external_id_meal = o_orderkey::VARCHAR
+        JOIN (SELECT DISTINCT l_orderkey FROM lineitem) k ON o_orderkey = k.l_orderkey"""),
+    "load_changes": Query(changed_rows, f"""
+        SELECT country, cuisine, CASE WHEN acronym LIKE '%7' THEN 'new' ELSE image END AS image,
+               CASE WHEN acronym IS NULL THEN 'new' WHEN acronym LIKE '%7' THEN 'changed' ELSE 'same' END AS change FROM ({PLACES_SQL})"""),
     "category_envelopes": Query(category_envelopes, f"""
         SELECT {key_sql("'landing'", "'category'", "s_name")} AS id_guid_sk, s_suppkey::INT AS external_id,
                s_name AS name, 'Nation ' || s_nationkey AS description, 'http://img/' || lower(s_name) AS imagem

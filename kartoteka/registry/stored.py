@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kartoteka.functions.text import day_text, surrogate_key
+from kartoteka.operators.buckets import KeyBuckets
 from kartoteka.operators.contracts import Contract, apply_defaults, contract_report, duplicate_keys, relax
-from kartoteka.operators.tables import append_audited, insert_if_absent, read_version, register, upsert, write_version
+from kartoteka.operators.tables import append_audited, insert_if_absent, register
 from kartoteka.operators.topk import best_per_key
 from kartoteka.plans import load
 from kartoteka.registry.base import Query, key_sql, table
 from kartoteka.session import scratch
 from kartoteka.sources.stored import read_table
-from kartoteka.streaming.upsert_stream import INITIAL, upsert_stream
+from kartoteka.streaming.upsert_stream import newest_rows, newest_stream, upsert_stream
 
 FIRST, LATER = datetime(2024, 1, 1), datetime(2024, 3, 31)
 
@@ -74,8 +75,23 @@ def upserted(spark, folder):
     """
     target = stored_items(spark, folder, "old", FIRST, "CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END", "o_orderstatus")
     staged = stored_items(spark, folder, "new", LATER, "o_orderkey * 2", "CASE WHEN o_orderkey % 4 > 0 THEN 'merged' END")
-    merged = upsert(target, staged, ["external_id_meal"], ["status", "price", "__updated_at"])
-    return merged.select(*[day_text(c).alias(c) if c.endswith("_at") else c for c in ITEM_COLUMNS])
+    store = KeyBuckets(scratch(spark, "items"), target.schema, ("external_id_meal",), 16)
+    store.create(target)
+    store.merge(staged, ["status", "price", "__updated_at"])
+    return store.read(spark).select(*[day_text(c).alias(c) if c.endswith("_at") else c for c in ITEM_COLUMNS])
+
+
+def upserted_few(spark, folder):
+    """Orders of a single day merged into all orders, which lie in many buckets: the table, and whether most buckets were left alone."""
+    target = stored_items(spark, folder, "old", FIRST, "o_orderkey", "o_orderstatus")
+    day = table(spark, folder, "orders").agg(F.max("o_orderdate")).first()[0]
+    staged = stored_items(spark, folder, "old", LATER, "o_orderkey", "'late'").join(
+        table(spark, folder, "orders").where(F.col("o_orderdate") == F.lit(day)).select(F.col("o_orderkey").alias("external_id_meal")), "external_id_meal", "left_semi")
+    store = KeyBuckets(scratch(spark, "items"), target.schema, ("external_id_meal",), 256)
+    store.create(target)
+    written = store.merge(staged, ["status", "__updated_at"])
+    return store.read(spark).select("external_id_meal", "status", day_text("__updated_at").alias("__updated_at"),
+                                    F.lit(len(written) <= staged.count()).alias("only_touched"))
 
 
 UPSERT_SQL = f"""
@@ -107,12 +123,12 @@ def incremental(spark, folder):
         F.lit("first").alias("__source"), F.lit(FIRST).cast("timestamp").alias("__ingested_at"),
         F.lit(FIRST).cast("timestamp").alias("__updated_at"))
     priorities = orders.select("o_orderpriority").distinct()
-    recent = load.modified_since(orders, "modified", datetime(2001, 8, 1).date(), 365)
-    staged = load.with_audit(load.denormalize(
-        listed, priorities, table(spark, folder, "nation"), recent,
+    staged = load.staged_items(
+        listed, priorities, table(spark, folder, "nation"), orders, "second", datetime(2001, 8, 1), 365, "modified",
         category_on=("o_orderpriority", "o_orderpriority"), place_on=("c_nationkey", "n_nationkey"),
-        detail_on=("o_orderkey", "o_orderkey"),
-        columns={"key": "r.o_orderkey", "country": "co.n_name", "price": "rf.o_totalprice"}), "second", LATER)
+        detail_on=("o_orderkey", "o_orderkey"), newest="modified",
+        columns={"key": "r.o_orderkey", "country": "co.n_name", "price": "rf.o_totalprice"})
+    staged = load.with_audit(staged.drop("__source", "__ingested_at", "__updated_at"), "second", LATER)
     merged = load.incremental_upsert(stored, staged, ["key"], ["country", "price", "__source", "__updated_at"])
     return merged.select(*[day_text(c).alias(c) if c.endswith("_at") else c for c in merged.columns])
 
@@ -163,20 +179,40 @@ CONTRACT_SQL = """
 """
 
 
-def streamed(spark, folder):
-    """Events landed twice and merged into the latest event of each user; half of the users are stored before."""
+def _landing(spark, folder) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Events, those stored before, and those that land in two batches; in the second a third of the first comes again, late."""
     events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value")
     third = events.agg(F.max("event_id")).first()[0] // 3
     old = events.where((F.col("event_id") < third) & (F.col("user_id") % 2 == 0))
-    root, landing, checkpoint = scratch(spark, "latest"), scratch(spark, "landing"), scratch(spark, "stream")
-    write_version(best_per_key(old, ["user_id"], [F.col("event_id").desc()]), root, INITIAL)
     first = events.where((F.col("event_id") < 2 * third) & ~((F.col("event_id") < third) & (F.col("user_id") % 2 == 0)))
-    for landed in (first, events.where(F.col("event_id") >= 2 * third)):
+    again = events.where((F.col("event_id") < third) & (F.col("user_id") % 3 == 0)).withColumn("event_type", F.lit("late"))
+    return events, old, [first, events.where(F.col("event_id") >= 2 * third).unionByName(again)]
+
+
+def streamed(spark, folder):
+    """The latest event of each user, merged from two batches with late rows; half of the users are stored before."""
+    events, old, batches = _landing(spark, folder)
+    landing, checkpoint = scratch(spark, "landing"), scratch(spark, "stream")
+    store = KeyBuckets(scratch(spark, "latest"), events.schema, ("user_id",), 8)
+    store.create(best_per_key(old, ["user_id"], [F.col("event_id").desc()]))
+    for landed in batches:
         landed.write.mode("append").parquet(landing)
-        query = upsert_stream(spark, landing, events.schema, root, checkpoint, ["user_id"], ["event_id", "event_type", "value"],
-                              newest_by=[F.col("event_id").desc()])
-        query.awaitTermination()
-    return read_version(spark, root, query.lastProgress["batchId"])
+        upsert_stream(spark, landing, store, checkpoint, ["event_id", "event_type", "value"],
+                      newest_by=[F.col("event_id").desc(), F.col("event_type")], version="event_id").awaitTermination()
+    return store.read(spark)
+
+
+def newest(spark, folder):
+    """The same kept as state of a stream, whose changes go to a log."""
+    events, old, batches = _landing(spark, folder)
+    landing, checkpoint, changes = scratch(spark, "landing"), scratch(spark, "stream"), scratch(spark, "changes")
+    for landed in (batches[0].unionByName(old), batches[1]):
+        landed.write.mode("append").parquet(landing)
+        newest_stream(spark, landing, events.schema, "user_id", "event_id", changes, checkpoint).awaitTermination()
+    return newest_rows(spark, events.schema, "user_id", "event_id", changes)
+
+
+STREAMED_SQL = "SELECT DISTINCT ON (user_id) user_id, event_id, event_type, value FROM events ORDER BY user_id, event_id DESC"
 
 
 QUERIES = {
@@ -195,6 +231,10 @@ QUERIES = {
         SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id END AS doc_id, lang, n_chars FROM documents d
         WHERE doc_id % 3 = 0 OR NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""),
     "upsert": Query(upserted, UPSERT_SQL),
+    "upsert_few": Query(upserted_few, """
+        SELECT o_orderkey AS external_id_meal, CASE WHEN newest THEN 'late' ELSE o_orderstatus END AS status,
+               CASE WHEN newest THEN '2024-03-31 00:00:00' ELSE '2024-01-01 00:00:00' END AS __updated_at, true AS only_touched
+        FROM (SELECT *, o_orderdate = max(o_orderdate) OVER () AS newest FROM orders)"""),
     "incremental_upsert": Query(incremental, """
         WITH staged AS (
             SELECT o_orderkey, n_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey
@@ -213,6 +253,6 @@ QUERIES = {
                count(*) AS n, count(*) FILTER (l_discount < 0.1) AS amounts FROM lineitem GROUP BY 1"""),
     "duplicate_keys": Query(repeated, """
         SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"""),
-    "stream_upsert": Query(streamed, """
-        SELECT DISTINCT ON (user_id) user_id, event_id, event_type, value FROM events ORDER BY user_id, event_id DESC"""),
+    "stream_upsert": Query(streamed, STREAMED_SQL),
+    "stream_newest": Query(newest, STREAMED_SQL),
 }

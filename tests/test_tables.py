@@ -72,14 +72,6 @@ def test_register(spark):
     assert spark.sql("SELECT count(*) FROM v_one, v_two").first()[0] == 2
 
 
-def test_versions(spark, tmp_path):
-    root = str(tmp_path)
-    tb.write_version(spark.range(2), root, -1)
-    tb.write_version(spark.range(3), root, 0)
-    tb.write_version(spark.range(4), root, 0)
-    assert tb.read_version(spark, root, -1).count() == 2 and tb.read_version(spark, root, 0).count() == 4
-
-
 def test_merge_into_needs_a_row_level_catalog(spark, tmp_path):
     spark.sql(f"CREATE TABLE plain_items (k INT, v STRING) USING parquet LOCATION '{tmp_path}/plain'")
     try:

@@ -19,12 +19,15 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kartoteka.llm.memory import lean
+
 REACH = 200  # code points between linked parts, at most
 
 Span = tuple[str, int, int]
@@ -39,7 +42,7 @@ _HEX_CLASS = bytes(ord("x") if c in b"0123456789abcdef" else ord(" ") for c in r
 
 # Weak parts: what they look like, and which kinds together make a credential.
 _ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>|]+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?\b", re.A | re.I)
-_IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[^\s\"',;]{3,64}", re.A | re.I)
+_IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[^\s\"',;]{3,}", re.A | re.I)
 _IDENTIFIER_NAMES = ("user", "login", "account", "client", "access")
 _RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.A)
 _SECRET, _IDENTITY, _PLACE = "secret", "identity", "endpoint"
@@ -60,21 +63,25 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _looks_random(word: str) -> bool:
-    """Mixed classes of characters, and more bits per character than words have."""
-    kinds = any(c.isdigit() for c in word) + any(c.islower() for c in word) + any(c.isupper() for c in word)
-    if kinds < 3:
+    """Mixed classes of characters, and more bits per character than words have; of two classes only, more of both."""
+    digits, lower, upper = (any(test(c) for c in word) for test in (str.isdigit, str.islower, str.isupper))
+    if digits + lower + upper < 2:
         return False
+    if not digits and sum(a.islower() != b.islower() for a, b in zip(word, word[1:]) if a.isalpha() and b.isalpha()) < 4:
+        return False  # capitals at the beginning of words
     counts = Counter(word)
-    return -sum(n / len(word) * log2(n / len(word)) for n in counts.values()) >= 3.5
+    bits = -sum(n / len(word) * log2(n / len(word)) for n in counts.values())
+    return bits >= (3.5 if digits + lower + upper == 3 else 3.7)
 
 
 def _parts(text: str, base: Sequence[Span]) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind of part, weak) of everything that may be one part of a credential."""
     out = [(start, end, _IDENTITY if kind == "access" else _SECRET, False) for kind, start, end in base]
-    starts, ends = [s for _, s, _ in base], [e for *_, e in base]
+    starts, ends = [s for _, s, _ in base], list(accumulate((e for *_, e in base), max))
 
     def overlaps(start: int, end: int) -> bool:
-        return any(s < end and start < e for s, e in zip(starts, ends, strict=True))
+        before = bisect_left(starts, end)
+        return before > 0 and ends[before - 1] > start
 
     if "://" in text or "." in text and any(c.isdigit() for c in text):
         out += [(*m.span(), _PLACE, True) for m in _ADDRESS.finditer(text)]
@@ -92,8 +99,8 @@ def _paragraphs(text: str) -> list[int]:
 def linked_spans(text: str, base: Sequence[Span]) -> list[Span]:
     """Weak parts with a part of another kind within reach in their paragraph, one of the two a secret or identity.
 
-    For each kind the sorted starts are searched for the last part before and the first part
-    after; ends grow with starts closely enough that these two are the nearest.
+    One sweep in the order of starts keeps, for each kind and scope, the part with the greatest end so
+    far, one against it the part with the smallest start: nothing before or behind is nearer than these.
     """
     parts = _parts(text, base)
     if len({kind for _, _, kind, _ in parts}) < 2:
@@ -107,16 +114,16 @@ def linked_spans(text: str, base: Sequence[Span]) -> list[Span]:
         for other in needs[kind]:
             j = last.get((scope[i], other))
             if j is not None and start - parts[j][1] <= REACH:
-                hit[i] = hit[j] = True
-        last[scope[i], kind] = i
-    # The same from the other side, so that a part followed by several others is linked to the first of them.
+                hit[i] = True
+        if (scope[i], kind) not in last or end > parts[last[scope[i], kind]][1]:
+            last[scope[i], kind] = i
     after: dict[tuple[int, str], int] = {}
     for i in range(len(parts) - 1, -1, -1):
         start, end, kind, _ = parts[i]
         for other in needs[kind]:
             j = after.get((scope[i], other))
             if j is not None and parts[j][0] - end <= REACH:
-                hit[i] = hit[j] = True
+                hit[i] = True
         after[scope[i], kind] = i
     return [(kind, start, end) for (start, end, kind, weak), found in zip(parts, hit, strict=True) if weak and found]
 
@@ -150,12 +157,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 joined.append(_joined(_ordered(base, more)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(joined, pa.string())],
-                ["doc_id", "n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"])
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts[:3]], pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(counts[3], pa.int64())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string")
+        lean(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
 def mask(text: str) -> str:
@@ -178,7 +185,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
             columns = [pa.array(masked, pa.string()) if i == where else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

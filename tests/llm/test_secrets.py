@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from conftest_llm import EDGE_TEXTS
 from kartoteka.llm import secrets
@@ -67,3 +69,55 @@ def test_masking_takes_effect_and_keeps_columns(documents):
     assert masked.columns == docs.columns
     rows = {r.doc_id: r for r in masked.collect()}
     assert rows[0].text == "x [assign] y" and rows[0].n_chars == 12 and rows[1].text is None and rows[2].text == "clean"
+
+
+def brute_links(parts, borders):
+    """Which weak parts have a part of another kind near them, by all pairs."""
+    needs = {"secret": {"identity", "endpoint"}, "identity": {"secret"}, "endpoint": {"secret"}}
+    scope = [sum(b <= start for b in borders) for start, *_ in parts]
+    return [(kind, start, end) for i, (start, end, kind, weak) in enumerate(parts) if weak and any(
+        scope[i] == scope[j] and other in needs[kind] and max(start - e, s - end) <= secrets.REACH
+        for j, (s, e, other, _) in enumerate(parts) if j != i)]
+
+
+def test_links_equal_all_pairs(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(300):
+        parts = sorted((s, s + rng.choice([3, 30, 300, 900]), rng.choice(["secret", "identity", "endpoint"]), rng.random() < 0.7)
+                       for s in (rng.randrange(3000) for _ in range(rng.randrange(1, 14))))
+        text = list("x" * 4000)
+        for at in rng.sample(range(3990), 3):
+            text[at:at + 2] = "\n\n"
+        monkeypatch.setattr(secrets, "_parts", lambda *_: parts)
+        text = "".join(text)
+        got = secrets.linked_spans(text, [])
+        if len({kind for _, _, kind, _ in parts}) > 1:
+            assert got == brute_links(parts, [m.end() for m in re.finditer(r"\n\s*\n", text)])
+
+
+def test_a_long_part_reaches_as_far_as_it_goes():
+    text = "secret=deadbeefdeadbeef-" + "x" * 240 + " user=bobby user=carol"
+    assert [text[s:e] for _, s, e in secrets.find_secrets(text)[1]] == ["user=bobby", "user=carol"]
+
+
+def test_no_tail_is_left_after_masking():
+    text = f"client_id={'kq' * 45} key {KEY}"
+    assert secrets.mask(text) == "[identity] key [secret]"
+
+
+def test_words_of_two_classes():
+    lower = "k3v9x1q8z7m2p5w4r6t0yb"
+    assert {k for k, *_ in secrets.find_secrets(f"login: bob-smith key {lower}")[1]} == {"identity", "secret"}
+    for plain in ("internationalization", "aaaaaaaaaaaaaaaaaaaa1111", "SomeVeryLongIdentifierName"):
+        assert secrets.find_secrets(f"login: bob-smith key {plain}")[1] == []
+
+
+def test_time_is_linear_in_parts():
+    text = " ".join(f"{i:016x} user=u{i}" for i in range(20_000))
+    start = time.perf_counter()
+    base, more = secrets.find_secrets(text)
+    assert len(base) == 20_000 and len(more) == 20_000 and time.perf_counter() - start < 4
+
+
+def test_columns_in_the_order_of_the_contract(documents):
+    assert secrets.scan_secrets(documents(["x"])).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"]

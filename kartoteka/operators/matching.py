@@ -1,147 +1,114 @@
-"""Which texts contain which terms, for many texts and many terms at once."""
+"""Which texts contain which terms, for many texts and many terms at once.
+
+Texts are cut into grams, runs of `GRAM` characters. A term is looked for only in texts that have the
+rarest of its grams: an equi-join on grams gives candidates, and `contains` decides. Rows are read
+twice however many terms there are, once to count the grams that terms have and once to join. A
+term with a gram that no text has is dropped at once. Terms shorter than a gram are grams
+themselves, of their own length; the empty term is in every text.
+"""
 
 from __future__ import annotations
 
-from bisect import insort
-from collections.abc import Iterator, Sequence
-from operator import itemgetter
+from collections.abc import Sequence
 
-import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from kartoteka.operators.joins import join_spread
-from kartoteka.operators.probes import (
-    MAX_PROBE_BYTES,
-    MAX_PROBES,
-    blocks_needed,
-    scan_probes,
-    to_arrow_schema,
-)
+
+from kartoteka.operators.joins import join_spread, measured
+from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import merge_top
 
+GRAM = 3
+MAX_LISTED = 64  # terms that are looked for one after another in one expression
+
+
+def grams(text: str | Column, size: int = GRAM) -> Column:
+    """The distinct runs of `size` characters of a text; none of a text that is shorter."""
+    if size == 0:
+        return F.array(F.lit(""))
+    out = characters = F.split(text, "")
+    for k in range(1, size):
+        out = F.zip_with(out, F.slice(characters, k + 1, F.size(characters)), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(out, lambda g: g.isNotNull() & (F.length(g) == size)))
+
+
+def _grams_of_sizes(text: str, sizes: Sequence[int]) -> Column:
+    return F.flatten(F.array(*[grams(text, n) for n in sizes]))
+
+
+def gram_counts(data: DataFrame, text: str, among: DataFrame | None = None, sizes: Sequence[int] = (GRAM,)) -> DataFrame:
+    """(gram, n): how many texts have each gram, in lower case. Store it with a table that is searched often."""
+    found = data.where(F.col(text).isNotNull()).select(F.explode(_grams_of_sizes(F.lower(text), sizes)).alias("gram"))
+    if among is not None:
+        found = found.join(measured(among.select("gram").distinct()), "gram", "left_semi")
+    return found.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def _sizes(terms: DataFrame, term: str) -> list[int]:
+    """Lengths of grams that the terms need: at most `GRAM` and those below."""
+    return sorted(r[0] for r in terms.select(F.least(F.length(term), F.lit(GRAM))).distinct().collect())
+
+
+def rarest_grams(terms: DataFrame, term: str, counts: DataFrame) -> DataFrame:
+    """(term, gram): the gram of each term that the fewest texts have. Terms with a gram that no text has are left out."""
+    whole = F.when(F.length(term) < GRAM, F.array(F.col(term))).otherwise(grams(term))
+    listed = terms.select(term, F.explode(whole).alias("gram"))
+    counted = join_spread(listed, counts.select(F.col("gram").alias("__gram"), "n"), {"gram": "__gram"})
+    return (counted.groupBy(term).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("missing"))
+            .where("missing = 0").select(term, "gram"))
 
-def _automaton(terms: Sequence[str]) -> ahocorasick.Automaton | None:
-    """Finds every term in one pass over a text; of equal terms the first counts."""
-    found = ahocorasick.Automaton()
-    for i, term in enumerate(terms):
-        if term and term not in found:
-            found.add_word(term, i)
-    if not len(found):
-        return None
-    found.make_automaton()
-    return found
-
-
-class FirstTexts:
-    """Per term, the first k of the texts that contain it."""
-
-    def __init__(self, probes: pa.Table, order: Sequence[str], carry: Sequence[str], k: int, out: pa.Schema):
-        self.order, self.carry, self.k, self.out = order, carry, k, out
-        self.terms = probes["__term"].to_pylist()
-        self.automaton = _automaton(self.terms)
-        self.in_all = {i for i, t in enumerate(self.terms) if t == ""}
-        self.first: list[list[tuple]] = [[] for _ in self.terms]
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        for row, text in enumerate(batch["__text"].to_pylist()):
-            if text is None:
-                continue
-            hits = {i for _, i in self.automaton.iter(text)} if self.automaton is not None else set()
-            hits |= self.in_all
-            if not hits:
-                continue
-            where = [batch[c][row].as_py() for c in self.order]
-            nulls_last = [(v is None, v) for v in where]
-            for i in hits:
-                first = self.first[i]
-                if len(first) < self.k or nulls_last < first[-1][0]:
-                    carried = [batch[c][row].as_py() for c in self.carry]
-                    insort(first, (nulls_last, where + carried), key=itemgetter(0))
-                    del first[self.k:]
-
-    def result(self) -> pa.RecordBatch:
-        rows = [(t, *values) for t, first in zip(self.terms, self.first) for _, values in first]
-        return pa.RecordBatch.from_pylist([dict(zip(self.out.names, r)) for r in rows], schema=self.out)
+
+def containing(data: DataFrame, text: str, terms: DataFrame, term: str, counts: DataFrame | None = None) -> DataFrame:
+    """The rows of `data` with every term (in lower case, in the column `term`) that their text contains, in any case.
+
+    `counts` are stored `gram_counts` of the texts; without them they are counted here.
+    """
+    sought = staged_table(terms.select(F.lower(term).alias(term)).where(F.col(term).isNotNull()).distinct(), "terms")
+    sizes = _sizes(sought, term)
+    if not sizes:
+        return data.withColumn(term, F.lit(None).cast("string")).limit(0)
+    if counts is None:
+        asked = sought.select(F.explode(F.when(F.length(term) < GRAM, F.array(F.col(term))).otherwise(grams(term))).alias("gram"))
+        counts = gram_counts(data, text, asked, sizes)
+    elif min(sizes) < GRAM:
+        short = sought.where(F.length(term) < GRAM).select(F.col(term).alias("gram"))
+        counts = counts.unionByName(gram_counts(data, text, short, [n for n in sizes if n < GRAM]))
+    chosen = staged_table(rarest_grams(sought, term, counts), "rarest_grams")
+    rows = data.where(F.col(text).isNotNull()).withColumn("__gram", F.explode(_grams_of_sizes(F.lower(text), sizes)))
+    met = rows.join(measured(chosen.withColumnRenamed("gram", "__chosen")), F.col("__gram") == F.col("__chosen"))
+    return met.where(F.contains(F.lower(text), F.col(term))).select(*data.columns, term)
 
 
 def first_containing(
     data: DataFrame, text: str, terms: DataFrame, term: str, k: int, *, order: Sequence[str],
-    carry: Sequence[str] = (), **limits: int,
+    carry: Sequence[str] = (), counts: DataFrame | None = None,
 ) -> DataFrame:
     """(term, rank, order..., carry...) of the first k rows whose text contains the term, in any case.
 
-    `order` must identify the row. The empty term is in every text. Each term is looked
-    for once, however many questions ask for it.
+    `order` must identify the row. Each term is looked for once, however many questions ask for it,
+    and every task sends the first k rows of a term only.
     """
-    rows = data.select(F.lower(text).alias("__text"), *dict.fromkeys([*order, *carry]))
-    # a term longer than every text is in none: whole sentences drop out here
-    longest = rows.agg(F.max(F.length("__text"))).first()[0] or 0
-    sought = terms.select(F.lower(term).alias("__term")).where(F.length("__term") <= longest).distinct()
     carried = [c for c in carry if c not in order]
-    schema = T.StructType([T.StructField(term, T.StringType())] + [
-        T.StructField(c, data.schema[c].dataType) for c in [*order, *carried]])
-    out = to_arrow_schema(schema)
-    partial = scan_probes(
-        rows, sought, lambda held: FirstTexts(held, order, carried, k, out), schema,
-        probe_key=["__term"], width=F.length("__term") * 4, **limits)
-    ranked = merge_top(partial, [term], list(order), k, salt_on=list(order), rank_as="rank")
+    rows = data.select(F.col(text).alias("__text"), *order, *carried)
+    found = containing(rows, "__text", terms, term, counts).drop("__text")
+    ranked = merge_top(found, [term], list(order), k, salt_on=list(order), rank_as="rank")
     return ranked.select(term, "rank", *order, *carried)
 
 
-class FirstTerm:
-    """Per text, the lowest rank among the terms it contains."""
-
-    def __init__(self, probes: pa.Table, key: str, out: pa.Schema):
-        listed = sorted(zip(probes["__rank"].to_pylist(), probes["__term"].to_pylist(), probes["__take"].to_pylist()))
-        self.ranks, self.takes = [r for r, _, _ in listed], [v for _, _, v in listed]
-        self.automaton = _automaton([t for _, t, _ in listed])
-        self.key, self.out, self.rows = key, out, []
-
-    def lookup(self, text: str | None) -> int | None:
-        """Position in the list of the first term found."""
-        if text is None or self.automaton is None:
-            return None
-        return min((i for _, i in self.automaton.iter(text)), default=None)
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        for key, text in zip(batch[self.key].to_pylist(), batch["__text"].to_pylist()):
-            at = self.lookup(text)
-            if at is not None:
-                self.rows.append((key, self.ranks[at], self.takes[at]))
-
-    def result(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([dict(zip(self.out.names, r)) for r in self.rows], schema=self.out)
-
-
 def first_contained(
-    df: DataFrame, key: str, text: str, terms: DataFrame, term: str, rank: str, take: str, out: str,
-    max_probes: int = MAX_PROBES, max_bytes: int = MAX_PROBE_BYTES,
+    df: DataFrame, key: str, text: str, terms: DataFrame, term: str, rank: str, take: str, out: str, max_listed: int = MAX_LISTED,
 ) -> DataFrame:
-    """Add `take` of the lowest-ranked term that the text contains, NULL when there is none."""
-    listed = terms.select(F.lower(term).alias("__term"), F.col(rank).alias("__rank"), F.col(take).alias("__take"))
-    listed = listed.where(F.col("__term") != "")
-    width = (F.length("__term") + F.length("__take")) * 4
-    if blocks_needed(listed, width, max_probes, max_bytes) == 1:
-        held = listed.toArrow()
-        out_schema = to_arrow_schema(T.StructType([T.StructField("take", T.StringType())]))
-
-        @F.arrow_udf("string")
-        def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            first = FirstTerm(held, key, out_schema)
-            for texts in batches:
-                hits = (first.lookup(t) for t in texts.to_pylist())
-                yield pa.array([None if at is None else first.takes[at] for at in hits], pa.string())
-
-        return df.withColumn(out, look.asNondeterministic()(F.lower(text)))
-
-    schema = T.StructType([df.schema[key], T.StructField("__rank", listed.schema["__rank"].dataType),
-                           T.StructField(out, T.StringType())])
-    out_arrow = to_arrow_schema(schema)
-    partial = scan_probes(
-        df.select(key, F.lower(text).alias("__text")), listed, lambda t: FirstTerm(t, key, out_arrow), schema,
-        probe_key=["__term"], width=width, max_probes=max_probes, max_bytes=max_bytes)
-    best = partial.groupBy(F.col(key).alias("__key")).agg(F.min_by(out, "__rank").alias(out))
+    """Add `take` of the lowest-ranked term that the text contains, NULL when there is none.
+
+    A few terms go into one expression over the texts; more are joined by their rarest grams.
+    """
+    listed = terms.select(F.lower(term).alias("__term"), F.col(rank).alias("__rank"), F.col(take).cast("string").alias("__take")).where(F.col("__term") != "")
+    few = listed.orderBy("__rank", "__term", "__take").limit(max_listed + 1).collect()
+    if len(few) <= max_listed:
+        pairs = [F.struct(F.lit(r["__term"]).alias("term"), F.lit(r["__take"]).alias("take")) for r in few]
+        first = F.get(F.filter(F.array(*pairs), lambda p: F.contains(F.lower(text), p["term"])), F.lit(0))["take"] if pairs else F.lit(None).cast("string")
+        return df.withColumn(out, first)
+    found = containing(df.select(key, F.col(text).alias("__text")), "__text", listed.select("__term"), "__term").drop("__text")
+    named = join_spread(found, listed.withColumnRenamed("__term", "__listed"), {"__term": "__listed"})
+    best = named.groupBy(F.col(key).alias("__key")).agg(F.min_by("__take", F.struct("__rank", "__term", "__take")).alias(out))
     return join_spread(df, best, {key: "__key"}).drop("__key")

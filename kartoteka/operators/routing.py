@@ -107,29 +107,29 @@ def classify_questions(questions: DataFrame, key: str, text: str,
 
 
 def component_info(terms: DataFrame, term: str, components: DataFrame, name: str, key: str, description: str,
-                   **limits: int) -> DataFrame:
+                   counts: DataFrame | None = None) -> DataFrame:
     """(term, name, key, description): the first component whose name contains the term."""
-    return first_containing(components, name, terms, term, 1, order=[name, key], carry=[description], **limits).drop("rank")
+    return first_containing(components, name, terms, term, 1, order=[name, key], carry=[description], counts=counts).drop("rank")
 
 
 def route_questions(
     questions: DataFrame, key: str, text: str, *, items: DataFrame, item_key: str, item_name: str, item_place: str,
     components: DataFrame, component_key: str, component_name: str, description: str,
-    aliases: DataFrame | Sequence[tuple[str, str]] = PLACE_ALIASES, shown: int = SHOWN, **limits: int,
+    aliases: DataFrame | Sequence[tuple[str, str]] = PLACE_ALIASES, shown: int = SHOWN, card: Sequence[str] = (), **limits: int,
 ) -> DataFrame:
-    """One answer row per question and hit: (key, type, subject, rank, hit_key, hit_name, detail).
+    """One answer row per question and hit: (key, type, subject, rank, hit_key, hit_name, detail, card...).
 
     `detail` is a component's description or an item's place. A question without a hit
-    keeps one row, of type no_results or empty_query. `items` are those of the item view.
+    keeps one row, of type no_results or empty_query. `items` are those of the item view; of their
+    columns those of the card (category, picture, flag) go with every item, and are NULL elsewhere.
     The classified questions are written once, as every kind of answer reads them.
     """
     asked = staged_table(classify_questions(questions, key, text, aliases, **limits), "questions")
     subjects = lambda route: asked.where(F.col("route") == route)
 
-    info = component_info(subjects("component_info"), "subject", components, component_name, component_key,
-                          description, **limits)
+    info = component_info(subjects("component_info"), "subject", components, component_name, component_key, description)
     by_name = first_containing(items, item_name, subjects("name"), "subject", shown,
-                               order=[item_name, item_key], carry=[item_place], **limits)
+                               order=[item_name, item_key], carry=[item_place, *card])
     asked_places = subjects("place").select(F.col("subject").alias(item_place)).distinct()
     by_place = merge_top(items.join(asked_places, item_place, "left_semi"), [item_place], [item_name, item_key],
                          shown, salt_on=[item_key], rank_as="rank")
@@ -137,10 +137,11 @@ def route_questions(
     as_hit = lambda route, subject, rank, k, name, detail: [
         F.lit(route).alias("__route"), F.col(subject).alias("__subject"), rank.cast("int").alias("rank"),
         F.col(k).cast("string").alias("hit_key"), F.col(name).alias("hit_name"), F.col(detail).alias("detail")]
+    no_card = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in card]
     hits = (
-        info.select(*as_hit("component_info", "subject", F.lit(1), component_key, component_name, description))
-        .unionByName(by_place.select(*as_hit("place", item_place, F.col("rank"), item_key, item_name, item_place)))
-        .unionByName(by_name.select(*as_hit("name", "subject", F.col("rank"), item_key, item_name, item_place)))
+        info.select(*as_hit("component_info", "subject", F.lit(1), component_key, component_name, description), *no_card)
+        .unionByName(by_place.select(*as_hit("place", item_place, F.col("rank"), item_key, item_name, item_place), *card))
+        .unionByName(by_name.select(*as_hit("name", "subject", F.col("rank"), item_key, item_name, item_place), *card))
     )
     answered = join_spread(asked, hits, {"route": "__route", "subject": "__subject"})
     kind = (
@@ -149,7 +150,7 @@ def route_questions(
         .when(F.col("route") == "component_info", "component_info")
         .otherwise("item_list")
     )
-    return answered.select(key, kind.alias("type"), "subject", "rank", "hit_key", "hit_name", "detail")
+    return answered.select(key, kind.alias("type"), "subject", "rank", "hit_key", "hit_name", "detail", *card)
 
 
 def item_template() -> dict[str, str]:

@@ -90,12 +90,12 @@ class Catalogue:
 
     def answer(self, questions: DataFrame, aliases: DataFrame | Sequence[tuple[str, str]] = PLACE_ALIASES,
                key: str = "question_id", text: str = "text") -> DataFrame:
-        """Rule-based answers: components, places, then item names."""
-        view = self._view(CARD | KEY)
+        """Rule-based answers: components, places, then item names; items with what their card shows."""
+        view = self._view(CARD | FLAG | KEY)
         return route_questions(
             questions, key, text, items=view, item_key="__key", item_name="name", item_place="area",
             components=self.components, component_key="id_guid_sk", component_name="ingredient_name",
-            description="description", aliases=aliases)
+            description="description", aliases=aliases, card=["id", "category", "thumbnail_url", "country_flag"])
 
     def chat(self, questions: DataFrame, k: int = 5, make_encoder: Callable[[], Encoder] = WordHashing,
              key: str = "question_id", text: str = "text") -> DataFrame:

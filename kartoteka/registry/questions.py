@@ -36,7 +36,8 @@ ASKED = """CASE p_partkey % 9
 
 # Items: parts with a place of which two are not on the list.
 ITEMS_SQL = """
-    SELECT p_partkey AS id, p_name AS name, n_name AS area FROM part JOIN nation ON p_partkey % 27 = n_nationkey
+    SELECT p_partkey AS id, p_name AS name, n_name AS area, s_name AS category, p_type AS thumbnail, n_regionkey AS flag
+    FROM part JOIN nation ON p_partkey % 27 = n_nationkey LEFT JOIN supplier ON p_partkey = s_suppkey
 """
 
 
@@ -48,7 +49,11 @@ def part_items(spark, folder) -> DataFrame:
     part = table(spark, folder, "part").withColumn("place", F.col("p_partkey") % 27)
     return item_view(part, table(spark, folder, "supplier"), table(spark, folder, "nation"),
                      category_key=("p_partkey", "s_suppkey"), place_key=("place", "n_nationkey"),
-                     columns={"id": "i.p_partkey", "name": "i.p_name", "area": "p.n_name"})
+                     columns={"id": "i.p_partkey", "name": "i.p_name", "area": "p.n_name", "category": "c.s_name", "thumbnail": "i.p_type",
+                              "flag": "p.n_regionkey"})
+
+
+CARD = ["category", "thumbnail", "flag"]
 
 
 def aliases(spark, folder) -> DataFrame:
@@ -82,18 +87,22 @@ def places(spark, folder):
 
 
 def places_in_blocks(spark, folder):
-    """The same with a limit so low that questions and aliases meet block by block."""
-    found = detect_place(asked(spark, folder), "question_id", "text", aliases(spark, folder), max_probes=9)
+    """The same with a limit so low that questions and aliases meet by grams."""
+    found = detect_place(asked(spark, folder), "question_id", "text", aliases(spark, folder), max_listed=9)
     return found.select("question_id", "place")
 
 
-SPOKEN = """CASE lang WHEN 'fr' THEN concat('French food from ', source) WHEN 'de' THEN concat('food from germany ', source)
-    WHEN 'es' THEN concat('Greek or SPANISH ', source) ELSE concat('usa and thailand ', source) END"""
+def listed_places(spark, folder):
+    """Places named in whole documents, by the fixed list; few of them name one."""
+    return detect_place(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", PLACE_ALIASES).select("doc_id", "place")
 
 
-def listed_places(spark, folder):
-    spoken = table(spark, folder, "documents").select("doc_id", F.expr(SPOKEN).alias("text"))
-    return detect_place(spoken, "doc_id", "text", PLACE_ALIASES)
+def words_in_documents(spark, folder):
+    """Whole documents with the first listed word of another table that they contain, of as many as there are suppliers and passages."""
+    words = table(spark, folder, "benchmark").select(F.col("item_id").alias("rank"), F.expr("split_part(text, ' ', 3)").alias("word"))
+    words = words.where(F.length("word") > 4)
+    return detect_place(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text",
+                        words.select("rank", F.col("word").alias("alias"), F.col("word").alias("place")), max_listed=0).select("doc_id", "place")
 
 
 def named_items(spark, folder):
@@ -114,7 +123,7 @@ def routed(spark, folder):
 
 
 def routed_in_blocks(spark, folder):
-    return _routed(spark, folder, max_probes=20)
+    return _routed(spark, folder, max_listed=4)
 
 
 def _routed(spark, folder, **limits):
@@ -122,7 +131,7 @@ def _routed(spark, folder, **limits):
         asked(spark, folder), "question_id", "text",
         items=part_items(spark, folder), item_key="id", item_name="name", item_place="area",
         components=components(spark, folder), component_key="p_partkey", component_name="p_name",
-        description="description", aliases=aliases(spark, folder), **limits)
+        description="description", aliases=aliases(spark, folder), card=CARD, **limits)
 
 
 _QUERY = f"SELECT p_partkey AS question_id, trim(lower({ASKED}), ' ' || chr(9) || chr(10)) AS query FROM part"
@@ -143,21 +152,21 @@ ROUTED_SQL = f"""
     WITH asked AS ({CLASSIFIED_SQL}), items AS ({ITEMS_SQL}),
     info AS (
         SELECT 'component_info' AS route, subject, 1 AS rank, p_partkey AS hit, p_name AS name,
-               p_brand || ' ' || p_type AS detail
+               p_brand || ' ' || p_type AS detail, NULL AS category, NULL AS thumbnail, NULL AS flag
         FROM (SELECT DISTINCT ON (subject) subject, p_partkey, p_name, p_brand, p_type
               FROM (SELECT DISTINCT subject FROM asked WHERE route = 'component_info') a
               JOIN part ON contains(lower(p_name), subject) ORDER BY subject, p_name, p_partkey)),
     place AS (
         SELECT 'place' AS route, area AS subject,
-               row_number() OVER (PARTITION BY area ORDER BY name, id) AS rank, id, name, area AS detail FROM items),
+               row_number() OVER (PARTITION BY area ORDER BY name, id) AS rank, id, name, area AS detail, category, thumbnail, flag FROM items),
     named AS (
-        SELECT 'name' AS route, subject, row_number() OVER (PARTITION BY subject ORDER BY name, id) AS rank, id, name, area
+        SELECT 'name' AS route, subject, row_number() OVER (PARTITION BY subject ORDER BY name, id) AS rank, id, name, area, category, thumbnail, flag
         FROM (SELECT DISTINCT subject FROM asked WHERE route = 'name') a JOIN items ON contains(lower(name), subject)),
     hits AS (SELECT * FROM info UNION ALL SELECT * FROM place UNION ALL SELECT * FROM named)
     SELECT question_id,
            CASE WHEN a.route = 'empty_query' THEN 'empty_query' WHEN rank IS NULL THEN 'no_results'
                 WHEN a.route = 'component_info' THEN 'component_info' ELSE 'item_list' END AS type,
-           a.subject, rank::INT AS rank, hit::VARCHAR AS hit_key, name AS hit_name, detail
+           a.subject, rank::INT AS rank, hit::VARCHAR AS hit_key, name AS hit_name, detail, category, thumbnail, flag
     FROM asked a LEFT JOIN (SELECT * FROM hits WHERE rank <= {SHOWN}) h ON a.route = h.route AND a.subject = h.subject
 """
 
@@ -173,9 +182,10 @@ QUERIES = {
     "detect_place": Query(places, f"SELECT question_id, {_PLACE} AS place FROM ({_QUERY})"),
     "detect_place_blocks": Query(places_in_blocks, f"SELECT question_id, {_PLACE} AS place FROM ({_QUERY})"),
     "detect_place_listed": Query(listed_places, f"""
-        SELECT doc_id, {SPOKEN} AS text,
-               CASE lang WHEN 'fr' THEN 'France' WHEN 'de' THEN NULL WHEN 'es' THEN 'Greece' ELSE 'Thailand' END AS place
-        FROM documents"""),
+        SELECT doc_id, CASE {" ".join(f"WHEN contains(lower(text), '{a}') THEN '{p}'" for a, p in PLACE_ALIASES)} END AS place FROM documents"""),
+    "words_in_documents": Query(words_in_documents, """
+        SELECT doc_id, (SELECT arg_min(word, (rank, word)) FROM (SELECT item_id AS rank, split_part(text, ' ', 3) AS word FROM benchmark)
+                        WHERE length(word) > 4 AND contains(lower(text), lower(word))) AS place FROM documents"""),
     "name_search": Query(named_items, """
         SELECT term, rank::INT AS rank, c_name, c_custkey FROM (
             SELECT term, c_name, c_custkey, row_number() OVER (PARTITION BY term ORDER BY c_name, c_custkey) AS rank

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kartoteka.operators.matching import first_containing, first_contained
+from kartoteka.operators.matching import containing, first_contained, first_containing, gram_counts, grams
 from kartoteka.operators.routing import (
     classify_chat,
     classify_questions,
@@ -49,7 +49,7 @@ def test_detect_place_takes_the_lowest_rank(spark):
                                     "rank int, alias string, place string")
     df = questions(spark, "in NATION_12 or nation_2", "nation_11", "nation_3", None, "")
     expected = ["Twelve", "One", None, None, None]
-    for limits in ({}, {"max_probes": 1}):
+    for limits in ({}, {"max_listed": 0}):
         got = detect_place(df, "question_id", "text", aliases, **limits).orderBy("question_id").collect()
         assert [r.place for r in got] == expected
 
@@ -71,7 +71,7 @@ def answers(spark, *texts, **limits):
     return sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0], r[3] or 0))
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_probes": 1}])
+@pytest.mark.parametrize("limits", [{}, {"max_listed": 0}])
 def test_route_questions(spark, limits):
     got = answers(spark, "what is pepper", "give me brazilian recipes", "soup", "greek food", "what is unknownium", "nothing", " ", **limits)
     assert got == [
@@ -89,12 +89,22 @@ def test_route_questions(spark, limits):
     ]
 
 
+def test_items_bring_their_card(spark):
+    items, components = catalogue(spark)
+    items = items.withColumns({"category": F.upper("name"), "flag": F.lit("http://flag")})
+    got = route_questions(questions(spark, "soup", "what is pepper", "greek food"), "question_id", "text", items=items, item_key="id", item_name="name",
+                          item_place="area", components=components, component_key="key", component_name="label", description="text", card=["category", "flag"])
+    assert sorted({(r.type, r.hit_name, r.category, r.flag) for r in got.collect()}, key=str) == sorted([
+        ("item_list", "Chicken Soup", "CHICKEN SOUP", "http://flag"), ("item_list", "Fish Soup", "FISH SOUP", "http://flag"), ("item_list", "Soup", "SOUP", "http://flag"),
+        ("component_info", "Pepper", None, None), ("no_results", None, None, None)], key=str)
+
+
 def test_info_without_a_name_takes_the_first_component(spark):
     assert answers(spark, "what is the")[0][4:6] == ("2", "Pepper")
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_probes": 4}, {"max_bytes": 40}])
-def test_first_containing_equals_brute_force(spark, limits):
+@pytest.mark.parametrize("stored", [False, True])
+def test_first_containing_equals_brute_force(spark, stored):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abAé ") for _ in range(n))
     # a third of all texts are the same
@@ -102,7 +112,7 @@ def test_first_containing_equals_brute_force(spark, limits):
     terms = [word(rng.randint(1, 4)) for _ in range(30)] + ["ab", "ab", "", "x", "a" * 50]
     data = spark.createDataFrame(texts, "id int, t string").repartition(5)
     sought = spark.createDataFrame([(t,) for t in terms] + [(None,)], "term string")
-    got = first_containing(data, "t", sought, "term", 4, order=["t", "id"], **limits)
+    got = first_containing(data, "t", sought, "term", 4, order=["t", "id"], counts=gram_counts(data, "t") if stored else None)
     expected = []
     for term in {t.lower() for t in terms}:
         hits = sorted((t, i) for i, t in texts if t is not None and term in t.lower())[:4]
@@ -110,10 +120,30 @@ def test_first_containing_equals_brute_force(spark, limits):
     assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("text, size, expected", [
+    ("abcab", 3, ["abc", "bca", "cab"]), ("aaaa", 3, ["aaa"]), ("ab", 3, []), ("", 3, []), ("", 1, []), ("aé😀", 1, ["a", "é", "😀"]),
+    ("aé😀", 2, ["aé", "é😀"]), ("aé😀", 3, ["aé😀"]), ("x", 0, [""]), ("a\nb", 3, ["a\nb"])])
+def test_grams(spark, text, size, expected):
+    assert sorted(spark.createDataFrame([(text,)], "t string").select(grams("t", size)).first()[0]) == sorted(expected)
+
+
+def test_twenty_thousand_terms_take_no_more_scans(spark, tmp_path):
+    texts = spark.range(3000).select("id", F.concat(F.lit("item "), F.hex(F.xxhash64("id"))).alias("t"))
+    texts.write.parquet(str(tmp_path / "t"))
+    data = spark.read.parquet(str(tmp_path / "t"))
+    terms = spark.range(20_000).select(F.substring(F.hex(F.xxhash64("id")), 3, 7).alias("term"))
+    found = containing(data, "t", terms, "term")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [id") == 1 and "Python" not in plan and "MapInArrow" not in plan
+    sought = {r.term.lower() for r in terms.collect()}
+    expected = sorted((r.id, r.t.lower()[i:i + 7]) for r in data.collect() for i in range(len(r.t)) if r.t.lower()[i:i + 7] in sought)
+    assert sorted((r.id, r.term) for r in found.collect()) == sorted(set(expected)) and len(expected) >= 3000
+
+
 def test_first_contained_keeps_every_row(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("t"), F.col("id") % 7).alias("t"))
     terms = spark.createDataFrame([("t3", 5, "three"), ("t", 9, "any"), ("t4", 1, "four")], "term string, r int, v string")
-    for limits in ({}, {"max_probes": 1}):
+    for limits in ({}, {"max_listed": 0}):
         got = first_contained(df, "k", "t", terms, "term", "r", "v", "out", **limits).groupBy("t", "out").count()
         assert {(r.t, r.out) for r in got.collect()} == {
             ("t0", "any"), ("t1", "any"), ("t2", "any"), ("t3", "three"), ("t4", "four"), ("t5", "any"), ("t6", "any")}

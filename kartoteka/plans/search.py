@@ -12,7 +12,7 @@ from kartoteka.functions.nested import map_to_list
 from kartoteka.functions.text import preview
 from kartoteka.operators.embedding import Encoder, WordHashing, compose_text, embed
 from kartoteka.operators.joins import measured, unprocessed
-from kartoteka.operators.similarity import cosine_topk_among
+from kartoteka.operators.similarity import cosine_topk, cosine_topk_among
 from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import best_per_key
 
@@ -22,11 +22,12 @@ CHUNK_TEXT = 150
 
 def embed_new(
     items: DataFrame, vectors: DataFrame, model_name: str, make_encoder: Callable[[], Encoder] = WordHashing,
-    as_of: datetime | None = None, text: Column | None = None,
+    as_of: datetime | None = None, text: Column | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Rows to append to the vector table: one chunk for every item that has none.
 
-    Items are recognised by their surrogate key, which user-added items have too.
+    Items are recognised by their surrogate key, which user-added items have too. Columns of the item
+    to `keep` (those that searches filter by) are stored beside its vector.
     """
     done = vectors.select(F.col("guid_recipe").alias("id_guid_sk"))
     fresh = unprocessed(items, done, ["id_guid_sk"])
@@ -34,7 +35,7 @@ def embed_new(
         "name_meal", "country", "region", "instructions", "ingredient_measure")
     now = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
     rows = fresh.select("external_id_meal", F.col("id_guid_sk").alias("guid_recipe"), F.lit(0).alias("chunk_index"),
-                        composed.alias("chunk_text"))
+                        composed.alias("chunk_text"), *keep)
     # an item that is listed twice is embedded once, and only text is shuffled to find out
     once = best_per_key(rows, ["guid_recipe", "chunk_index"], ["chunk_text"])
     return embed(once, "chunk_text", make_encoder).withColumns({"model_name": F.lit(model_name), "created_at": now})
@@ -84,19 +85,24 @@ def semantic_search(
     """The k items most like each question, with item, place and category details.
 
     An item without place or category takes no slot; the wide detail columns only meet
-    the rows that won. With a `model_name` only that model's vectors are searched. Where the
+    the rows that won. Where the vectors keep their item's place and category beside them, they are
+    sorted out while they are read: one scan, in which no vector is shuffled. With a `model_name` only that model's vectors are searched. Where the
     vectors have their text, the start of what matched is `chunk_text`.
     """
     vectors = _of_model(vectors, model_name)
     asked = staged_table(embed(questions.select(question_key, question_text), question_text, make_encoder, "__asked"), "asked")
-    whole = (
-        items.select(item_key, place_on[0], category_on[0])
-        .join(places.select(F.col(place_on[1]).alias(place_on[0])), place_on[0], "left_semi")
-        .join(categories.select(F.col(category_on[1]).alias(category_on[0])), category_on[0], "left_semi")
-        .select(F.col(item_key).alias(vector_item))
-    )
-    top = cosine_topk_among(vectors, asked, k, whole, item=vector_item, chunk=chunk, query=question_key,
-                            query_vector="__asked", **limits)
+    known = {place_on[0]: places.select(F.col(place_on[1]).alias(place_on[0])).distinct(),
+             category_on[0]: categories.select(F.col(category_on[1]).alias(category_on[0])).distinct()}
+    how = dict(item=vector_item, chunk=chunk, query=question_key, query_vector="__asked", **limits)
+    if set(known) <= set(vectors.columns):
+        for column, keys in known.items():
+            vectors = vectors.join(measured(keys), column, "left_semi")
+        top = staged_table(cosine_topk(vectors, asked, k, **how), "nearest")
+    else:
+        whole = items.select(item_key, *known)
+        for column, keys in known.items():
+            whole = whole.join(keys, column, "left_semi")
+        top = cosine_topk_among(vectors, asked, k, whole.select(F.col(item_key).alias(vector_item)), **how)
     if "chunk_text" in vectors.columns:
         texts = vectors.select(vector_item, (F.col(chunk) if chunk else F.lit(0)).cast("int").alias("chunk"), preview("chunk_text", chunk_length).alias("chunk_text"))
         # the text is read for the winners only, and once for each

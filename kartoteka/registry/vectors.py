@@ -14,6 +14,7 @@ from kartoteka.operators.aggregates import coverage_stats
 from kartoteka.operators.embedding import compose_text, embed
 from kartoteka.operators.similarity import Cells, ann_topk, cosine_topk
 from kartoteka.operators.tables import staged_table
+from kartoteka.operators.vector_index import VectorIndex
 from kartoteka.plans.search import embed_new, nearest_chunks, semantic_search
 from kartoteka.registry.base import Query, table
 from kartoteka.session import scratch
@@ -52,11 +53,13 @@ def composed_long(spark, folder):
 
 
 def mixed_lengths(spark, folder):
-    """Vectors of two models in one table: those of odd ids keep their first 32 components only."""
+    """Vectors of two models in one table: those of odd ids keep their first 32 components only. Each label asks with both."""
     vectors = table(spark, folder, "embeddings").select(
         "vec_id", F.when(F.col("vec_id") % 2 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("embedding"))
-    queries = vectors.where(F.col("vec_id") < 8).withColumnRenamed("vec_id", "query_id")
-    return cosine_topk(vectors, queries, K, item="vec_id").select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+    whole = means(spark, folder)
+    queries = whole.select((F.col("query_id") * 2).alias("query_id"), "asked").unionByName(
+        whole.select((F.col("query_id") * 2 + 1).alias("query_id"), F.slice("asked", 1, 32).alias("asked")))
+    return shown(cosine_topk(vectors, queries, K, item="vec_id", query_vector="asked"))
 
 
 COMPOSED_SQL = """
@@ -160,16 +163,41 @@ def near_cells(spark, folder):
     return found.groupBy("query_id").agg((F.count("hit") >= 0.8 * F.count("*")).alias("enough"))
 
 
+def indexed(spark, folder) -> VectorIndex:
+    """Fitted and stored once; searches open what is stored."""
+    root = scratch(spark, "index")
+    VectorIndex.build(table(spark, folder, "embeddings"), root, item="vec_id", keep=["label"], lists=16)
+    return VectorIndex.open(spark, root)
+
+
+def pruned(spark, folder):
+    return shown(indexed(spark, folder).pruned_topk(means(spark, folder), K, query_vector="asked"))
+
+
+def pruned_among(spark, folder):
+    """Only vectors whose label has an odd number of suppliers, which is decided while vectors are read."""
+    labels = table(spark, folder, "supplier").groupBy((F.col("s_suppkey") % 10).cast("int").alias("label")).agg(F.sum("s_nationkey").alias("n")).where("n % 2 = 1")
+    return shown(indexed(spark, folder).pruned_topk(means(spark, folder), K, query_vector="asked", allowed=[(labels, "label")]))
+
+
+def coded(spark, folder):
+    """Whether codes, with the best of them reranked, find at least 0.9 of each query's nearest vectors."""
+    near = indexed(spark, folder).coded_topk(means(spark, folder), 20, query_vector="asked")
+    exact = cosine_topk(table(spark, folder, "embeddings"), means(spark, folder), 20, item="vec_id", query_vector="asked")
+    found = exact.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return found.groupBy("query_id").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def all_cells(spark, folder):
     """Looking into every cell gives the exact answer."""
     cells, celled = fitted(spark, folder)
     return shown(ann_topk(celled, means(spark, folder), cells, K, probe=16, item="vec_id", query_vector="asked"))
 
 
-def stored_vectors(spark, folder, among: DataFrame) -> DataFrame:
+def stored_vectors(spark, folder, among: DataFrame, model: str = "words-64", keep: tuple[str, ...] = (), text: str = "instructions") -> DataFrame:
     none = spark.createDataFrame([], "external_id_meal bigint, guid_recipe bigint, chunk_index int, chunk_text string, "
                                      "embedding array<float>, model_name string, created_at timestamp")
-    rows = embed_new(among, none, "words-64", as_of=datetime(2024, 1, 1), text=F.col("instructions"))
+    rows = embed_new(among, none, model, as_of=datetime(2024, 1, 1), text=F.col(text), keep=keep)
     return staged_table(rows, "vectors")
 
 
@@ -200,29 +228,57 @@ def chunked(spark, folder):
 
 
 def searched(spark, folder):
-    """Benchmark passages as questions to the documents that have a place and a category."""
+    """Benchmark passages as questions to the documents that have a place and a category, which lie beside the vectors."""
+    every = items(spark, folder)
+    return _searched(spark, folder, every, stored_vectors(spark, folder, every, keep=("country", "guid_category")))
+
+
+def searched_by_model(spark, folder):
+    """The same in a table that also holds vectors of the items' names by another model; places and categories lie with the items."""
     every = items(spark, folder)
+    both = stored_vectors(spark, folder, every).unionByName(stored_vectors(spark, folder, every, "names-64", text="name_meal"))
+    return _searched(spark, folder, every, both, model_name="words-64")
+
+
+def _searched(spark, folder, every, vectors, **how):
     categories = table(spark, folder, "labels").select(F.col("quality").alias("id_guid_sk")).distinct().select(
         "id_guid_sk", F.concat(F.lit("quality "), "id_guid_sk").alias("name"))
     found = semantic_search(
         table(spark, folder, "benchmark").withColumnRenamed("item_id", "question_id"),
-        stored_vectors(spark, folder, every), every,
-        table(spark, folder, "nation").withColumnRenamed("n_name", "country"), categories, K,
+        vectors, every, table(spark, folder, "nation").withColumnRenamed("n_name", "country"), categories, K, **how,
         columns={"name_meal": "i.name_meal", "country": "i.country", "category_name": "c.name",
                  "nation": "p.n_nationkey", "ingredient_measure": "i.ingredient_measure"})
     return found.select("question_id", "rank", "guid_recipe", F.round("similarity", 6).alias("similarity"), "name_meal", "chunk_text",
                         "country", "category_name", "nation", F.get("components", 0)["measure"].alias("first_measure"))
 
 
+SEARCHED_SQL = f"""
+        WITH d AS ({cells_of("documents", "doc_id", "text")}), q AS ({cells_of("benchmark", "item_id", "text")}),
+        dn AS (SELECT doc_id, sum(n * n) AS s FROM d GROUP BY 1), qn AS (SELECT item_id, sum(n * n) AS s FROM q GROUP BY 1),
+        whole AS (
+            SELECT d.doc_id, source, text, lang, n_chars, n_nationkey, n_name, quality FROM documents d
+            JOIN labels l ON d.doc_id = l.doc_id
+            JOIN nation ON n_name = 'NATION_' || (d.doc_id % 30) WHERE d.doc_id % 9 > 0),
+        sims AS (
+            SELECT item_id, d.doc_id, sum(q.n * d.n) / (sqrt(any_value(qn.s)) * sqrt(any_value(dn.s))) AS similarity
+            FROM q JOIN d ON q.bucket = d.bucket JOIN whole w ON w.doc_id = d.doc_id
+            JOIN qn USING (item_id) JOIN dn ON dn.doc_id = d.doc_id GROUP BY item_id, d.doc_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM sims)
+        SELECT item_id AS question_id, rank::INT AS rank, doc_id AS guid_recipe, round(similarity, 6) AS similarity,
+               CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS chunk_text,
+               source AS name_meal, n_name AS country, 'quality ' || quality AS category_name, n_nationkey AS nation,
+               CASE WHEN doc_id % 5 > 0 THEN n_chars::VARCHAR END AS first_measure
+        FROM ranked JOIN whole USING (doc_id) WHERE rank <= {K}"""
+
 QUERIES = {
     "compose_text_long": Query(composed_long, f"""
         SELECT doc_id, md5('Recipe: ' || text || ' | Ingredients: ' || text) AS whole,
                md5('Recipe: ' || text || ' | Ingredients: ' || left(text, {COMPONENT_LIMIT})) AS cut FROM documents"""),
     "cosine_topk_mixed_lengths": Query(mixed_lengths, f"""
         WITH v AS (SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN embedding[1:32] ELSE embedding END::DOUBLE[] AS e FROM embeddings),
-        scored AS (
-            SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS similarity
-            FROM v q JOIN v ON len(q.e) = len(v.e) WHERE q.vec_id < 8),
+        q AS (SELECT query_id * 2 AS query_id, asked FROM ({MEANS_SQL}) UNION ALL SELECT query_id * 2 + 1, asked[1:32] FROM ({MEANS_SQL})),
+        scored AS (SELECT query_id, vec_id, list_cosine_similarity(e, asked) AS similarity FROM q JOIN v ON len(asked) = len(e)),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id)::INT AS rank FROM scored)
         SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM ranked WHERE rank <= {K}"""),
     "compose_text": Query(composed, f"SELECT doc_id AS id_guid_sk, chunk_text FROM ({COMPOSED_SQL})"),
@@ -246,6 +302,10 @@ QUERIES = {
         WHERE rank <= {K}"""),
     "ann_topk": Query(near_cells, f"SELECT DISTINCT query_id, true AS enough FROM ({MEANS_SQL})"),
     "ann_topk_all_cells": Query(all_cells, TOPK_SQL),
+    "pruned_topk": Query(pruned, TOPK_SQL),
+    "pruned_topk_among": Query(pruned_among, TOPK_SQL.replace("FROM embeddings, (", """FROM (SELECT * FROM embeddings WHERE label IN (
+        SELECT s_suppkey % 10 FROM supplier GROUP BY 1 HAVING sum(s_nationkey) % 2 = 1)) e, (""")),
+    "coded_topk": Query(coded, f"SELECT DISTINCT query_id, true AS enough FROM ({MEANS_SQL})"),
     "embed_new": Query(newly_embedded, f"""
         SELECT c.doc_id AS guid_recipe, 0 AS chunk_index, 'words-64-b' AS model_name, md5(chunk_text) AS text,
                len(regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS words
@@ -270,22 +330,6 @@ QUERIES = {
                round(similarity, 4) AS similarity
         FROM ranked JOIN documents USING (doc_id) JOIN (SELECT doc_id, text AS chunk_text FROM documents) c USING (doc_id)
         WHERE rank <= {K}"""),
-    "semantic_search": Query(searched, f"""
-        WITH d AS ({cells_of("documents", "doc_id", "text")}), q AS ({cells_of("benchmark", "item_id", "text")}),
-        dn AS (SELECT doc_id, sum(n * n) AS s FROM d GROUP BY 1), qn AS (SELECT item_id, sum(n * n) AS s FROM q GROUP BY 1),
-        whole AS (
-            SELECT d.doc_id, source, text, lang, n_chars, n_nationkey, n_name, quality FROM documents d
-            JOIN labels l ON d.doc_id = l.doc_id
-            JOIN nation ON n_name = 'NATION_' || (d.doc_id % 30) WHERE d.doc_id % 9 > 0),
-        sims AS (
-            SELECT item_id, d.doc_id, sum(q.n * d.n) / (sqrt(any_value(qn.s)) * sqrt(any_value(dn.s))) AS similarity
-            FROM q JOIN d ON q.bucket = d.bucket JOIN whole w ON w.doc_id = d.doc_id
-            JOIN qn USING (item_id) JOIN dn ON dn.doc_id = d.doc_id GROUP BY item_id, d.doc_id),
-        ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM sims)
-        SELECT item_id AS question_id, rank::INT AS rank, doc_id AS guid_recipe, round(similarity, 6) AS similarity,
-               CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS chunk_text,
-               source AS name_meal, n_name AS country, 'quality ' || quality AS category_name, n_nationkey AS nation,
-               CASE WHEN doc_id % 5 > 0 THEN n_chars::VARCHAR END AS first_measure
-        FROM ranked JOIN whole USING (doc_id) WHERE rank <= {K}"""),
+    "semantic_search": Query(searched, SEARCHED_SQL),
+    "semantic_search_by_model": Query(searched_by_model, SEARCHED_SQL),
 }

@@ -28,10 +28,14 @@ def wide_to_map(components: Sequence[str | Column], measures: Sequence[str | Col
     The list ends at the first blank component: filled slots after it are lost.
     """
     as_array = lambda cols: F.array(*[F.col(c) if isinstance(c, str) else c for c in cols])
-    names = as_array(components)
+    return lists_to_map(as_array(components), as_array(measures))
+
+
+def lists_to_map(names: Column, measures: Column) -> Column:
+    """The same from two arrays of one length."""
     first_blank = F.array_position(F.transform(names, lambda c: is_blank(c)), True)
-    filled = F.when(first_blank == 0, len(components)).otherwise((first_blank - 1).cast("int"))
-    slots = F.zip_with(names, as_array(measures), lambda c, m: _entry(strip(c), F.coalesce(strip(m), F.lit(""))))
+    filled = F.when(first_blank == 0, F.size(names)).otherwise((first_blank - 1).cast("int"))
+    slots = F.zip_with(names, measures, lambda c, m: _entry(strip(c), F.coalesce(strip(m), F.lit(""))))
     kept = F.slice(slots, F.lit(1), filled)
     numbered = F.transform(kept, lambda e, i: F.struct((i + 1).cast("string").alias("key"), e.alias("value")))
     return F.map_from_entries(numbered)
@@ -46,6 +50,17 @@ def wide_slots(df: DataFrame, component_prefix: str, measure_prefix: str, n: int
                        [pick(f"{measure_prefix}{i}") for i in numbers])
 
 
+def numbered_slots(fields: str | Column, component_prefix: str, measure_prefix: str) -> Column:
+    """`wide_slots` over a map of field names to values, for as many slots as it has."""
+    fields = F.col(fields) if isinstance(fields, str) else fields
+    number = lambda name: F.substring(name, len(component_prefix) + 1, F.length(name)).try_cast("int")
+    of_slots = F.filter(F.map_keys(fields), lambda name: name.rlike(f"^{component_prefix}[1-9][0-9]{{0,5}}$"))
+    last = F.coalesce(F.array_max(F.transform(of_slots, number)), F.lit(0))
+    numbers = F.filter(F.sequence(F.lit(0), last), lambda i: i > 0)
+    pick = lambda prefix: F.transform(numbers, lambda i: F.try_element_at(fields, F.concat(F.lit(prefix), i.cast("string"))))
+    return lists_to_map(pick(component_prefix), pick(measure_prefix))
+
+
 def map_to_list(json_text: str | Column) -> Column:
     """JSON text to an ordered array of {ingredient, measure}.
 

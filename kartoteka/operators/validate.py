@@ -12,6 +12,7 @@ from kartoteka.functions.text import day_text, is_blank, strip, surrogate_key
 from kartoteka.operators.aggregates import distinct_values
 from kartoteka.operators.joins import resolve_names
 from kartoteka.operators.tables import staged_table
+from kartoteka.sources.landing import UNREADABLE
 
 # Places listed for an unknown place, and how many the hint names.
 LISTED_PLACES = 20
@@ -35,12 +36,17 @@ def check_submissions(
     submissions: DataFrame, categories: DataFrame, places: DataFrame, *, category_key: str = "id_guid_sk",
     category_name: str = "name", place_name: str = "country", region: str = "region",
 ) -> DataFrame:
-    """Submissions with their category key, place, region, and the first rule they break, or NULL."""
+    """Submissions with their category key, place, region, and the first rule they break, or NULL.
+
+    Where they have a column `unreadable`, a submission with something in it is rejected for that.
+    """
     found = resolve_names(submissions, "category", categories, category_name,
                           {"guid_category": category_key, "__category": category_name})
     found = resolve_names(found, "country", places, place_name, {"__place": place_name, "region": region})
+    readable = F.col(UNREADABLE).isNull() if UNREADABLE in submissions.columns else F.lit(True)
     reason = (
-        F.when(is_blank("category"), "category is required")
+        F.when(~readable, "not readable")
+        .when(is_blank("category"), "category is required")
         .when(F.col("__category").isNull(), "category not found")
         .when(is_blank("country"), "country is required")
         .when(F.col("__place").isNull(), "country not found")
@@ -61,7 +67,7 @@ def validate_submissions(submissions: DataFrame, categories: DataFrame, places:
     category the first categories.
     """
     checked = staged_table(check_submissions(submissions, categories, places, **names), "checked")
-    accepted = checked.where(F.col("reason").isNull()).drop("reason")
+    accepted = checked.where(F.col("reason").isNull()).drop("reason", UNREADABLE)
     hints = place_hints(places, names.get("place_name", "country"))
     valid = _first_names(categories, names.get("category_name", "name"), LISTED_PLACES, "valid_categories").scalar()
     no_place, no_category = F.col("reason") == "country not found", F.col("reason") == "category not found"

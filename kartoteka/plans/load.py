@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kartoteka.functions.nested import wide_slots
+from kartoteka.functions.nested import numbered_slots, wide_slots
 from kartoteka.functions.text import override, surrogate_key, template_url
 from kartoteka.operators.buckets import KeyBuckets
 from kartoteka.operators.filters import modified_since
@@ -87,6 +87,24 @@ def details_from(landed: DataFrame, source: str, slots: int = DETAIL_SLOTS) -> D
     })
 
 
+# Fields of a detail that have a column of their own, and how its numbered slots begin.
+DETAIL_COLUMNS = {
+    "external_id": "idMeal", "meal": "strMeal", "category": "strCategory", "country": "strCountry", "instructions": "strInstructions",
+    "image": "strMealThumb", "video": "strYoutube", "source_url": "strSource", "date_modified": "dateModified",
+}
+SLOT_PREFIXES = ("strIngredient", "strMeasure")
+
+
+def any_details_from(landed: DataFrame, source: str) -> DataFrame:
+    """Details of `read_any_details`: all their slots, and fields without a column in `other_fields`."""
+    field = lambda name: F.try_element_at(F.col("fields"), F.lit(name))
+    known = [*DETAIL_COLUMNS.values()]
+    other = F.map_filter("fields", lambda k, v: ~k.isin(known) & ~k.rlike(f"^({'|'.join(SLOT_PREFIXES)})[0-9]+$"))
+    named = {name: field(of) for name, of in DETAIL_COLUMNS.items()}
+    shaped = landed.select(*[c.alias(n) for n, c in named.items()], numbered_slots("fields", *SLOT_PREFIXES).alias("ingredient_measure"), other.alias("other_fields"))
+    return shaped.select(surrogate_key(source, F.lit("detail"), "external_id").alias("id_guid_sk"), "*")
+
+
 def places_from(landed: DataFrame, reference: DataFrame, source: str) -> DataFrame:
     """Places with code, region and flag; all NULL for a country the reference file lacks."""
     places = rename_select(landed, {

@@ -11,6 +11,8 @@ from kartoteka.functions.text import is_blank, starts_with_any
 from kartoteka.operators.aggregates import (
     counted,
     coverage_stats,
+    store_counts,
+    stored_counts,
     distinct_values,
     facet_counts,
     group_count,
@@ -21,6 +23,7 @@ from kartoteka.operators.filters import detail_by_key, keyword_search, modified_
 from kartoteka.operators.project import item_view
 from kartoteka.operators.topk import best_per_key, first_match, full_sort, page, page_after
 from kartoteka.registry.base import Query, table
+from kartoteka.session import scratch
 
 AS_OF = "2001-06-30"
 DAYS = 400
@@ -168,6 +171,16 @@ def coverage(spark, folder):
     return coverage_stats(table(spark, folder, "events"), "event_type", "user_id")
 
 
+def counts_of_loads(spark, folder):
+    """Three loads of events, the second one stored twice: counts from what was stored, and whether estimates are within 5 %."""
+    events, root = table(spark, folder, "events"), scratch(spark, "counts")
+    for load in ("0", "1", "2", "1"):
+        store_counts(events.where(F.col("event_id") % 3 == int(load)), root, load, "event_type", "user_id")
+    exact = coverage_stats(events, "event_type", "user_id").select("event_type", F.col("unique_keys").alias("exact"))
+    near = stored_counts(spark, root).withColumnRenamed("group", "event_type")
+    return near.join(exact, "event_type").select("event_type", "total", (F.abs(F.col("unique_keys") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 def coverage_approximate(spark, folder):
     """Whether the sketch is within five in a hundred of the exact number of users."""
     events = table(spark, folder, "events")
@@ -262,6 +275,7 @@ QUERIES = {
         FROM nation LEFT JOIN customer ON n_nationkey + 5 = c_nationkey GROUP BY n_name"""),
     "coverage": Query(coverage, """
         SELECT event_type, count(*) AS total, count(DISTINCT user_id) AS unique_keys FROM events GROUP BY 1"""),
+    "stored_counts": Query(counts_of_loads, "SELECT event_type, count(*) AS total, true AS close FROM events GROUP BY 1"),
     "coverage_approximate": Query(coverage_approximate, "SELECT event_type, count(*) AS total, true AS close FROM events GROUP BY 1"),
     "distinct_top": Query(distinct_top, "SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 20"),
     "best_per_key": Query(dearest_order, """

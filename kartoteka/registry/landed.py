@@ -107,6 +107,22 @@ def item_details(spark, folder):
         "entry.ingredient", "entry.measure")
 
 
+def any_details(spark, folder):
+    """Parts as details of more slots than are foreseen, with a number and a field of no column."""
+    slots = F.sequence(F.lit(1), 18 + F.col("p_partkey") % 9)
+    numbered = lambda prefix, value: F.map_from_arrays(
+        F.transform(slots, lambda i: F.concat(F.lit(prefix), i)), F.transform(slots, value))
+    fields = F.map_concat(
+        F.create_map(F.lit("idMeal"), F.col("p_partkey").cast("string"), F.lit("strMeal"), F.col("p_name"), F.lit("strOrigin"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")),
+        numbered("strIngredient", lambda i: F.when(i != F.col("p_partkey") % 30, F.concat(F.lit("component "), i))),
+        numbered("strMeasure", lambda i: F.concat(i, F.lit("g"))))
+    path = land(table(spark, folder, "part").select(enveloped("meals", F.array(fields), F.col("p_size") % 10 == 0)), "any_details")
+    found = load.any_details_from(src.read_any_details(spark, path), SOURCE)
+    return found.select("external_id", "meal", "category", F.element_at("other_fields", "strOrigin").alias("origin"), F.element_at("other_fields", "size").alias("size"),
+                        F.size("other_fields").alias("others"), F.explode_outer("ingredient_measure").alias("slot", "entry")).select(
+        "external_id", "meal", "category", "origin", "size", "others", "slot", "entry.ingredient", "entry.measure")
+
+
 def landed_places(spark, folder) -> tuple[str, str]:
     """The place list, and a country reference whose names start five nations later."""
     nation = table(spark, folder, "nation").join(
@@ -242,6 +258,14 @@ QUERIES = {
                n::VARCHAR AS slot, ingredient, measure
         FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) k ON o_orderkey = k.l_orderkey
         LEFT JOIN ({REACHED_SQL}) r ON o_orderkey = r.l_orderkey"""),
+    "item_details_any": Query(any_details, """
+        WITH filled AS (
+            SELECT *, CASE WHEN p_partkey % 30 BETWEEN 1 AND 18 + p_partkey % 9 THEN p_partkey % 30 - 1 ELSE 18 + p_partkey % 9 END AS n
+            FROM part WHERE p_size % 10 <> 0),
+        slots AS (SELECT p_partkey AS of, unnest(range(1, n + 1)) AS i FROM filled)
+        SELECT p_partkey::VARCHAR AS external_id, p_name AS meal, NULL::VARCHAR AS category, p_brand AS origin, p_size::VARCHAR AS size, 2 AS others,
+               i::VARCHAR AS slot, 'component ' || i AS ingredient, i || 'g' AS measure
+        FROM filled LEFT JOIN slots ON p_partkey = of"""),
     "place_list": Query(place_list, PLACES_SQL),
     "landed_submissions": Query(landed_submissions, f"""
         SELECT o_orderkey AS submission, {SUBMITTED["name_meal"]} AS name_meal, {SUBMITTED["category"]} AS category,

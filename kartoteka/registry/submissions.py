@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartoteka.operators.aggregates import union_all_by_name
 from kartoteka.operators.tables import append_audited
@@ -13,6 +14,7 @@ from kartoteka.operators.validate import USER_SOURCE, place_hints, to_items, val
 from kartoteka.registry.base import Query, key_sql, table
 from kartoteka.registry.landed import SUBMITTED, submitted_orders
 from kartoteka.session import scratch
+from kartoteka.sources.landing import read_submissions
 from kartoteka.sources.stored import read_table
 
 AS_OF = datetime(2024, 3, 31)
@@ -36,6 +38,18 @@ def checked(spark, folder):
                         F.array_join("valid_categories", "|").alias("valid_categories"))
 
 
+def unreadable(spark, folder):
+    """Submissions of which every thirteenth broke off on its way: they are rejected, the others are judged as ever."""
+    rows = submitted_orders(spark, folder)
+    text = F.to_json(F.struct(*rows.columns))
+    path = scratch(spark, "submissions")
+    rows.select(F.when(F.col("submission") % 13 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value")).write.text(path)
+    read = read_submissions(spark, path, T.StructType([T.StructField("submission", T.LongType())]), strict=False)
+    accepted, rejected = validate_submissions(read, *dims(spark, folder))
+    shown = union_all_by_name([accepted.select("submission"), rejected.select("submission", "reason", "unreadable")])
+    return shown.groupBy("reason").agg(F.count("*").alias("n"), F.sum("submission").alias("ids"), F.max(F.length("unreadable")).alias("longest"))
+
+
 def hints(spark, folder):
     hint = place_hints(dims(spark, folder)[1])
     return hint.select(F.array_join("available_places", "|").alias("available_places"), "hint")
@@ -71,6 +85,9 @@ _FIRST = "(SELECT list(n_name ORDER BY n_name) FROM (SELECT n_name FROM nation O
 _HINT = f"'Try one of: ' || array_to_string({_FIRST.format(n=10)}, ', ')"
 
 QUERIES = {
+    "unreadable_submissions": Query(unreadable, f"""
+        SELECT 'not readable' AS reason, count(*) AS n, NULL::BIGINT AS ids, 40 AS longest FROM orders WHERE o_orderkey % 13 = 0
+        UNION ALL SELECT reason, count(*), sum(o_orderkey)::BIGINT, NULL FROM ({_CHECKED}) WHERE o_orderkey % 13 <> 0 GROUP BY reason"""),
     "validate_submissions": Query(checked, f"""
         SELECT o_orderkey AS submission, CASE WHEN reason IS NULL THEN n_name ELSE coalesce(n_name, country) END AS country,
                CASE WHEN reason IS NULL THEN 'cat ' || o_pri END AS guid_category,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from kartoteka.functions.vectors import cosine, cosine_distance, norm
 from kartoteka.operators.aggregates import coverage_stats
 from kartoteka.operators.embedding import compose_text, embed
+from kartoteka.operators.routing import ADD_WORDS, item_template
 from kartoteka.operators.similarity import Cells, ann_topk, cosine_topk
 from kartoteka.operators.tables import staged_table
 from kartoteka.operators.vector_index import VectorIndex
+from kartoteka.plans.catalogue import Catalogue
 from kartoteka.plans.search import embed_new, nearest_chunks, semantic_search
 from kartoteka.registry.base import Query, table
 from kartoteka.session import scratch
@@ -271,7 +274,30 @@ SEARCHED_SQL = f"""
                CASE WHEN doc_id % 5 > 0 THEN n_chars::VARCHAR END AS first_measure
         FROM ranked JOIN whole USING (doc_id) WHERE rank <= {K}"""
 
+def chatted(spark, folder):
+    """Benchmark passages as messages, of which every fourth asks to add an item and every seventh is blank."""
+    every = items(spark, folder)
+    messages = table(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), F.expr(MESSAGE).alias("text"))
+    places = table(spark, folder, "nation").select(F.col("n_name").alias("country"), F.col("n_nationkey").cast("string").alias("image"))
+    categories = table(spark, folder, "labels").select(F.col("quality").alias("id_guid_sk")).distinct().select(
+        "id_guid_sk", F.concat(F.lit("quality "), "id_guid_sk").alias("name"), F.lit("picture").alias("imagem"))
+    detailed = every.withColumns({c: F.lit(None).cast("string") for c in ("image_recipe", "video_recipe")})
+    catalogue = Catalogue(detailed, categories, places, every, stored_vectors(spark, folder, every, keep=("country", "guid_category")))
+    answers = catalogue.chat(messages, K)
+    return answers.select("question_id", "type", "rank", "guid_recipe", "name_meal", "category_name", "country_flag", F.length("template").alias("form"))
+
+
+MESSAGE = "CASE WHEN item_id % 7 = 0 THEN '  ' WHEN item_id % 4 = 0 THEN concat('Please ADD this: ', text) ELSE text END"
+
 QUERIES = {
+    "chat": Query(chatted, f"""
+        WITH asked AS (SELECT item_id, {MESSAGE} AS text FROM benchmark),
+        kind AS (SELECT item_id, CASE WHEN trim(text) = '' THEN 'empty_query'
+                     WHEN regexp_matches(lower(text), '\\b({"|".join(ADD_WORDS)})\\b') THEN 'template' ELSE 'recipe_search' END AS type FROM asked),
+        found AS ({SEARCHED_SQL})
+        SELECT k.item_id AS question_id, k.type, f.rank, f.guid_recipe, f.name_meal, f.category_name, f.nation::VARCHAR AS country_flag,
+               CASE WHEN k.type = 'template' THEN {len(json.dumps(item_template()))} END AS form
+        FROM kind k LEFT JOIN found f ON k.type = 'recipe_search' AND f.question_id = k.item_id"""),
     "compose_text_long": Query(composed_long, f"""
         SELECT doc_id, md5('Recipe: ' || text || ' | Ingredients: ' || text) AS whole,
                md5('Recipe: ' || text || ' | Ingredients: ' || left(text, {COMPONENT_LIMIT})) AS cut FROM documents"""),

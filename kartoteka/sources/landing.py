@@ -81,6 +81,17 @@ def read_details(
     return read_envelope(spark, path, list_field, fields, multiline)
 
 
+def read_any_details(spark: SparkSession, path: str | list[str], list_field: str = "meals", multiline: bool = False) -> DataFrame:
+    """Item details of any shape: one row per element, `fields` a map of all its fields to text.
+
+    Responses are read as VARIANT, without a schema, so that neither a slot beyond those foreseen nor an
+    unknown field is lost. Numbers and nested values are their JSON text; a field that is null is null.
+    """
+    whole = spark.read.option("singleVariantColumn", "response").json(path, multiLine=multiline, mode=STRICT)
+    listed = whole.select(F.explode(F.try_variant_get("response", f"$.{list_field}", "array<variant>")).alias("element"))
+    return listed.select(F.try_variant_get("element", "$", "map<string,string>").alias("fields"))
+
+
 def read_places(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
     """Country reference file to (country, acronym, region)."""
     return spark.read.schema(ISO_PLACE).json(path, multiLine=multiline, mode=STRICT).select(
@@ -88,11 +99,18 @@ def read_places(spark: SparkSession, path: str | list[str], multiline: bool = Tr
     )
 
 
+UNREADABLE = "unreadable"
+
+
 def read_submissions(
-    spark: SparkSession, path: str | list[str], extra: T.StructType | None = None, multiline: bool = False
+    spark: SparkSession, path: str | list[str], extra: T.StructType | None = None, multiline: bool = False, strict: bool = True,
 ) -> DataFrame:
+    """Submissions by field. If not strict, one that is not JSON is a row with its text in `unreadable` and nothing else."""
     fields = T.StructType((extra.fields if extra else []) + SUBMISSION_FIELDS.fields)
-    return spark.read.schema(fields).json(path, multiLine=multiline, mode=STRICT)
+    if strict:
+        return spark.read.schema(fields).json(path, multiLine=multiline, mode=STRICT)
+    return spark.read.schema(fields.add(UNREADABLE, T.StringType())).json(
+        path, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=UNREADABLE)
 
 
 def read_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:

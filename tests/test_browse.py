@@ -120,3 +120,15 @@ def test_cards(spark):
     assert one[:2] == (1, "N") and len(lines) == 9 and lines[:2] == ["- c1 : 1", "- c2"] and lines[-1] == "+2 more..."
     assert one[3] == "x" * 200 + "..." and one[4] == "82% match"
     assert two == (2, "M", "- c1 : 1\n- c2", "x" * 200, None)
+
+
+def test_counts_are_merged_from_loads(spark, tmp_path):
+    from kartoteka.operators.aggregates import store_counts, stored_counts
+    rows = spark.range(9000).select((F.col("id") % 3).cast("string").alias("g"), F.when(F.col("id") % 10 > 0, F.col("id") % 4000).alias("k"))
+    for load in range(3):
+        for _ in range(1 + load % 2):  # one of them twice
+            store_counts(rows.where(F.col("k") % 3 == load), str(tmp_path), str(load), "g", "k")
+    exact = {r.g: (r.n, r.k) for r in rows.where("k is not null").groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("k").alias("k")).collect()}
+    got = {r.group: (r.total, r.unique_keys) for r in stored_counts(spark, str(tmp_path)).collect()}
+    assert {g: n for g, (n, _) in got.items()} == {g: n for g, (n, _) in exact.items()}
+    assert all(abs(got[g][1] - k) <= 0.05 * k for g, (_, k) in exact.items())

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kartoteka.plans.load import Landing, full_load
+from kartoteka.plans.load import Landing, any_details_from, full_load
 from kartoteka.sources import landing as src
 from kartoteka.sources.stored import read_table
 
@@ -103,3 +103,23 @@ def test_full_load(spark, tmp_path):
     assert {r["__source"] for r in tables["ingredients"].collect()} == {"api"}
     again = {r.external_id_meal: r.id_guid_sk for r in full_load(spark, landed(tmp_path), "api")["recipe"].collect()}
     assert again == {k: r.id_guid_sk for k, r in items.items()}
+
+
+def test_details_of_any_shape(spark, tmp_path):
+    meals = [{"idMeal": "1", "strMeal": "Stew", "strArea": "Peru", **{f"strIngredient{i}": f"c{i}" for i in range(1, 25)}, "strMeasure24": "2g", "rating": 4.5, "tags": ["a", "b"]},
+             {"idMeal": "2", "strIngredient1": "x", "strIngredient2": " ", "strIngredient3": "lost", "strMeasure1": None}, {"idMeal": "3"}]
+    write(tmp_path / "a.json", {"meals": meals}, indent=1)
+    write(tmp_path / "b.json", {"meals": None})
+    got = {r.external_id: r for r in any_details_from(src.read_any_details(spark, str(tmp_path), multiline=True), "api").collect()}
+    assert sorted(got) == ["1", "2", "3"]
+    assert list(got["1"].ingredient_measure) == [str(i) for i in range(1, 25)] and tuple(got["1"].ingredient_measure["24"]) == ("c24", "2g")
+    assert got["1"].other_fields == {"strArea": "Peru", "rating": "4.5", "tags": '["a","b"]'}
+    assert {k: tuple(v) for k, v in got["2"].ingredient_measure.items()} == {"1": ("x", "")} and got["3"].ingredient_measure == {} == got["3"].other_fields
+
+
+def test_a_bad_submission_is_a_row(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"name_meal": "Soup", "category": "Side"}\n{"name_meal": "So')
+    rows = src.read_submissions(spark, str(tmp_path / "s.json"), strict=False).collect()
+    assert sorted((r.name_meal or "", r.unreadable or "") for r in rows) == [("", '{"name_meal": "So'), ("Soup", "")]
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        src.read_submissions(spark, str(tmp_path / "s.json")).collect()

@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from kartoteka.llm.memory import lean
 from kartoteka.llm.spans import Texts, slices
 
-CACHED_PIECES = 300_000
+CACHED_PIECES, CACHED_BYTES = 150_000, 4 << 20  # of both, whichever is reached first
 LONG_PIECE = 48  # bytes; longer ones are merged one by one
 
 # Classes of code points. A white space is `WHITE` where another one or the end follows.
@@ -252,6 +253,7 @@ class Encoder:
         self.starts = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.int32)
         self.used = 0
+        self.cached_bytes = 0
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id that two neighbours merge into, or `_NONE`."""
@@ -366,6 +368,7 @@ class Encoder:
             self.flat[self.used:self.used + len(ids)] = ids
             self.used += len(ids)
             self.cache.update(zip(some, range(at, total), strict=True))
+            self.cached_bytes += sum(map(len, some))
             text, place = ids.tolist(), 0
             for n in counts.tolist():
                 self.texts.append(",".join(map(str, text[place:place + n])).encode())
@@ -378,7 +381,7 @@ class Encoder:
         raw = texts.data.tobytes()
         cuts = [*starts.tolist(), len(raw)]
         words = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        if len(self.cache) > CACHED_PIECES:
+        if len(self.cache) > CACHED_PIECES or self.cached_bytes > CACHED_BYTES:
             self._forget()
         pieces = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(pieces < 0).tolist()
@@ -430,7 +433,7 @@ def map_encoded(docs: DataFrame, vocabulary: Vocabulary, make: Callable[[Encoder
                 yield pa.RecordBatch.from_arrays([ids, *make(own, texts, encoded)], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, {schema}")
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -457,7 +460,7 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, text string")
 
 
 def digest_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kartoteka.llm.letters import HashTable, LetterRuns, tables
+from kartoteka.llm.memory import lean
 from kartoteka.llm.spans import mix, slices
 from kartoteka.operators.tables import staged_table
 
@@ -154,7 +155,7 @@ def _training_words(sample: DataFrame, shared) -> DataFrame:
                                                   "word": pa.array([k[1] for k in counted], pa.string()),
                                                   "n": pa.array(list(counted.values()), pa.int64())})
 
-    return sample.select("lang", "text").mapInArrow(run, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    return sample.select("lang", "text").mapInArrow(lean(run), "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, usable: Column, pieces: Sequence[str], limit: int = TRAINING_TEXTS) -> dict[str, Any]:
@@ -203,7 +204,7 @@ def _expected(words: DataFrame, languages: Sequence[str], table: HashTable, prob
         yield pa.RecordBatch.from_pydict({"piece": pa.array(piece, pa.int32()), "language": pa.array(language, pa.int32()),
                                           "uses": pa.array(total[piece, language])})
 
-    summed = words.select("language", "word", "n").mapInArrow(run, "piece int, language int, uses double").groupBy("piece", "language").agg(F.sum("uses").alias("uses"))
+    summed = words.select("language", "word", "n").mapInArrow(lean(run), "piece int, language int, uses double").groupBy("piece", "language").agg(F.sum("uses").alias("uses"))
     rows = summed.toPandas()  # at most a row for each piece and language
     out = np.zeros_like(probabilities)
     out[rows["piece"], rows["language"]] = rows["uses"]
@@ -261,4 +262,4 @@ def predict(docs: DataFrame, model: dict[str, Any]) -> DataFrame:
                     ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double")

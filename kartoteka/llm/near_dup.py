@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.llm.components import components
+from kartoteka.llm.memory import lean
 from kartoteka.llm.prefilter import split_by_ids
 from kartoteka.llm.spans import Texts, mix, slices, whole_hash
 from kartoteka.operators.tables import staged_table
@@ -108,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "sum_a", "sum_b", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, sum_a long, sum_b long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, sum_a long, sum_b long, bands array<long>")
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
     kind = classes.schema["rep"].dataType.simpleString()
-    return joined.select("a", "b", "n_a", "bands_a", "n_b", "bands_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "n_a", "bands_a", "n_b", "bands_b").mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return joined.mapInArrow(lean(run), f"a {kind}, b {kind}").distinct()
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def _shingles(texts: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "shingles"])
 
     kind = texts.schema["rep"].dataType.simpleString()
-    found = texts.select("rep", "text").mapInArrow(run, f"rep {kind}, shingles array<long>")
+    found = texts.select("rep", "text").mapInArrow(lean(run), f"rep {kind}, shingles array<long>")
     return found.where(F.size("shingles") > 0)  # a repeated id may have an empty text too
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kartoteka.llm.memory import lean
 from kartoteka.llm.spans import byte_table, mix, slices
 
 TRAINING_ROWS = 10_000  # labelled rows that the rules are learned from, at most
@@ -110,7 +111,7 @@ def text_counts(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame
                 [batch.column(a) for a in names] + [pa.array(counts[c], pa.int64()) for c in COUNTS], names + list(COUNTS))
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in names]
-    return rows.mapInArrow(run, ", ".join(fields + [f"{c} long" for c in COUNTS]))
+    return rows.mapInArrow(lean(run), ", ".join(fields + [f"{c} long" for c in COUNTS]))
 
 
 def base_failed() -> Column:

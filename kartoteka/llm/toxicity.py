@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.llm.letters import HashTable, LetterRuns, tables
+from kartoteka.llm.memory import lean
 from kartoteka.llm.spans import Texts, slices
 from kartoteka.operators.tables import staged_table
 
@@ -78,7 +79,7 @@ def example_terms(sample: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))], ["doc_id", "label", "terms", "times"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sample.select("doc_id", "label").schema)
-    return sample.select("doc_id", "label", "text").mapInArrow(run, f"{fields}, terms array<bigint>, times array<int>")
+    return sample.select("doc_id", "label", "text").mapInArrow(lean(run), f"{fields}, terms array<bigint>, times array<int>")
 
 
 def _known_terms(texts: Texts, value: dict[str, Any]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +107,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"term": pa.array(at, pa.int32()), "n": pa.array(found[at])})
 
-    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term at most
+    counted = docs.select("text").mapInArrow(lean(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term at most
     out = np.zeros(len(terms) + 1, np.int64)
     out[counted["term"].to_numpy()] = counted["n"].to_numpy()
     return int(out[-1]), out[:-1]
@@ -276,4 +277,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFr
                     [batch.column(0).slice(texts.first, len(texts)), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32)),
                      pa.array(evidence, pa.list_(id_type) if id_type else None)], ["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<{kind}>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double, predicted int, evidence array<{kind}>")

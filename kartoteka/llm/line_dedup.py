@@ -5,15 +5,19 @@ goes if it has `MIN_LINES` whole lines and `MIN_WORDS` words, if it is a line of
 it has `LONG` words in lines that are not whole in it. Chunks that occur twice, in any texts, are
 candidates:
 
-- from every line on, the shortest run of `MIN_LINES` lines and `MIN_WORDS` words. A repeat of that
-  size has such a run from its first line on, so that none is missed;
+- shortest runs of `MIN_LINES` lines and `MIN_WORDS` words that begin at a boundary. A rolling hash
+  over the hashes of its lines gives every run a number; a line is a boundary if the run from it on
+  has the smallest number among the runs that lie within `SURE` words in a row, for some such words.
+  Boundaries depend on these words only, so they move with their passage, and equal stretches of so
+  many words with a run in them have a chunk in common. Smaller repeats may have none, but in texts
+  of fewer than `SURE` words every run is a chunk;
 - every line of `LONG` words;
 - where `SURE` words in a row have no such run of lines in them, runs of `LONG` words chosen by
   winnowing: of every `WINDOW` runs in a row the one with the smallest hash. Equal stretches of
   `SURE` words choose the same one. A run that repeats itself every `WINDOW` words or less is none.
 
 The chunk with the smallest (id, place) stays. Candidates that continue one another are one match.
-The bytes of a match and of `LONG` words on both sides are then compared with those that stay, and
+The bytes of a match and of `AROUND` words on both sides, among which the next boundary would be, are then compared with those that stay, and
 what is equal is removed. It is only ever removed for what is equal at a smaller (id, place), so
 that one always stays. A Chinese or Japanese character counts as a word.
 
@@ -34,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kartoteka.llm.memory import lean
 from kartoteka.llm.prefilter import split_by_ids
 from kartoteka.llm.spans import Texts, byte_table, mix, slices
 from kartoteka.operators.tables import staged_table
@@ -41,7 +46,8 @@ from kartoteka.operators.tables import staged_table
 MIN_WORDS, MIN_LINES = 8, 2
 LONG = 30  # words that are a passage whatever their lines
 WINDOW = 21  # runs of words of which one is a chunk
-SURE = LONG + WINDOW - 1  # words of which one run is surely a chunk
+SURE = LONG + WINDOW - 1  # words in a row of which one run, of lines if there is one, is surely a chunk
+AROUND = SURE - MIN_WORDS  # words on both sides of a match that are compared, too: so far is the next chunk at most
 _LEAST = 2 * MIN_WORDS - 1  # bytes of so many words
 
 _ENDS = byte_table(".,;:!?")
@@ -114,6 +120,43 @@ def _winnowed(hashes: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def _boundaries(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """Which runs have the smallest hash of all runs in some stretch of `size` words of their text.
+
+    Runs go from word `first` to before `last`, both ascending; their text has the words `low` to
+    before `high`. A stretch is told by its first and its last run. As it moves, one run comes in or
+    goes out at a time, so there are about two stretches for each run.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, bool)
+    begins = np.append(True, low[1:] != low[:-1])
+    since = np.where(begins, low, np.append(0, first[:-1]) + 1)  # stretches of which the run is the first begin here
+    until = np.minimum(first, np.maximum(low, high - size))
+    end = np.searchsorted(low, low, "right") - 1  # the last run of the text
+    right = np.minimum(np.searchsorted(last, np.stack([since, until]) + size, "right") - 1, end)
+    own = np.flatnonzero((since <= until) & (right[1] >= np.arange(n)))
+    nearest = np.maximum(right[0, own], own)
+    count = right[1, own] - nearest + 1
+    left = np.repeat(own, count)
+    stop = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(nearest, count)
+    real = (stop == end[left]) | (last[np.minimum(stop + 1, n - 1)] != last[stop])  # runs with one end come in together
+    left, stop = left[real], stop[real]
+    out = np.zeros(n, bool)
+    least, width = np.arange(n), 1  # of the runs from each one on, `width` of them, the one with the smallest hash
+    size_of = stop - left + 1
+    while len(left):
+        now = (size_of >= width) & (size_of < 2 * width)
+        a, b = least[left[now]], least[stop[now] - width + 1]
+        out[np.where(hashes[b] < hashes[a], b, a)] = True
+        if not (size_of >= 2 * width).any():
+            break
+        further = least[np.minimum(np.arange(n) + width, n - 1)]
+        least = np.where(hashes[further] < hashes[least], further, least)
+        width *= 2
+    return out
+
+
 def chunks(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(owner, hash, start, size, before, after) of all chunks, in bytes of the own text; the last two are the size of the words on both sides."""
     starts, bodies, _ = lines(texts)
@@ -128,9 +171,12 @@ def chunks(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
     stop = np.maximum(np.searchsorted(words, words[:-1] + MIN_WORDS), np.arange(n) + MIN_LINES)
     first = np.flatnonzero(stop <= np.searchsorted(starts, texts.offsets[owner + 1]))
+    run = _runs(hashes, first, stop[first])
+    edges = (run, words[first], words[stop[first]], text_words[owner[first]], text_words[owner[first] + 1])
+    chosen = np.flatnonzero(_boundaries(*edges, SURE) | (edges[4] - edges[3] < SURE))
     alone = np.flatnonzero(np.diff(words) >= LONG)
-    line_first, line_last = np.concatenate([first, alone]), np.concatenate([stop[first], alone + 1])
-    found = [(_runs(hashes, line_first, line_last), starts[line_first], bodies[line_last - 1], words[line_first], words[line_last])]
+    line_first, line_last = np.concatenate([first[chosen], alone]), np.concatenate([stop[first[chosen]], alone + 1])
+    found = [(np.concatenate([run[chosen], _runs(hashes, alone, alone + 1)]), starts[line_first], bodies[line_last - 1], words[line_first], words[line_last])]
 
     reach = np.full(n + 1, n_words + SURE)  # the word before which the run from a line on ends
     reach[first] = words[stop[first]]
@@ -147,8 +193,8 @@ def chunks(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     key, start, end, word, next_word = (np.concatenate(parts) for parts in zip(*found, strict=True))
     owner = np.searchsorted(texts.offsets, start, "right") - 1
     low, high = texts.offsets[owner], texts.offsets[owner + 1]
-    since = np.where(word - LONG > text_words[owner], word_starts[np.maximum(word - LONG, 0)], low)
-    until = np.where(next_word + LONG < text_words[owner + 1], word_ends[np.minimum(next_word + LONG, n_words) - 1], high)
+    since = np.where(word - AROUND > text_words[owner], word_starts[np.maximum(word - AROUND, 0)], low)
+    until = np.where(next_word + AROUND < text_words[owner + 1], word_ends[np.minimum(next_word + AROUND, n_words) - 1], high)
     return owner, key, start - low, end - start, start - since, until - end
 
 
@@ -163,7 +209,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                     ["hash", "doc_id", "start", "size", "before", "after"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, f"hash long, doc_id {kind}, start int, size int, before int, after int")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(lean(run), f"hash long, doc_id {kind}, start int, size int, before int, after int")
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -171,6 +217,7 @@ def matches(docs: DataFrame) -> DataFrame:
     found = staged_table(chunk_table(docs), "chunks")
     repeated = (found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
                 .where("n > 1").select("hash", F.col("first.doc_id").alias("other"), F.col("first.start").alias("other_start")))
+    repeated = staged_table(repeated, "repeated_chunks")  # apart from the aggregate, so that Spark can split a chunk with very many rows
     again = found.join(repeated, "hash").where((F.col("doc_id") != F.col("other")) | (F.col("start") != F.col("other_start")))
     joined = staged_table(
         again.groupBy("doc_id", "other", (F.col("start") - F.col("other_start")).alias("shift"))
@@ -283,7 +330,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
     spans = "array<struct<start:bigint,end:bigint>>"
-    cleaned = joined.mapInArrow(run, f"{fields}, removed_lines long, removed_spans {spans}")
+    cleaned = joined.mapInArrow(lean(run), f"{fields}, removed_lines long, removed_spans {spans}")
     rest = untouched.withColumns({"removed_lines": F.lit(0).cast("long"), "removed_spans": F.array().cast(spans)})
     out = cleaned.unionByName(rest).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)], "removed_lines", "removed_spans")
     if "n_chars" in names:

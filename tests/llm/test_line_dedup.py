@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from conftest_llm import EDGE_TEXTS
@@ -98,9 +99,14 @@ def words_of(rng, n, tag):
     return " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
 
 
-def test_no_short_passage_is_missed(documents):
+def test_no_passage_of_the_stated_size_is_missed(documents):
     rng = random.Random(11)
-    passages = [" ".join(words_of(rng, rng.randrange(3, 15), f"p{k}_") + rng.choice([",", ".", ";"]) for _ in range(3 + k % 6)) for k in range(150)]
+    passages = []
+    for k in range(150):
+        clauses = []
+        while sum(c.count(" ") + 1 for c in clauses) < line_dedup.SURE + k % 20:
+            clauses.append(words_of(rng, rng.randrange(2, 12), f"p{k}_") + rng.choice([",", ".", ";"]))
+        passages.append(" ".join(clauses))
     texts = [f"{words_of(rng, 9, 'd')}. {words_of(rng, 3, 'e')}, {passages[i % 150]} {words_of(rng, 12, 'f')}." for i in range(300)]
     gone = removed(documents(texts))
     assert not any(gone[i] for i in range(150))
@@ -133,3 +139,71 @@ def test_long_edges_go(documents):
     passage = " ".join([*clauses, words_of(rng, 10, "m") + ".", words_of(rng, 10, "n") + ".", *clauses[::-1]])
     gone = removed(documents([f"Begin here. {passage} End", f"Another start. {passage} Stop"]))
     assert gone[1].decode().strip() == passage
+
+
+def test_boundaries_equal_all_stretches():
+    rng = random.Random(2)
+    for _ in range(300):
+        first, last, low, high, word = [], [], [], [], 0
+        for _ in range(rng.randrange(1, 4)):  # texts
+            begin, at = word, word + rng.randrange(3)
+            ends = begin
+            for _ in range(rng.randrange(8)):
+                ends = max(ends, at + rng.randrange(1, 15))
+                first.append(at)
+                last.append(ends)
+                at += rng.randrange(1, 7)
+            word = max(at, ends) + rng.randrange(3) + 1
+            low += [begin] * (len(first) - len(low))
+            high += [word] * (len(first) - len(high))
+        hashes = [rng.randrange(1000) * 1000 + i for i in range(len(first))]
+        for size in (9, 20):
+            expected = set()
+            for a, b in set(zip(low, high)):
+                for p in range(a, max(a, b - size) + 1):
+                    inside = [i for i in range(len(first)) if first[i] >= p and last[i] <= min(b, p + size)]
+                    if inside:
+                        expected.add(min(inside, key=hashes.__getitem__))
+            got = line_dedup._boundaries(*(np.array(x, np.int64) for x in (hashes, first, last, low, high)), size)
+            assert set(np.flatnonzero(got).tolist()) == expected
+
+
+def test_fewer_than_half_of_all_runs_are_chunks(spark):
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect() if r.text]
+    n_chunks, n_lines = 0, 0
+    for part in slices(pa.array(texts)):
+        n_chunks, n_lines = n_chunks + len(line_dedup.chunks(part)[0]), n_lines + len(line_dedup.lines(part)[0])
+    assert n_chunks < 0.5 * n_lines
+
+
+def test_repeats_equal_all_pairs_of_lines(spark):
+    """Every stretch of whole lines of the stated size that stands in an earlier document too is gone or stands there no more."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text}
+    gone = removed(docs)
+    listed = {}
+    for i, t in texts.items():
+        starts, bodies, ends = (x.tolist() for x in line_dedup.lines(next(slices(pa.array([t])))))
+        raw = t.encode()
+        listed[i] = [raw[a:b] for a, b in zip(starts, bodies)], [raw[a:b] for a, b in zip(starts, ends)]
+    ids, missed, there = sorted(listed), 0, 0
+    for place, i in enumerate(ids):
+        mine, whole = listed[i]
+        for j in ids[:place]:
+            other = listed[j][0]
+            at = {}
+            for k, line in enumerate(other):
+                at.setdefault(line, []).append(k)
+            k = 0
+            while k < len(mine):
+                best = 0
+                for o in at.get(mine[k], ()):
+                    n = 0
+                    while k + n < len(mine) and o + n < len(other) and mine[k + n] == other[o + n]:
+                        n += 1
+                    best = max(best, n)
+                if best >= 2 and sum(len(x.split()) for x in mine[k:k + best]) >= line_dedup.SURE + 15:
+                    there += 1
+                    missed += b"".join(whole[k:k + best]).strip() not in gone[i]
+                k += max(best, 1)
+    assert there > 0 and missed == 0

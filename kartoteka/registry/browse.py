@@ -22,6 +22,7 @@ from kartoteka.operators.aggregates import (
 from kartoteka.operators.filters import detail_by_key, keyword_search, modified_since, null_rows, where_ci
 from kartoteka.operators.project import item_view
 from kartoteka.operators.topk import best_per_key, first_match, full_sort, page, page_after
+from kartoteka.operators.zones import SortedTable
 from kartoteka.registry.base import Query, table
 from kartoteka.session import scratch
 
@@ -218,7 +219,27 @@ def union_unlike(spark, folder):
     return union_all_by_name([customer, supplier])
 
 
+def stored_page(spark, folder):
+    """Line items in files by price: a page three quarters down, by number."""
+    lines = table(spark, folder, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    stored = SortedTable(scratch(spark, "sorted"), ("l_extendedprice", "l_orderkey", "l_linenumber"), lines.schema).store(lines, files=32)
+    return stored.page_at(spark, 50, lines.count() * 3 // 4)
+
+
+def stored_page_after(spark, folder):
+    """The page of line items after a price that half of them have not reached."""
+    lines = table(spark, folder, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    stored = SortedTable(scratch(spark, "sorted"), ("l_extendedprice", "l_orderkey", "l_linenumber"), lines.schema).store(lines, files=32)
+    middle = lines.agg(F.round(F.avg("l_extendedprice"), 0)).first()[0]
+    return stored.page_after(spark, (middle, 0, 0), 50)
+
+
 QUERIES = {
+    "stored_page": Query(stored_page, """
+        SELECT l_extendedprice, l_orderkey, l_linenumber FROM lineitem ORDER BY ALL LIMIT 50 OFFSET (SELECT count(*) * 3 // 4 FROM lineitem)"""),
+    "stored_page_after": Query(stored_page_after, """
+        SELECT l_extendedprice, l_orderkey, l_linenumber FROM lineitem
+        WHERE l_extendedprice >= (SELECT round(avg(l_extendedprice), 0) FROM lineitem) ORDER BY ALL LIMIT 50"""),
     "list_page": Query(list_page, f"SELECT * FROM ({VIEW_SQL}) ORDER BY name, id LIMIT 50 OFFSET 10"),
     "list_page_after": Query(list_page_after, f"""
         SELECT * FROM ({VIEW_SQL}) WHERE segment > 'FURNITURE' OR (segment = 'FURNITURE' AND id > 40)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kartoteka.functions import text as tx
 from kartoteka.functions.nested import explode_components, map_to_list, pairs_to_map, to_json_text, wide_slots
-from kartoteka.operators.joins import denormalize, dim_lookup, unprocessed
+from kartoteka.operators.joins import denormalize, dim_lookup, join_hot, unprocessed
 from kartoteka.operators.project import card_projection, rename_select, with_audit
 from kartoteka.registry.base import Query, key_sql, table
 
@@ -42,6 +42,14 @@ def dim_override(spark, folder):
     return placed.withColumn("image", tx.template_url("http://flags/", "region", ".png"))
 
 
+def hot_join(spark, folder):
+    """Line items looked up among the parts; a third of them, those of every third order, are of one part."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 3 == 0, 7).when(F.col("l_orderkey") % 7 > 0, F.col("l_partkey")).alias("part"))
+    joined = join_hot(lines, table(spark, folder, "part").select("p_partkey", "p_name"), {"part": "p_partkey"}, "left")
+    return joined.groupBy("part", "p_name").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"))
+
+
 def star_join(spark, folder):
     orders = table(spark, folder, "orders").withColumn("placed", F.date_format("o_orderdate", "yyyy-MM-dd"))
     customer = table(spark, folder, "customer")
@@ -242,6 +250,10 @@ QUERIES = {
                      CASE n_name WHEN 'NATION_7' THEN '4' WHEN 'NATION_9' THEN '77' ELSE n_regionkey::VARCHAR END AS acronym
               FROM customer LEFT JOIN nation ON c_nationkey + 3 = n_nationkey)
         LEFT JOIN region ON acronym = r_regionkey::VARCHAR"""),
+    "hot_join": Query(hot_join, """
+        SELECT part, p_name, count(*) AS n, sum(l_orderkey)::BIGINT AS orders FROM (
+            SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 7 WHEN l_orderkey % 7 > 0 THEN l_partkey END AS part FROM lineitem)
+        LEFT JOIN part ON part = p_partkey GROUP BY 1, 2"""),
     "star_join": Query(star_join, """
         SELECT o_orderkey AS id, c_name AS name, r_name AS category, n_name AS country, o_totalprice AS price,
                strftime(o_orderdate, '%Y-%m-%d') AS placed

@@ -84,3 +84,29 @@ def test_measured_marks_only_small_sides(spark):
     small = spark.createDataFrame([(1, "x" * 100)], "k int, v string")
     plan = lambda df: spark.range(10).join(df, F.col("id") == F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(joins.measured(small)) and "broadcast" not in plan(joins.measured(small, max_bytes=50))
+
+
+def test_hot_keys_are_measured(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, 8).when(F.col("id") % 50 == 4, None).otherwise(F.col("id") + 100).alias("k"))
+    assert sorted(joins.hot_keys(df, "k")) == [7, 8]
+    assert joins.hot_keys(df.where("k > 100"), "k") == [] == joins.hot_keys(df.limit(0), "k")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_hot_key_leaves_no_large_task(spark, how):
+    left = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 7 == 1, None).otherwise(F.col("id") % 5000).alias("k")).repartition(8)
+    right = spark.range(4000).select(F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("v"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = joins.join_hot(left, right, {"k": "key"}, how)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        rows = sorted((r.id, r.v or "") for r in joined.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = sorted((r.id, r.v or "") for r in left.join(right, F.col("k") == F.col("key"), how).collect())
+    assert rows == expected
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]

@@ -15,8 +15,8 @@ Equal vectors are one entry with the smallest `k + 1` of their ids, so that copi
 out; keys end in a hash, so that a dense spot is cut into ranges as well. A query drops what is
 under the `k`-th best of a bounded sample of entries, which no result can be.
 
-Defined results: vectors that are null, zero, of another length than most, or with a component
-that is null or not finite take no part, nor do rows without id; a repeated id with an equal
+Defined results: vectors that are null, zero, or with a component that is null or not finite take no
+part, nor do rows without id; vectors of unlike length are no neighbours, and each length has a search of its own; a repeated id with an equal
 vector counts once; ties go to the smaller id; a query with fewer candidates gets all of them.
 Columns besides `vec_id` and `embedding` are not read.
 """
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +120,8 @@ def entries(vectors: DataFrame, k: int) -> DataFrame:
     """One row for each distinct vector: rep (its smallest id), ids (the k + 1 smallest) and vector, in double precision."""
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(x)))
-    common = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    if common is None:
-        return rows.select(F.col("vec_id").alias("rep"), F.array("vec_id").alias("ids"), "vector").limit(0)
     first = Window.partitionBy("vector").orderBy("vec_id")  # each task sends the first few of a vector only
-    ranked = (rows.where(F.size("vector") == common["size"]).withColumn("place", F.rank().over(first)).where(F.col("place") <= k + 1))
+    ranked = rows.withColumn("place", F.rank().over(first)).where(F.col("place") <= k + 1)
     return ranked.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "vector")
 
 
@@ -220,7 +218,13 @@ def _dealt(table: DataFrame, curves: Curves, reach: int, floors_from: np.ndarray
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, target: float = TARGET) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the nearest found of every query row."""
+    """query_id, rank (from 1), vec_id and score of the nearest found of every query row; each length of vector is searched by itself."""
+    lengths = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.size("embedding").alias("size")).distinct().collect()
+    found = [_nearest(vectors.where(F.size("embedding") == size), is_query, k, target) for size in sorted(r["size"] for r in lengths)]
+    return reduce(DataFrame.unionByName, found) if found else _nearest(vectors, is_query, k, target)
+
+
+def _nearest(vectors: DataFrame, is_query: Column, k: int, target: float) -> DataFrame:
     table = staged_table(entries(vectors.select(F.col("vec_id").cast("long"), "embedding"), k), "entries")
     asked = (vectors.where(is_query & F.col("vec_id").isNotNull() & usable(F.col("embedding")))
              .select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).distinct())

@@ -76,3 +76,13 @@ def test_edges(spark):
     assert [i for i, _ in results(curves.nearest(few, F.col("vec_id") == 0))[0]] == [70, 71]
     assert curves.nearest(df.limit(0), F.lit(True)).count() == 0
     assert curves.nearest(df, F.lit(False)).count() == 0
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8 if i % 5 else 4).tolist()) for i in range(200)] + [(200, [1.0])]
+    got = results(curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0))
+    expected = {}
+    for size in (4, 8):
+        expected.update(brute([(i, x) for i, x in rows if len(x) == size], lambda i: i % 20 == 0, 20))
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in expected.items()}

@@ -5,11 +5,12 @@ sample of labelled texts are used, those of clean texts too; document frequencie
 all documents. A term weighs its inverse document frequency times its relevance frequency,
 log2(2 + toxic / clean examples that have it), which is one at least: no term is left out.
 
-Rare terms of the examples are an inverted index. What the common ones can add at most is bounded
-for blocks of examples by their largest weight per term, and for each example by the length of its
-common part; common terms are only looked at for examples whose bound reaches the k-th best cosine,
-so that the nearest examples are exact. Their labels vote by similarity, together with the rate of
-all examples; votes are calibrated on the examples themselves, each left out once.
+Terms that many examples have are a dense matrix, multiplied for many texts at once. The others are
+an inverted index by blocks of examples, with the largest weight of each term in a block. Blocks go
+in the order of their bounds, what the common terms add at most and the sum of these largest weights,
+and no further once no bound reaches the k-th best cosine; cosines too near to each other to be told
+apart are computed again in double precision, so that the nearest examples are exact. Their labels vote by similarity,
+together with the rate of all examples; votes are calibrated on the examples, each left out once.
 
 Texts are read twice, for the document frequencies and for the scores; nothing of them is written.
 
@@ -23,23 +24,28 @@ the labels) are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartoteka.llm.letters import HashTable, LetterRuns, tables
-from kartoteka.llm.memory import lean
+from kartoteka.llm.memory import lean, release
 from kartoteka.llm.spans import Texts, slices
 from kartoteka.operators.tables import staged_table
 
 TRAINING_TEXTS = 8_000  # labelled examples, at most
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
-BLOCK = 64  # examples in a block
-COMMON = 4  # a term that more than one in so many examples has is common
+BLOCK = 4000  # examples in a block
+COMMON = 16  # a term that more than one in so many examples has is common
+TOGETHER = 64  # texts whose common terms are multiplied at once
+_SLACK = 1e-5  # more than the errors of single precision
+_LEAST = 1e-7  # less than what one common term adds
 PRIOR_WEIGHT = 0.2  # similarity that the rate without evidence is worth
 
 
@@ -114,59 +120,96 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
 
 
 class BlockMaxIndex:
-    """Weighted examples: postings of rare terms; common terms by example, with the largest weight in each block of examples."""
+    """Weighted examples in blocks: postings of rare terms with the largest weight in each block; common terms as a dense matrix.
+
+    The common part is in single precision; where its errors could decide, it is computed again in double precision.
+    """
 
     def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         """`examples`: term places and weights (of length one) of each example, in the order in which ties are broken."""
         sizes = [len(t) for t, _ in examples]
-        terms = np.concatenate([t for t, _ in examples]) if sizes else np.zeros(0, np.int64)
-        weights = np.concatenate([w for _, w in examples]) if sizes else np.zeros(0)
-        example = np.repeat(np.arange(len(examples)), sizes)
-        self.n, self.block = len(examples), block
-        frequent = np.bincount(terms, minlength=n_terms) > max(1, len(examples) / COMMON)
-        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1)  # of a common term
-
-        rare = ~frequent[terms]
-        order = np.flatnonzero(rare)[np.argsort(terms[rare], kind="stable")]
-        self.examples, self.weights = example[order].astype(np.int32), weights[order]
-        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
-
-        self.common, self.common_weights = self.column[terms[~rare]].astype(np.int32), weights[~rare]
-        self.common_starts = np.searchsorted(example[~rare], np.arange(self.n + 1))
-        self.lengths = np.sqrt(np.bincount(example[~rare], self.common_weights**2, self.n))
-        self.most = np.zeros((int(frequent.sum()), -(-max(1, self.n) // block)))
-        np.maximum.at(self.most, (self.common, example[~rare] // block), self.common_weights)
-        self.asked = np.zeros(len(self.most))
-
-    def _common_parts(self, examples: np.ndarray) -> np.ndarray:
-        """What the common terms add for the given examples."""
-        sizes = self.common_starts[examples + 1] - self.common_starts[examples]
-        at = np.arange(sizes.sum()) + np.repeat(self.common_starts[examples] - (np.cumsum(sizes) - sizes), sizes)
-        return np.bincount(np.repeat(np.arange(len(examples)), sizes), self.common_weights[at] * self.asked[self.common[at]], len(examples))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a common term, without the example `skip`."""
-        column = self.column[terms]
-        rare = column < 0
+        self.own_terms = np.concatenate([t for t, _ in examples]).astype(np.int32) if sizes else np.zeros(0, np.int32)
+        self.own_weights = np.concatenate([w for _, w in examples]) if sizes else np.zeros(0)
+        self.own_starts = np.cumsum([0, *sizes])
+        example = np.repeat(np.arange(len(examples), dtype=np.int32), sizes)
+        self.n, self.block, self.n_blocks = len(examples), block, -(-max(1, len(examples)) // block)
+        frequent = np.bincount(self.own_terms, minlength=n_terms) > max(1, len(examples) / COMMON)
+        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)  # of a common term
+        self.common = np.zeros((int(frequent.sum()), self.n_blocks * block), np.float32)
+        dense = frequent[self.own_terms]
+        self.common[self.column[self.own_terms[dense]], example[dense]] = self.own_weights[dense]
+
+        rare = np.flatnonzero(~dense)
+        key = self.own_terms[rare].astype(np.int64) * self.n_blocks + example[rare] // block
+        order = np.argsort(key, kind="stable")
+        self.examples, self.weights = (example[rare[order]] % block).astype(np.intp), self.own_weights[rare[order]]
+        self.starts = np.searchsorted(key[order], np.arange(n_terms * self.n_blocks + 1))
+        self.most = np.zeros(n_terms * self.n_blocks, np.float32)
+        np.maximum.at(self.most, key, self.own_weights[rare].astype(np.float32))
+        self.most = self.most.reshape(n_terms, self.n_blocks)
+        self.asked = np.zeros(n_terms)
+
+    def _exact(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        self.asked[terms] = weights
+        sizes = self.own_starts[examples + 1] - self.own_starts[examples]
+        at = np.arange(sizes.sum()) + np.repeat(self.own_starts[examples] - (np.cumsum(sizes) - sizes), sizes)
+        out = np.bincount(np.repeat(np.arange(len(examples)), sizes), self.asked[self.own_terms[at]] * self.own_weights[at], len(examples))
+        self.asked[terms] = 0
+        return out
+
+    def _ranked(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest, from what the common terms add for every example. Blocks go by their bounds, until none reaches the k-th best."""
+        by_block = scores.reshape(self.n_blocks, self.block)
+        rare = self.column[terms] < 0
         t, w = terms[rare], weights[rare]
-        sizes = self.starts[t + 1] - self.starts[t]
-        at = np.arange(sizes.sum()) + np.repeat(self.starts[t] - (np.cumsum(sizes) - sizes), sizes)
-        scores = np.bincount(self.examples[at], self.weights[at] * np.repeat(w, sizes), self.n)
-        column, w = column[~rare], weights[~rare]
-        by_block = np.repeat(w @ self.most[column], self.block)[:self.n]
-        bounds = scores + np.minimum(by_block, self.lengths * np.linalg.norm(w))
-        if 0 <= skip < self.n:
-            bounds[skip] = 0
-        self.asked[column] = w
-        first = np.argpartition(-bounds, 2 * k)[:2 * k] if self.n > 2 * k else np.arange(self.n)
-        least = np.sort(np.round(scores[first] + self._common_parts(first), 12) * (first != skip))[-k] if len(first) >= k else 0.0
-        found = np.flatnonzero((bounds > 0) & (bounds >= least - 1e-9))
-        cosines = scores[found] + self._common_parts(found)
-        self.asked[column] = 0
+        bounds = by_block.max(axis=1) + w @ self.most[t]
+        if skip >= 0:
+            scores[skip] = -1
+        least, seen = 0.0, np.zeros(0, np.float32)
+        candidates, values = [], []
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] < least - _SLACK or bounds[b] <= 0:
+                break
+            first = self.starts[t * self.n_blocks + b]
+            sizes = self.starts[t * self.n_blocks + b + 1] - first
+            at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+            at += np.arange(len(at))
+            own = by_block[b] + np.bincount(self.examples[at], self.weights[at] * np.repeat(w, sizes), self.block)
+            near = np.flatnonzero(own >= max(least - _SLACK, _LEAST))
+            candidates.append(near + b * self.block)
+            values.append(own[near])
+            seen = np.concatenate([seen, own[near]])
+            if len(seen) > k:
+                seen = -np.partition(-seen, k - 1)[:k]
+            least = float(seen.min()) if len(seen) >= k else 0.0
+        found = np.concatenate(candidates) if candidates else np.zeros(0, np.int64)
+        cosines = np.concatenate(values) if values else np.zeros(0)
+        best = np.flatnonzero(cosines >= least - _SLACK)
+        best = best[np.argsort(-cosines[best], kind="stable")]
+        found, cosines = found[best], cosines[best]
+        near = np.append(cosines[:-1] - cosines[1:] < 2 * _SLACK, False)
+        near = np.flatnonzero(near | np.append(False, near[:-1]) | (cosines < 2 * _SLACK))  # whose order is open
+        if len(near):
+            cosines[near] = self._exact(found[near], terms, weights)
         found, cosines = found[cosines > 0], cosines[cosines > 0]
         best = np.lexsort((found, -np.round(cosines, 12)))[:k]
         return found[best], cosines[best]
 
+    def nearest_of(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest with a common term of each of many term vectors, without the example to skip."""
+        for start in range(0, len(asked), TOGETHER):
+            part = asked[start:start + TOGETHER]
+            common = np.zeros((len(part), len(self.common)), np.float32)
+            for i, (terms, weights) in enumerate(part):
+                column = self.column[terms]
+                common[i, column[column >= 0]] = weights[column >= 0]
+            scores = common @ self.common
+            for i, (terms, weights) in enumerate(part):
+                yield self._ranked(scores[i], terms, weights, k, skip[start + i] if skip else -1)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.nearest_of([(terms, weights)], k, [skip]))
+
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the non-decreasing step function nearest to y, by pooling neighbours that are out of order."""
@@ -190,23 +233,42 @@ class Votes:
 
     def __init__(self, model: dict[str, Any]):
         self.term_weights, self.labels, self.rate, self.blank = model["term_weights"], model["labels"], model["rate"], model["blank"]
-        self.index = BlockMaxIndex(model["examples"], len(self.term_weights))
-        self.curve = model.get("curve")
+        at = np.cumsum([0, *model["sizes"]])
+        self.texts = [(model["places"][a:b], model["times"][a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        self.index = BlockMaxIndex([(t, weigh(self.term_weights, t, times)) for t, times in self.texts], len(self.term_weights))
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> Iterator[tuple[float, np.ndarray]]:
+        """(share of toxic votes, the nearest examples) of texts as the places of their terms and how often each occurs."""
+        asked = [(terms, weigh(self.term_weights, terms, times)) for terms, times in texts]
+        for near, cosines in self.index.nearest_of(asked, NEIGHBOURS, skip):
+            yield float((cosines @ self.labels[near] + PRIOR_WEIGHT * self.rate) / (cosines.sum() + PRIOR_WEIGHT)), near
 
-    def vote(self, terms: np.ndarray, times: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of toxic votes, the nearest examples, their cosines)."""
-        if not len(terms):
-            return self.rate, np.zeros(0, np.int64), np.zeros(0)
-        near, cosines = self.index.nearest(terms, weigh(self.term_weights, terms, times), NEIGHBOURS, skip)
-        return float((cosines @ self.labels[near] + PRIOR_WEIGHT * self.rate) / (cosines.sum() + PRIOR_WEIGHT)), near, cosines
+    def left_out(self, which: list[int]) -> list[float]:
+        """Shares of some examples, each without its own vote."""
+        return [share for share, _ in self.votes([self.texts[i] for i in which], which)]
 
-    def calibrated(self, share: float) -> float:
-        return share if self.curve is None else float(np.interp(share, *self.curve))
+
+def votes_of(shared: Broadcast) -> Votes:
+    """The index over the broadcast examples, which each worker process builds once."""
+    if "votes" not in shared.value:
+        shared.value["votes"] = Votes(shared.value)
+    return shared.value["votes"]
+
+
+def calibration(spark: SparkSession, shared: Broadcast, labels: np.ndarray, blank: float, empty: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The curve from shares to scores, learned from all examples; the index is built in the tasks, not on the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes = votes_of(shared)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes.left_out(batch.column(0).to_pylist()), pa.float64())], ["id", "share"])
+
+    found = spark.range(0, len(labels), 1, max(1, len(labels) // 500)).mapInArrow(run, "id long, share double").toArrow().sort_by("id")  # a row for each example
+    return isotonic(np.concatenate([found["share"].to_numpy(), np.full(len(empty), blank)]), np.concatenate([labels, np.array(empty, float)]))
 
 
 def weigh(term_weights: np.ndarray, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
     w = (1 + np.log(times)) * term_weights[terms]
-    return w / np.linalg.norm(w)
+    return w / np.linalg.norm(w) if len(w) else w
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAINING_TEXTS) -> dict[str, Any]:
@@ -226,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAIN
         sample = sample.orderBy("doc_id", "text").limit(4 * limit)
     own = example_terms(sample).toArrow()
     rows = sorted(((i, x, t.values.to_numpy().view(np.uint64), n.values.to_numpy()) for i, x, t, n in
-                   zip(own["doc_id"].to_pylist(), own["label"].to_pylist(), own["terms"], own["times"], strict=True)), key=lambda x: (x[0], x[2].tobytes(), x[3].tobytes()))
+                   zip(own["doc_id"].to_pylist(), own["label"].to_pylist(), own["terms"], own["times"], strict=True)), key=lambda x: (x[0], blake2b(x[2].tobytes() + x[3].tobytes()).digest()))
     filled, empty = [x for x in rows if len(x[2])], [x[1] for x in rows if not len(x[2])]
     every = np.concatenate([t for _, _, t, _ in filled]) if filled else np.zeros(0, np.uint64)
     terms, places = np.unique(every, return_inverse=True)
@@ -235,17 +297,15 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = TRAIN
     sizes, marks = [len(t) for _, _, t, _ in filled], np.array([x for _, x, _, _ in filled], float)
     toxic = np.bincount(places, np.repeat(marks, sizes), len(terms))
     clean = np.bincount(places, minlength=len(terms)) - toxic
+    times = np.concatenate([t for *_, t in filled]).astype(np.int32) if filled else np.zeros(0, np.int32)
+    ids = [x[0] for x in filled]
+    del rows, filled
+    release()
     n_docs, df = document_frequencies(docs, terms)
     term_weights = (np.log((1 + n_docs) / (1 + df)) + 1) * np.log2(2 + toxic / np.maximum(1, clean))
-    at = np.cumsum([0, *sizes])
-    vectors = [(places[at[i]:at[i + 1]], times) for i, (_, _, _, times) in enumerate(filled)]
     rate = totals.toxic / totals.n
-    model = {"terms": terms, "term_weights": term_weights, "labels": marks, "ids": [x[0] for x in filled], "rate": rate,
-             "blank": (sum(empty) + rate) / (len(empty) + 1), "examples": [(t, weigh(term_weights, t, times)) for t, times in vectors]}
-    votes = Votes(model)
-    shares = [votes.vote(t, times, skip=i)[0] for i, (t, times) in enumerate(vectors)] + [votes.blank] * len(empty)
-    model["curve"] = isotonic(np.array(shares), np.array([*marks.tolist(), *empty], float))
-    return model
+    return {"terms": terms, "term_weights": term_weights, "labels": marks, "ids": ids, "rate": rate, "empty": empty,
+            "blank": (sum(empty) + rate) / (len(empty) + 1), "places": places, "times": times, "sizes": sizes}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
@@ -255,22 +315,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFr
     if not model:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(f"array<{kind}>").alias("evidence"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    marks, blank, empty = model["labels"], model["blank"], model["empty"]
     model.clear()  # the executors have it; the driver needs it no longer
+    release()
+    curve = calibration(docs.sparkSession, shared, marks, blank, empty)
     id_type = pa.int64() if kind == "bigint" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = tables(shared)
-        if "votes" not in value:
-            value["votes"] = Votes(value)
-        votes: Votes = value["votes"]
+        value, votes = tables(shared), votes_of(shared)
         for batch in batches:
             for texts in slices(batch.column(1)):
                 scores, evidence = [], []
                 bounds, terms, times, any_term = _known_terms(texts, value)
-                for i in range(len(texts)):
-                    a, b = bounds[i], bounds[i + 1]
-                    share, near, _ = votes.vote(terms[a:b], times[a:b])
-                    scores.append(votes.calibrated(share if any_term[i] else votes.blank))
+                asked = [(terms[a:b], times[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                for i, (share, near) in enumerate(votes.votes(asked)):
+                    scores.append(float(np.interp(share if any_term[i] else votes.blank, *curve)))
                     evidence.append([value["ids"][j] for j in near[:3].tolist()])
                 found = np.clip(np.array(scores), 0, 1)
                 yield pa.RecordBatch.from_arrays(

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kartoteka.llm.memory import lean
 from kartoteka.llm.spans import Texts, slices
 
-CACHED_PIECES, CACHED_BYTES = 150_000, 4 << 20  # of both, whichever is reached first
+CACHED_PIECES, CACHED_BYTES = 250_000, 6 << 20  # of both, whichever is reached first
 LONG_PIECE = 48  # bytes; longer ones are merged one by one
 
 # Classes of code points. A white space is `WHITE` where another one or the end follows.

@@ -6,9 +6,10 @@ algorithm finds in time linear in its length. Probabilities are learned by expec
 maximisation: the expected number of times a piece is used, over all segmentations of the words
 of a bounded sample of texts. A text's score is the posterior of its best language.
 
-Words are runs of letters, in lower case, with a mark in front; runs of over `LONGEST` letters
-are scored in parts, so that nothing is left out. All words of a slice are scored at once as
-arrays, each distinct word once.
+Words are runs of letters, in lower case, with a mark in front. Pieces are as long as the vocabulary
+has them, and a word of any length is scored as a whole: of the sums so far only as many are kept as
+the longest piece has letters, rescaled on the way. All words of a slice are scored at once as arrays,
+each distinct word once. Learning alone counts uses in parts of `TAUGHT` letters of a run.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every
 text if nothing can be learned; ties go to the first language by name; equal texts get equal
@@ -32,11 +33,12 @@ from kartoteka.operators.tables import staged_table
 
 TRAINING_TEXTS = 300  # labelled texts of each language that are learned from, at most
 ROUNDS = 3
-LONGEST, MAX_PIECE = 24, 8
+TAUGHT = 24  # letters of the parts that long runs are learned from
+RESCALED = 8  # letters from one rescaling to the next
 UNKNOWN = 1e-7  # probability of a letter that is no piece
 UNDETERMINED = "und"
 _MARK = ord("▁")
-_CACHED = 200_000
+_CACHED, _TOGETHER = 200_000, 20_000
 
 
 def read_pieces(path: str) -> list[str]:
@@ -44,7 +46,7 @@ def read_pieces(path: str) -> list[str]:
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.vocab_size()))
-    return sorted({p for p in pieces if len(p) <= MAX_PIECE and p.lstrip("▁").isalpha() and len(p) - len(p.lstrip("▁")) <= 1} | {"▁"})
+    return sorted({p for p in pieces if p.lstrip("▁").isalpha() and len(p) - len(p.lstrip("▁")) <= 1} | {"▁"})
 
 
 def _hash_step(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -52,22 +54,26 @@ def _hash_step(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 def piece_table(pieces: Sequence[str]) -> HashTable:
+    """Pieces by a hash that takes their letters from the last to the first; `longest` is the most letters of one."""
     keys = []
     for piece in pieces:
         key = np.zeros(1, np.uint64)
-        for c in piece:
+        for c in reversed(piece):
             key = _hash_step(key, np.array([ord(c)]))
         keys.append(key[0])
-    return HashTable(np.array(keys, np.uint64))
+    table = HashTable(np.array(keys, np.uint64))
+    table.longest = max(map(len, pieces), default=1)
+    return table
 
 
 def _matches(words: np.ndarray, table: HashTable, unknown: int) -> np.ndarray:
     """Piece at [m, w, i]: of m + 1 letters from place i of word w, -1 if none; single letters are always found."""
     count, size = words.shape
-    out = np.full((MAX_PIECE, count, size), -1, np.int32)
-    keys = np.zeros((count, size), np.uint64)
-    for m in range(min(MAX_PIECE, size)):
-        keys = _hash_step(keys[:, :size - m], words[:, m:])
+    most = min(table.longest, size)
+    out = np.full((most, count, size), -1, np.int32)
+    keys = np.zeros((count, size + 1), np.uint64)
+    for m in range(most):
+        keys = _hash_step(keys[:, 1:], words[:, :size - m])
         out[m, :, :size - m] = table.find(keys.ravel()).reshape(keys.shape)
     out[0][out[0] < 0] = unknown
     return out
@@ -84,7 +90,7 @@ def forward(words: np.ndarray, table: HashTable, probabilities: np.ndarray) -> t
     alpha = np.zeros((size + 1, count, probabilities.shape[1]))
     alpha[0] = 1
     for j in range(1, size + 1):
-        for m in range(min(MAX_PIECE, j)):
+        for m in range(min(len(matches), j)):
             alpha[j] += alpha[j - m - 1] * p[matches[m, :, j - m - 1]]
     return alpha, matches, p
 
@@ -105,9 +111,38 @@ def _with_mark(points: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 def word_scores(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: HashTable, probabilities: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.zeros((len(starts), probabilities.shape[1]))
-    for size, which in _by_length(ends - starts):
-        alpha, *_ = forward(_with_mark(points, starts[which], size), table, probabilities)
-        out[which] = np.log(alpha[-1])
+    order = np.argsort(starts - ends, kind="stable")  # longest first: words that go on are the first ones
+    for k in range(0, len(order), _TOGETHER):
+        which = order[k:k + _TOGETHER]
+        out[which] = _sums(points, starts[which], ends[which] - starts[which], table, probabilities)
+    return out
+
+
+def _sums(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: HashTable, probabilities: np.ndarray) -> np.ndarray:
+    """The same for words by falling length, letter by letter, with a window of sums."""
+    out = np.empty((len(starts), probabilities.shape[1]))
+    scale = np.zeros_like(out)
+    window = [np.ones_like(out)]  # sums up to each of the last places, newest first
+    going = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0) + 2), side="right")  # words of at least so many letters
+    for j in range(int(lengths.max(initial=0)) + 1):  # place 0 is the mark, place j the letter j - 1
+        n = going[j]
+        keys = np.zeros((min(table.longest, j + 1), n), np.uint64)
+        for m in range(len(keys)):
+            letters = np.full(n, _MARK, np.uint32) if j == m else points[starts[:n] + (j - m - 1)]
+            keys[m] = _hash_step(keys[m - 1] if m else keys[0], letters)
+        found = table.find(keys.ravel()).reshape(keys.shape)
+        found[0][found[0] < 0] = len(probabilities) - 1
+        total = window[0][:n] * probabilities[found[0]]
+        for m in range(1, len(keys)):
+            at = np.flatnonzero(found[m] >= 0)
+            if len(at):
+                total[at] += window[m][at] * probabilities[found[m, at]]
+        window = [total, *window[:table.longest - 1]]
+        if j % RESCALED == RESCALED - 1:
+            scale[:n] += np.log(total)
+            window = [w[:n] / total for w in window]
+        done = slice(going[j + 1], n)
+        out[done] = np.log(window[0][done]) + scale[done]
     return out
 
 
@@ -124,9 +159,9 @@ def expected_uses(words: Sequence[str], counts: np.ndarray, table: HashTable, pr
         beta = np.zeros((size + 1, len(which)))
         beta[size] = 1
         for i in range(size - 1, -1, -1):
-            for m in range(min(MAX_PIECE, size - i)):
+            for m in range(min(len(matches), size - i)):
                 beta[i] += p[matches[m, :, i], 0] * beta[i + m + 1]
-        for m in range(min(MAX_PIECE, size)):
+        for m in range(len(matches)):
             for i in range(size - m):
                 found = matches[m, :, i]
                 used = alpha[i, :, 0] * p[found, 0] * beta[i + m + 1] * weight
@@ -134,10 +169,6 @@ def expected_uses(words: Sequence[str], counts: np.ndarray, table: HashTable, pr
     return uses
 
 
-def _runs(texts, letters: np.ndarray) -> LetterRuns:
-    return LetterRuns(texts, letters, LONGEST)
-
-
 def _training_words(sample: DataFrame, shared) -> DataFrame:
     """(language, word, count) of the sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +176,7 @@ def _training_words(sample: DataFrame, shared) -> DataFrame:
         for batch in batches:
             languages = batch.column(0).to_pylist()
             for texts in slices(batch.column(1)):
-                runs = _runs(texts, letters)
+                runs = LetterRuns(texts, letters, TAUGHT)
                 text = runs.points.astype(np.uint32).tobytes().decode("utf-32-le")
                 counted: dict[tuple[str, str], int] = {}
                 for i, a, b in zip(runs.owner.tolist(), runs.starts.tolist(), runs.ends.tolist(), strict=True):
@@ -248,7 +279,7 @@ def predict(docs: DataFrame, model: dict[str, Any]) -> DataFrame:
         score = _scorer(value)
         for batch in batches:
             for texts in slices(batch.column(1)):
-                runs = _runs(texts, value["letters"])
+                runs = LetterRuns(texts, value["letters"])
                 filled = (np.diff(runs.bounds) > 0) & bool(languages)
                 names, best = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
                 if filled.any():

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import itertools
+import math
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +54,38 @@ def test_all_segmentations_are_summed(word, probabilities):
         assert expected == pytest.approx(2 * uses)
 
 
+def plain(word, pieces, p, k):
+    """Log of the sum over all segmentations, in exact arithmetic."""
+    word = "▁" + word
+    sums = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        total = Fraction(0)
+        for i in range(j):
+            part = word[i:j]
+            if part in pieces or len(part) == 1:
+                total += sums[i] * Fraction(float(p[pieces.index(part) if part in pieces else -1, k]))
+        sums.append(total)
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_long_pieces_and_runs_as_wholes():
+    pieces = [*PIECES, "abcabcabcabc", "▁cabcabcabcabca", "bcabcabc"]
+    p = np.random.default_rng(3).random((len(pieces) + 1, 2)) / 1e4
+    p[-1] = language.UNKNOWN
+    words = ["abc" * 20, "cabcabcabcabcabca", "z" * 61, "a", "abcabcabcabc" * 13 + "zz", "b", "zabcabcabcabcz", "ab" * 200]
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) for w in words])
+    got = language.word_scores(points, ends - [len(w) for w in words], ends, language.piece_table(pieces), p)
+    for word, scores in zip(words, got):
+        assert scores == pytest.approx([plain(word, pieces, p, k) for k in range(2)])
+    assert language.word_scores(points, ends[:0], ends[:0], language.piece_table(pieces), p).shape == (0, 2)
+
+
+def test_all_letter_pieces_of_the_vocabulary_are_read():
+    pieces = language.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 12 and len(pieces) == len(set(pieces))
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     rows = op4_language(spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -26,14 +26,12 @@ def grams(text: str | Column, size: int = GRAM) -> Column:
     """The distinct runs of `size` characters of a text; none of a text that is shorter."""
     if size == 0:
         return F.array(F.lit(""))
-    out = characters = F.split(text, "")
-    for k in range(1, size):
-        out = F.zip_with(out, F.slice(characters, k + 1, F.size(characters)), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.filter(out, lambda g: g.isNotNull() & (F.length(g) == size)))
+    # one compiled expression: lambdas over arrays are interpreted for each character, and keep explode and join from being compiled together
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1)))
 
 
-def _grams_of_sizes(text: str, sizes: Sequence[int]) -> Column:
-    return F.flatten(F.array(*[grams(text, n) for n in sizes]))
+def _grams_of_sizes(text: str | Column, sizes: Sequence[int]) -> Column:
+    return grams(text, sizes[0]) if len(sizes) == 1 else F.flatten(F.array(*[grams(text, n) for n in sizes]))
 
 
 def gram_counts(data: DataFrame, text: str, among: DataFrame | None = None, sizes: Sequence[int] = (GRAM,)) -> DataFrame:
@@ -74,9 +72,10 @@ def containing(data: DataFrame, text: str, terms: DataFrame, term: str, counts:
         short = sought.where(F.length(term) < GRAM).select(F.col(term).alias("gram"))
         counts = counts.unionByName(gram_counts(data, text, short, [n for n in sizes if n < GRAM]))
     chosen = staged_table(rarest_grams(sought, term, counts), "rarest_grams")
-    rows = data.where(F.col(text).isNotNull()).withColumn("__gram", F.explode(_grams_of_sizes(F.lower(text), sizes)))
+    # lower case once for each text, not for each of its grams
+    rows = data.where(F.col(text).isNotNull()).withColumn("__lower", F.lower(text)).withColumn("__gram", F.explode(_grams_of_sizes("__lower", sizes)))
     met = rows.join(measured(chosen.withColumnRenamed("gram", "__chosen")), F.col("__gram") == F.col("__chosen"))
-    return met.where(F.contains(F.lower(text), F.col(term))).select(*data.columns, term)
+    return met.where(F.contains("__lower", F.col(term))).select(*data.columns, term)
 
 
 def first_containing(
@@ -109,6 +108,6 @@ def first_contained(
         first = F.get(F.filter(F.array(*pairs), lambda p: F.contains(F.lower(text), p["term"])), F.lit(0))["take"] if pairs else F.lit(None).cast("string")
         return df.withColumn(out, first)
     found = containing(df.select(key, F.col(text).alias("__text")), "__text", listed.select("__term"), "__term").drop("__text")
-    named = join_spread(found, listed.withColumnRenamed("__term", "__listed"), {"__term": "__listed"})
+    named = join_spread(found, measured(listed.withColumnRenamed("__term", "__listed")), {"__term": "__listed"})
     best = named.groupBy(F.col(key).alias("__key")).agg(F.min_by("__take", F.struct("__rank", "__term", "__take")).alias(out))
     return join_spread(df, best, {key: "__key"}).drop("__key")

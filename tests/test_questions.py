@@ -148,3 +148,20 @@ def test_first_contained_keeps_every_row(spark):
         assert {(r.t, r.out) for r in got.collect()} == {
             ("t0", "any"), ("t1", "any"), ("t2", "any"), ("t3", "three"), ("t4", "four"), ("t5", "any"), ("t6", "any")}
         assert sum(r["count"] for r in got.collect()) == 1000
+
+
+def test_grams_are_cut_in_compiled_code(spark, tmp_path):
+    """Lambdas over arrays are interpreted, and keep what reads them out of the compiled stage."""
+    spark.range(50).select("id", F.concat(F.lit("Item "), "id").alias("t")).write.parquet(str(tmp_path / "t"))
+    data = spark.read.parquet(str(tmp_path / "t"))
+    terms = spark.createDataFrame([("item 4",), ("em 7",)], "term string")
+    found = containing(data, "t", terms, "term")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Contains(lower(" not in plan
+    assert sorted((r.id, r.term) for r in found.collect()) == sorted([(i, "item 4") for i in (4, *range(40, 50))] + [(7, "em 7")])
+
+
+def test_grams_of_long_texts_with_line_ends_and_rare_signs(spark):
+    text = "".join(chr(0x61 + i % 26) + ("\n" if i % 7 == 0 else "😀" if i % 11 == 0 else "") for i in range(5_000))
+    got = spark.createDataFrame([(text,)], "t string").select(grams("t")).first()[0]
+    assert sorted(got) == sorted({text[i:i + 3] for i in range(len(text) - 2)})

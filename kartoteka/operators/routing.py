@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartoteka.functions.text import drop_words, has_word, is_blank, strip
-from kartoteka.operators.joins import join_spread
+from kartoteka.operators.joins import join_spread, measured
 from kartoteka.operators.matching import first_contained, first_containing
 from kartoteka.operators.tables import staged_table
 from kartoteka.operators.topk import merge_top
@@ -143,7 +143,8 @@ def route_questions(
         .unionByName(by_place.select(*as_hit("place", item_place, F.col("rank"), item_key, item_name, item_place), *card))
         .unionByName(by_name.select(*as_hit("name", "subject", F.col("rank"), item_key, item_name, item_place), *card))
     )
-    answered = join_spread(asked, hits, {"route": "__route", "subject": "__subject"})
+    # few subjects may have most of the questions: these stay where they are if the answers are small
+    answered = join_spread(asked, measured(staged_table(hits, "hits")), {"route": "__route", "subject": "__subject"})
     kind = (
         F.when(F.col("route") == "empty_query", "empty_query")
         .when(F.col("rank").isNull(), "no_results")

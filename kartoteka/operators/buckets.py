@@ -74,7 +74,8 @@ class KeyBuckets:
     def _stored(self, spark: SparkSession, path: str, extra: str, kind: T.DataType) -> DataFrame:
         schema = T.StructType([*self.schema.fields, T.StructField(extra, kind)])
         if not _exists(spark, path):
-            return spark.createDataFrame([], schema)
+            # known to be empty before anything runs, so that what meets it is not shuffled
+            return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).limit(0)
         return spark.read.schema(schema).parquet(path)
 
     def create(self, rows: DataFrame) -> None:
@@ -86,8 +87,10 @@ class KeyBuckets:
 
     def _write(self, rows: DataFrame, path: str) -> None:
         # one file for each bucket
-        (rows.withColumn(_BUCKET, self.number()).repartition(_BUCKET).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path))
+        self._put(rows.withColumn(_BUCKET, self.number()).repartition(_BUCKET), path)
+
+    def _put(self, numbered: DataFrame, path: str) -> None:
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path)
 
     def _write_keyless(self, rows: DataFrame, path: str, batch: str) -> None:
         (rows.withColumn(_BATCH, F.lit(batch)).write.mode("overwrite")
@@ -119,22 +122,25 @@ class KeyBuckets:
         return met.where(F.coalesce(F.col(version) > F.col("__stored"), F.col("__stored").isNull())).select(self.schema.names)
 
     def merge(self, staged: DataFrame, update_cols: Sequence[str], newest_by: Sequence[Column] | None = None, batch: str = "0",
-              version: str | None = None) -> list[int]:
+              version: str | None = None, once: bool = False) -> list[int]:
         """Upsert the staged rows and return the numbers of the buckets that were written.
 
         With a `version` column, staged rows no newer than what is stored are late and change nothing.
+        Staged rows that are read from files and have no key twice, as those of `load_changes`, may say `once`:
+        they are then neither written nor shuffled to find that out.
         """
         spark, pending = staged.sparkSession, self._pending(batch)
         if not _exists(spark, f"{pending}/done/_SUCCESS"):
             _remove(spark, f"{self.root}/pending")  # earlier batches are in the table
-            staged = staged_table(staged.select(self.schema.names), "staged")
+            staged = staged.select(self.schema.names)
+            staged = staged if once else staged_table(staged, "staged")
             numbers = self.touched(staged)
             there = self.read_buckets(spark, numbers).drop(_BUCKET)
             if version is not None:
                 staged = staged_table(self._not_older(staged, there, version), "in_time")
-            self._write(upsert(there, staged.where(self._has_key()), self.keys, update_cols, newest_by), f"{pending}/keyed")
+            self._write(upsert(there, staged.where(self._has_key()), self.keys, update_cols, newest_by, once), f"{pending}/keyed")
             self._write_keyless(staged.where(~self._has_key()), f"{pending}/keyless", batch)
             spark.createDataFrame([(n,) for n in numbers], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{pending}/done")
-        self._write(self._stored(spark, f"{pending}/keyed", _BUCKET, T.IntegerType()).drop(_BUCKET), self._keyed)
+        self._put(self._stored(spark, f"{pending}/keyed", _BUCKET, T.IntegerType()), self._keyed)  # files of one bucket each, which need no shuffle
         self._write_keyless(self._stored(spark, f"{pending}/keyless", _BATCH, T.StringType()).drop(_BATCH), self._keyless, batch)
         return sorted(r.bucket for r in spark.read.parquet(f"{pending}/done").collect())

@@ -68,16 +68,16 @@ def latest_staged(staged: DataFrame, keys: Sequence[str], newest_by: Sequence[Co
 
 
 def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str], update_cols: Sequence[str],
-           newest_by: Sequence[Column] | None = None) -> DataFrame:
+           newest_by: Sequence[Column] | None = None, once: bool = False) -> DataFrame:
     """The target after a merge: matched rows take the staged `update_cols`, new keys are added.
 
     A staged NULL overwrites. Staged rows without a key match nothing, so they are all
     added; target rows without a key stay. A small staged side is broadcast, and the
-    target then passes through without a shuffle.
+    target then passes through without a shuffle. With `once` no staged key repeats.
     """
     keyed = staged.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     keyless = staged.where(F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys)))
-    latest = latest_staged(keyed, keys, newest_by)
+    latest = keyed if once else latest_staged(keyed, keys, newest_by)
 
     new_names = {c: f"__new_{c}" for c in [*keys, *update_cols]}
     changes = latest.select(*[F.col(c).alias(n) for c, n in new_names.items()], F.lit(True).alias(_MATCHED))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from kartoteka.functions.nested import numbered_slots, wide_slots
 from kartoteka.functions.text import override, surrogate_key, template_url
 from kartoteka.operators.buckets import KeyBuckets
 from kartoteka.operators.filters import modified_since
-from kartoteka.operators.joins import denormalize, dim_lookup, join_spread
+from kartoteka.operators.joins import denormalize, dim_lookup
 from kartoteka.operators.project import rename_select, with_audit
 from kartoteka.operators.tables import KEPT_ON_UPDATE, staged_table, upsert
 from kartoteka.operators.topk import best_per_key
@@ -145,7 +146,8 @@ def full_load(spark: SparkSession, landing: Landing, source: str, as_of: datetim
         "category": categories,
         "ingredients": components,
         "country": places,
-        "recipe": denormalize(listings, categories, places, details),
+        # the key of a detail follows from its external id and is stored nowhere: it need not be shuffled
+        "recipe": denormalize(listings, categories, places, details.drop("id_guid_sk")),
     }
     return {name: with_audit(df, source, as_of) for name, df in tables.items()}
 
@@ -157,7 +159,7 @@ LOAD_KEYS = {"category": ("id_guid_sk",), "ingredients": ("id_guid_sk",), "count
 def row_digest(df: DataFrame) -> Column:
     """Digest of what a row says; keys, times and its origin are in none."""
     said = sorted(c for c in df.columns if not c.startswith("__") and c != "id_guid_sk")
-    return F.sha2(F.to_json(F.struct(*said), {"ignoreNullFields": "false"}), 256)
+    return F.unhex(F.sha2(F.to_json(F.struct(*said), {"ignoreNullFields": "false"}), 256))
 
 
 def load_changes(stored: DataFrame, loaded: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -169,7 +171,8 @@ def load_changes(stored: DataFrame, loaded: DataFrame, keys: Sequence[str]) -> D
     loaded = loaded.withColumn("__digest", row_digest(loaded))
     once = best_per_key(loaded, keys, ["__digest"])
     known = stored.select(*[F.col(k).alias(f"__known_{k}") for k in keys], row_digest(stored).alias("__known_digest"))
-    met = join_spread(once, known, {k: f"__known_{k}" for k in keys})
+    # each key is there once, also where it is NULL: rows stay where that was found out, and are not spread again
+    met = once.join(known, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__known_{k}") for k in keys]), "left")
     change = F.when(F.col("__known_digest").isNull(), "new").when(F.col("__digest") == F.col("__known_digest"), "same").otherwise("changed")
     return met.withColumn("change", change).select(*[c for c in loaded.columns if c != "__digest"], "change")
 
@@ -187,7 +190,7 @@ def load_into(spark: SparkSession, tables: dict[str, DataFrame], root: str, run:
         store = KeyBuckets(f"{root}/{name}", loaded.schema, keys, buckets)
         listed = staged_table(load_changes(store.read(spark), loaded, keys), f"changes_{name}")
         updates = [c for c in loaded.columns if c not in (*keys, *KEPT_ON_UPDATE)]
-        store.merge(listed.where("change <> 'same'").drop("change"), updates, batch=run)
+        store.merge(listed.where("change <> 'same'").drop("change"), updates, batch=run, once=True)
         changes[name] = listed
     return changes
 

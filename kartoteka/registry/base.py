@@ -21,10 +21,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def land(df: DataFrame, name: str, *partition: str) -> str:
-    """Write rows as JSON, one document per line, the way responses are landed."""
+    """Write rows as JSON, one document per line and compressed, the way responses are landed."""
     path = scratch(df.sparkSession, name)
     writer = df.write.partitionBy(*partition) if partition else df.write
-    writer.json(path)
+    writer.json(path, compression="gzip")
     return path
 
 

@@ -116,3 +116,17 @@ def test_null_and_empty_are_not_the_same(spark):
     stored = spark.createDataFrame([("1", None, "", "s", 1, 1)], LOADED)
     loaded = spark.createDataFrame([("1", "", None, "s", 1, 1)], LOADED)
     assert [r.change for r in load_changes(stored, loaded, ["id_guid_sk"]).collect()] == ["changed"]
+
+
+def test_a_load_is_shuffled_once_for_each_look_at_it(spark, tmp_path, monkeypatch):
+    plans = []
+    put = KeyBuckets._put
+    monkeypatch.setattr(KeyBuckets, "_put", lambda self, df, path: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(self, df, path))[1])
+    loaded = spark.createDataFrame([(f"{i}", "a", None, "s", 1, 1) for i in range(50)] + [(None, "n", None, "s", 1, 1)] * 2, LOADED)
+    listed = load_into(spark, {"category": loaded}, str(tmp_path), "1")["category"]
+    assert listed.count() == 51 and loaded_table(spark, "category", loaded.schema, str(tmp_path)).count() == 51
+    # into the buckets of the batch, and from there into the table
+    assert [p.count("Exchange ") for p in plans] == [1, 0]
+    known = loaded.limit(9).localCheckpoint()
+    met = load_changes(known, loaded.repartition(3), ["id_guid_sk"])._jdf.queryExecution().executedPlan().toString()
+    assert met.count("Exchange hashpartitioning(id_guid_sk") == 1 and "__spread" not in met

@@ -18,6 +18,9 @@ from kartoteka.functions.text import is_blank
 PART_SEPARATOR = " | "
 ENCODER_BATCH = 32
 
+# Words counted at a time; a batch of long texts has many more.
+WORDS_AT_ONCE = 1 << 18
+
 
 class Encoder(Protocol):
     def encode(self, texts: Sequence[str]) -> np.ndarray: ...
@@ -81,9 +84,16 @@ def embed_words(df: DataFrame, text: str, out: str = "embedding", dimension: int
 
     @F.arrow_udf("array<float>")
     def count(buckets: pa.Array) -> pa.Array:
-        sizes = np.diff(buckets.offsets.to_numpy())
-        flat = np.repeat(np.arange(len(sizes)), sizes) * dimension + buckets.flatten().to_numpy()
-        counts = np.bincount(flat, minlength=len(sizes) * dimension).reshape(-1, dimension).astype(np.float32)
+        starts = buckets.offsets.to_numpy().astype(np.int64)
+        words, sizes = buckets.values.to_numpy(), np.diff(starts)
+        counts = np.zeros(len(sizes) * dimension, np.float32)
+        for a in range(int(starts[0]), int(starts[-1]), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, int(starts[-1]))
+            first, last = np.searchsorted(starts, a, side="right") - 1, np.searchsorted(starts, b)  # texts with these words
+            own = np.diff(np.clip(starts[first:last + 1], a, b))
+            flat = np.repeat(np.arange(last - first), own) * dimension + words[a:b]
+            counts[first * dimension:last * dimension] += np.bincount(flat, minlength=(last - first) * dimension)
+        counts = counts.reshape(-1, dimension)
         offsets = np.arange(len(sizes) + 1, dtype=np.int32) * dimension
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array((_unit_rows(counts) if unit else counts).astype(np.float32).ravel()))
 

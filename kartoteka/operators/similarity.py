@@ -25,7 +25,7 @@ from kartoteka.operators.topk import merge_top, top_per_key
 DIGITS = 9
 
 # Scores held in memory at a time.
-SCORES_AT_ONCE = 4_000_000
+SCORES_AT_ONCE = 1_000_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

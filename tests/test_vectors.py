@@ -197,3 +197,14 @@ def test_semantic_search_gives_no_slot_to_incomplete_items(spark):
     assert sorted(n for _, _, n, _, _ in got) == ["Red pie", "Red soup"]
     assert [(q, r, c) for q, r, _, c, _ in got] == [(1, 1, "Main"), (1, 2, "Main")]
     assert {n: k for _, _, n, _, k in got}["Red pie"] == 1
+
+
+def test_words_counted_a_few_at_a_time(spark, monkeypatch):
+    from kartoteka.operators import embedding
+
+    df = spark.createDataFrame([(0, "a b a c"), (1, ""), (2, None), (3, "a " * 50), (4, "b c"), (5, "")], "id int, t string").coalesce(1)
+    whole = [tuple(r.embedding) for r in embedding.embed(df, "t").orderBy("id").collect()]
+    monkeypatch.setattr(embedding, "WORDS_AT_ONCE", 3)
+    encoder = embedding.WordHashing()
+    expected = [tuple(v.tolist()) for v in encoder.encode(["a b a c", "", "", "a " * 50, "b c", ""])]
+    assert [tuple(r.embedding) for r in embedding.embed(df, "t").orderBy("id").collect()] == whole == expected

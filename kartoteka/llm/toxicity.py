@@ -5,11 +5,11 @@ sample of labelled texts are used, those of clean texts too; document frequencie
 all documents. A term weighs its inverse document frequency times its relevance frequency,
 log2(2 + toxic / clean examples that have it), which is one at least: no term is left out.
 
-Terms that many examples have are a dense matrix, multiplied for many texts at once. The others are
-an inverted index by blocks of examples, with the largest weight of each term in a block. Blocks go
-in the order of their bounds, what the common terms add at most and the sum of these largest weights,
-and no further once no bound reaches the k-th best cosine; cosines too near to each other to be told
-apart are computed again in double precision, so that the nearest examples are exact. Their labels vote by similarity,
+The examples are an inverted index by blocks, with the largest weight of each term in a block. A block
+holds examples of like words (of one language, say), and texts of like words meet it together: the terms
+that many of them share with many of its examples are a dense product, the others are looked up. Texts
+whose bound, the sum of these largest weights, does not reach their k-th best cosine pass a block by. All
+sums are in double precision, so that the nearest examples are exact. Their labels vote by similarity,
 together with the rate of all examples; votes are calibrated on the examples, each left out once.
 
 Texts are read twice, for the document frequencies and for the scores; nothing of them is written.
@@ -42,10 +42,18 @@ TRAINING_TEXTS = 8_000  # labelled examples, at most
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 4000  # examples in a block
-COMMON = 16  # a term that more than one in so many examples has is common
-TOGETHER = 64  # texts whose common terms are multiplied at once
-_SLACK = 1e-5  # more than the errors of single precision
+KINDS = 8  # kinds that examples and texts are told apart by
+KIND_EXAMPLES = 2000  # examples that kinds are learned from, at most
+COMMON = 16  # kinds are told apart by the terms that more than one in so many examples has
+PORTION = 1024  # texts that are put together by kind, about
+PORTION_TERMS = 1 << 20  # terms that all of them have, about
+TOGETHER = 256  # texts that meet a block together, at most
+SPREAD = 512  # terms that are multiplied at once, at most
+LOOKED_UP = 1 << 18  # postings that are added at once, about
+DENSE = 128  # so many multiplications cost as much as one look-up
+_SLACK = 1e-5  # more than the errors of the bounds, which are in single precision
 _LEAST = 1e-7  # less than what one common term adds
+Vectors = list[tuple[np.ndarray, np.ndarray]]  # term places and weights
 PRIOR_WEIGHT = 0.2  # similarity that the rate without evidence is worth
 
 
@@ -99,6 +107,23 @@ def _known_terms(texts: Texts, value: dict[str, Any]) -> tuple[np.ndarray, np.nd
     return np.searchsorted(keys, np.arange(len(texts) + 1) * count), keys % count, times, np.bincount(owners, minlength=len(texts)) > 0
 
 
+def _portions(column: pa.Array, value: dict[str, Any]) -> Iterator[tuple[int, Vectors, list[bool]]]:
+    """The first text, and for it and those that follow the places of the known terms and how often each occurs, and whether there is any term."""
+    first, held = 0, 0
+    asked: Vectors = []
+    any_term: list[bool] = []
+    for texts in slices(column):
+        bounds, terms, times, filled = _known_terms(texts, value)
+        asked += [(terms[a:b], times[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        any_term += filled.tolist()
+        held += len(terms)
+        if len(asked) >= PORTION or held >= PORTION_TERMS:
+            yield first, asked, any_term
+            first, held, asked, any_term = first + len(asked), 0, [], []
+    if asked:
+        yield first, asked, any_term
+
+
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """The number of documents, and how many of them have each term."""
     shared = docs.sparkSession.sparkContext.broadcast({"terms": terms})
@@ -120,95 +145,136 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
 
 
 class BlockMaxIndex:
-    """Weighted examples in blocks: postings of rare terms with the largest weight in each block; common terms as a dense matrix.
-
-    The common part is in single precision; where its errors could decide, it is computed again in double precision.
-    """
+    """Weighted examples as postings by block, with the largest weight of each term in a block; a block holds examples of one kind."""
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+    def __init__(self, examples: Vectors, n_terms: int, block: int = BLOCK):
         """`examples`: term places and weights (of length one) of each example, in the order in which ties are broken."""
         sizes = [len(t) for t, _ in examples]
-        self.own_terms = np.concatenate([t for t, _ in examples]).astype(np.int32) if sizes else np.zeros(0, np.int32)
-        self.own_weights = np.concatenate([w for _, w in examples]) if sizes else np.zeros(0)
-        self.own_starts = np.cumsum([0, *sizes])
-        example = np.repeat(np.arange(len(examples), dtype=np.int32), sizes)
-        self.n, self.block, self.n_blocks = len(examples), block, -(-max(1, len(examples)) // block)
-        frequent = np.bincount(self.own_terms, minlength=n_terms) > max(1, len(examples) / COMMON)
-        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)  # of a common term
-        self.common = np.zeros((int(frequent.sum()), self.n_blocks * block), np.float32)
-        dense = frequent[self.own_terms]
-        self.common[self.column[self.own_terms[dense]], example[dense]] = self.own_weights[dense]
-
-        rare = np.flatnonzero(~dense)
-        key = self.own_terms[rare].astype(np.int64) * self.n_blocks + example[rare] // block
+        terms = np.concatenate([t for t, _ in examples]).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        weights = np.concatenate([w for _, w in examples]) if sizes else np.zeros(0)
+        common = np.bincount(terms, minlength=n_terms) > max(1, len(examples) / COMMON)
+        self.common = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        self._learn_kinds(examples)
+        kind = self.kind_of(examples)
+        self.order = np.argsort(kind, kind="stable")  # the example at each place
+        self.place = np.argsort(self.order)
+        counts = np.bincount(kind, minlength=1)
+        rank = np.arange(len(examples)) - np.repeat(np.cumsum(counts) - counts, counts)
+        blocks = -(-counts // block)
+        in_block = np.repeat(np.cumsum(blocks) - blocks, counts) + rank // block  # of each place
+        self.cuts = np.append(0, np.cumsum(np.bincount(in_block, minlength=1)))  # block b has the places cuts[b] to cuts[b + 1]
+        self.n_blocks = len(self.cuts) - 1
+
+        place = np.repeat(self.place, sizes)
+        own_block = in_block[place]
+        key = terms * self.n_blocks + own_block
         order = np.argsort(key, kind="stable")
-        self.examples, self.weights = (example[rare[order]] % block).astype(np.intp), self.own_weights[rare[order]]
-        self.starts = np.searchsorted(key[order], np.arange(n_terms * self.n_blocks + 1))
+        self.examples, self.weights = (place - self.cuts[own_block])[order].astype(np.int32), weights[order]
+        self.starts = np.append(0, np.cumsum(np.bincount(key, minlength=n_terms * self.n_blocks))).astype(np.int32)
         self.most = np.zeros(n_terms * self.n_blocks, np.float32)
-        np.maximum.at(self.most, key, self.own_weights[rare].astype(np.float32))
+        np.maximum.at(self.most, key, weights.astype(np.float32))
         self.most = self.most.reshape(n_terms, self.n_blocks)
-        self.asked = np.zeros(n_terms)
-
-    def _exact(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        self.asked[terms] = weights
-        sizes = self.own_starts[examples + 1] - self.own_starts[examples]
-        at = np.arange(sizes.sum()) + np.repeat(self.own_starts[examples] - (np.cumsum(sizes) - sizes), sizes)
-        out = np.bincount(np.repeat(np.arange(len(examples)), sizes), self.asked[self.own_terms[at]] * self.own_weights[at], len(examples))
-        self.asked[terms] = 0
+
+    def _learn_kinds(self, examples: Vectors) -> None:
+        """Centres of some examples by their common terms. They say which go together and change no cosine."""
+        vectors = self._common([examples[i] for i in np.unique(np.linspace(0, len(examples) - 1, KIND_EXAMPLES).astype(int)).tolist()] if examples else [])
+        self.kinds = vectors[::-(-max(1, len(vectors)) // KINDS)]
+        for _ in range(10 if len(vectors) else 0):
+            own = np.argmax(vectors @ self.kinds.T, axis=1)
+            sums = np.stack([vectors[own == i].sum(axis=0) for i in range(len(self.kinds))])
+            self.kinds = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-30)
+
+    def _common(self, asked: Vectors) -> np.ndarray:
+        """What each has of the common terms, of length one."""
+        out = np.zeros((len(asked), int(self.common.max(initial=-1)) + 1), np.float32)
+        for row, (terms, weights) in zip(out, asked, strict=True):
+            at = self.common[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
+
+    def kind_of(self, asked: Vectors) -> np.ndarray:
+        if not len(self.kinds):
+            return np.zeros(len(asked), np.int64)
+        return np.concatenate([np.zeros(0, np.int64), *(np.argmax(self._common(asked[i:i + 1000]) @ self.kinds.T, axis=1) for i in range(0, len(asked), 1000))])
+
+    def _postings(self, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return at
+
+    def _scores(self, b: int, every: np.ndarray, uses: np.ndarray, which: np.ndarray, row: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """Products of n texts with the examples of a block; text row[i] has weights[i] of the term every[which[i]], which uses[which[i]] texts have."""
+        first = self.starts[every * self.n_blocks + b].astype(np.int64)
+        sizes = self.starts[every * self.n_blocks + b + 1] - first
+        width = int(self.cuts[b + 1] - self.cuts[b])
+        out = np.zeros((n, width))
+        shared = np.flatnonzero(uses * sizes * DENSE > (n + 8) * width)
+        column = np.full(len(every), -1)
+        column[shared] = np.arange(len(shared))
+        at = column[which]
+        asked = np.zeros((n, len(shared)))
+        asked[row[at >= 0], at[at >= 0]] = weights[at >= 0]
+        spread = np.zeros((min(SPREAD, len(shared)), width))
+        for start in range(0, len(shared), SPREAD):
+            some = shared[start:start + SPREAD]
+            found = self._postings(first[some], sizes[some])
+            where = np.repeat(np.arange(len(some)) * width, sizes[some]) + self.examples[found]
+            spread.ravel()[where] = self.weights[found]
+            out += asked[:, start:start + SPREAD] @ spread[:len(some)]
+            spread.ravel()[where] = 0
+        others = np.flatnonzero((at < 0) & (sizes[which] > 0))
+        first, sizes, row, weights = first[which[others]], sizes[which[others]], row[others] * width, weights[others]
+        total = np.cumsum(sizes)
+        cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, LOOKED_UP)), len(total)))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            found = self._postings(first[a:z], sizes[a:z])
+            where = np.repeat(row[a:z], sizes[a:z])
+            where += self.examples[found]
+            np.add.at(out.ravel(), where, self.weights[found] * np.repeat(weights[a:z], sizes[a:z]))
         return out
 
-    def _ranked(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest, from what the common terms add for every example. Blocks go by their bounds, until none reaches the k-th best."""
-        by_block = scores.reshape(self.n_blocks, self.block)
-        rare = self.column[terms] < 0
-        t, w = terms[rare], weights[rare]
-        bounds = by_block.max(axis=1) + w @ self.most[t]
-        if skip >= 0:
-            scores[skip] = -1
-        least, seen = 0.0, np.zeros(0, np.float32)
-        candidates, values = [], []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] < least - _SLACK or bounds[b] <= 0:
-                break
-            first = self.starts[t * self.n_blocks + b]
-            sizes = self.starts[t * self.n_blocks + b + 1] - first
-            at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-            at += np.arange(len(at))
-            own = by_block[b] + np.bincount(self.examples[at], self.weights[at] * np.repeat(w, sizes), self.block)
-            near = np.flatnonzero(own >= max(least - _SLACK, _LEAST))
-            candidates.append(near + b * self.block)
-            values.append(own[near])
-            seen = np.concatenate([seen, own[near]])
-            if len(seen) > k:
-                seen = -np.partition(-seen, k - 1)[:k]
-            least = float(seen.min()) if len(seen) >= k else 0.0
-        found = np.concatenate(candidates) if candidates else np.zeros(0, np.int64)
-        cosines = np.concatenate(values) if values else np.zeros(0)
-        best = np.flatnonzero(cosines >= least - _SLACK)
-        best = best[np.argsort(-cosines[best], kind="stable")]
-        found, cosines = found[best], cosines[best]
-        near = np.append(cosines[:-1] - cosines[1:] < 2 * _SLACK, False)
-        near = np.flatnonzero(near | np.append(False, near[:-1]) | (cosines < 2 * _SLACK))  # whose order is open
-        if len(near):
-            cosines[near] = self._exact(found[near], terms, weights)
-        found, cosines = found[cosines > 0], cosines[cosines > 0]
-        best = np.lexsort((found, -np.round(cosines, 12)))[:k]
-        return found[best], cosines[best]
-
-    def nearest_of(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _nearest_together(self, asked: Vectors, k: int, skip: list[int]) -> Vectors:
+        n = len(asked)
+        row = np.repeat(np.arange(n), [len(t) for t, _ in asked])
+        terms, weights = np.concatenate([t for t, _ in asked]), np.concatenate([w for _, w in asked])
+        every, which = np.unique(terms, return_inverse=True)
+        uses = np.bincount(which, minlength=len(every))
+        every = every.astype(np.int64)
+        bounds = np.stack([np.bincount(row, weights * self.most[terms, b], n) for b in range(self.n_blocks)])
+        left_out = [(i, int(self.place[x])) for i, x in enumerate(skip) if x >= 0]
+        scores, best = np.zeros((n, int(self.cuts[-1]))), np.zeros((n, k))
+        for b in np.argsort(-bounds.sum(axis=1), kind="stable").tolist():
+            reach = (bounds[b] > 0) & (bounds[b] >= best.min(axis=1) - _SLACK)
+            if not reach.any():
+                continue
+            use = np.flatnonzero(reach[row])
+            own = self._scores(b, every, uses, which[use], (np.cumsum(reach) - 1)[row[use]], weights[use], int(reach.sum()))
+            part = scores[:, self.cuts[b]:self.cuts[b + 1]]
+            part[reach] = own
+            for i, x in left_out:
+                if self.cuts[b] <= x < self.cuts[b + 1]:
+                    part[i, x - self.cuts[b]] = 0
+            best[reach] = -np.partition(-np.concatenate([best[reach], part[reach]], axis=1), k - 1, axis=1)[:, :k]
+        row, at = np.nonzero(scores >= np.maximum(best.min(axis=1, keepdims=True) - _SLACK, _LEAST))
+        found, cosines = self.order[at], np.round(scores[row, at], 12)
+        order = np.lexsort((found, -cosines, row))
+        bounds = np.searchsorted(row, np.arange(n + 1)).tolist()
+        return [(found[order[a:z][:k]], cosines[order[a:z][:k]]) for a, z in zip(bounds[:-1], bounds[1:])]
+
+    def nearest_of(self, asked: Vectors, k: int, skip: list[int] | None = None) -> Vectors:
         """(examples, cosines) of the k nearest with a common term of each of many term vectors, without the example to skip."""
-        for start in range(0, len(asked), TOGETHER):
-            part = asked[start:start + TOGETHER]
-            common = np.zeros((len(part), len(self.common)), np.float32)
-            for i, (terms, weights) in enumerate(part):
-                column = self.column[terms]
-                common[i, column[column >= 0]] = weights[column >= 0]
-            scores = common @ self.common
-            for i, (terms, weights) in enumerate(part):
-                yield self._ranked(scores[i], terms, weights, k, skip[start + i] if skip else -1)
+        out: Vectors = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
+        kind = self.kind_of(asked)
+        for i in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == i).tolist()
+            for start in range(0, len(own), TOGETHER):
+                part = own[start:start + TOGETHER]
+                for x, near in zip(part, self._nearest_together([asked[x] for x in part], k, [skip[x] for x in part] if skip else []), strict=True):
+                    out[x] = near
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        return next(self.nearest_of([(terms, weights)], k, [skip]))
+        return self.nearest_of([(terms, weights)], k, [skip])[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,16 +390,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, votes = tables(shared), votes_of(shared)
         for batch in batches:
-            for texts in slices(batch.column(1)):
+            for first, asked, any_term in _portions(batch.column(1), value):
                 scores, evidence = [], []
-                bounds, terms, times, any_term = _known_terms(texts, value)
-                asked = [(terms[a:b], times[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                for i, (share, near) in enumerate(votes.votes(asked)):
-                    scores.append(float(np.interp(share if any_term[i] else votes.blank, *curve)))
+                for filled, (share, near) in zip(any_term, votes.votes(asked), strict=True):
+                    scores.append(float(np.interp(share if filled else votes.blank, *curve)))
                     evidence.append([value["ids"][j] for j in near[:3].tolist()])
                 found = np.clip(np.array(scores), 0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.first, len(texts)), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32)),
+                    [batch.column(0).slice(first, len(asked)), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32)),
                      pa.array(evidence, pa.list_(id_type) if id_type else None)], ["doc_id", "score", "predicted", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double, predicted int, evidence array<{kind}>")

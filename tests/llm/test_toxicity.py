@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest_llm import EDGE_TEXTS
 from kartoteka.llm import toxicity
 from kartoteka.llm.queries import op1_toxicity
+from kartoteka.llm.spans import slices
 from kartoteka.registry.base import table
 
 
@@ -28,6 +30,43 @@ def test_blocks_give_the_exact_nearest():
         assert near.tolist() == expected and np.allclose(scores, cosines[expected])
 
 
+def test_blocks_hold_examples_of_like_words_and_cosines_do_not_depend_on_companions():
+    rng = np.random.default_rng(6)
+    vectors = []
+    for i in range(600):  # two vocabularies in turn, with a few terms of both
+        terms = np.unique(np.concatenate([rng.choice(40, 12, replace=False) + 40 * (i % 2), rng.choice(400, 3) + 80]))
+        w = rng.random(len(terms)) + 0.1
+        vectors.append((terms, w / np.linalg.norm(w)))
+    index = toxicity.BlockMaxIndex(vectors, 480, block=250)
+    blocks = [index.order[a:b] for a, b in zip(index.cuts[:-1], index.cuts[1:])]
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(600)) and max(map(len, blocks)) <= 250
+    assert all(len(set((b % 2).tolist())) == 1 for b in blocks)  # so that texts multiply terms of their own words only
+    dense = np.zeros((600, 480))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    together = index.nearest_of(vectors, 15, list(range(600)))
+    for i, (near, cosines) in enumerate(together):
+        expected = dense @ dense[i]
+        assert len(near) == 15 and i not in near and np.abs(cosines - expected[near]).max() < 2e-12  # double precision
+        assert np.sort(np.delete(expected, i))[-15] <= cosines[-1] + 2e-12
+    for i in range(0, 600, 37):
+        near, cosines = index.nearest(*vectors[i], 15, skip=i)
+        assert near.tolist() == together[i][0].tolist() and cosines.tolist() == together[i][1].tolist()
+
+
+def test_texts_are_put_together_in_portions(monkeypatch):
+    from kartoteka.llm.letters import letter_tables
+
+    monkeypatch.setattr(toxicity, "PORTION", 3)
+    monkeypatch.setattr(toxicity, "PORTION_TERMS", 10)
+    monkeypatch.setattr("kartoteka.llm.toxicity.slices", lambda column: slices(column, 30))
+    texts = ["some words", None, "", "12 34", "words words again and again"] * 3 + ["last"]
+    portions = list(toxicity._portions(pa.array(texts, pa.string()), {"letters": letter_tables(), "terms": np.zeros(0, np.uint64)}))
+    assert len(portions) > 2 and [first for first, _, _ in portions] == np.cumsum([0, *(len(asked) for _, asked, _ in portions)])[:-1].tolist()
+    assert [x for _, _, any_term in portions for x in any_term] == [bool(t) and t != "12 34" for t in texts]
+    assert list(toxicity._portions(pa.array([], pa.string()), {"letters": letter_tables(), "terms": np.zeros(0, np.uint64)})) == []
+
+
 def test_isotonic_is_monotone_and_keeps_the_mean():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 20, 300) / 20

@@ -150,7 +150,7 @@ class BlockMaxIndex:
     def __init__(self, examples: Vectors, n_terms: int, block: int = BLOCK):
         """`examples`: term places and weights (of length one) of each example, in the order in which ties are broken."""
         sizes = [len(t) for t, _ in examples]
-        terms = np.concatenate([t for t, _ in examples]).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        terms = np.concatenate([t for t, _ in examples]).astype(np.int32) if sizes else np.zeros(0, np.int32)
         weights = np.concatenate([w for _, w in examples]) if sizes else np.zeros(0)
         common = np.bincount(terms, minlength=n_terms) > max(1, len(examples) / COMMON)
         self.common = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
@@ -165,14 +165,18 @@ class BlockMaxIndex:
         self.cuts = np.append(0, np.cumsum(np.bincount(in_block, minlength=1)))  # block b has the places cuts[b] to cuts[b + 1]
         self.n_blocks = len(self.cuts) - 1
 
-        place = np.repeat(self.place, sizes)
-        own_block = in_block[place]
-        key = terms * self.n_blocks + own_block
-        order = np.argsort(key, kind="stable")
-        self.examples, self.weights = (place - self.cuts[own_block])[order].astype(np.int32), weights[order]
-        self.starts = np.append(0, np.cumsum(np.bincount(key, minlength=n_terms * self.n_blocks))).astype(np.int32)
+        own_block = in_block[self.place]
+        key = np.repeat(own_block, sizes)
+        key += np.multiply(terms, self.n_blocks, dtype=np.int64)
+        del terms
         self.most = np.zeros(n_terms * self.n_blocks, np.float32)
         np.maximum.at(self.most, key, weights.astype(np.float32))
+        self.starts = np.append(0, np.cumsum(np.bincount(key, minlength=n_terms * self.n_blocks))).astype(np.int32)
+        order = np.argsort(key, kind="stable")
+        del key
+        self.weights = weights[order]
+        del weights
+        self.examples = np.repeat((self.place - self.cuts[own_block]).astype(np.int32), sizes)[order]
         self.most = self.most.reshape(n_terms, self.n_blocks)
 
     def _learn_kinds(self, examples: Vectors) -> None:
